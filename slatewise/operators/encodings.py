@@ -12,9 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.exprs import bucket_of, clip, flag, num, ratio, total
+from ..functions.exprs import bucket_of, clip, num, ratio, total
 from ..functions.small import small_table
 from ..schema import SEARCH
+from ..session import materialise
 
 
 @dataclass(frozen=True)
@@ -209,16 +210,36 @@ def attach(df, table, keys, measures, fallback, fold):
     return joined.select(*keep, *[F.coalesce(F.col(f"_{n}")[F.col("_at")], fallback[n]).alias(n) for n in names])
 
 
+def encode_many(df, groups, source=None, k=5, salt="", search=SEARCH, durable=False):
+    """Encodings of several (keys, measures) groups, out of fold unless a source is given.
+
+    Every group is fitted on the same base table, never on the result of the
+    previous join, so the plan grows by one aggregation and one join per group.
+
+    With `durable` each encoding table is written to the shared folder first.
+    Its true size is then known, so small ones are broadcast and large ones
+    shuffled by the planner's own rule, and losing an executor does not repeat
+    the aggregation.
+    """
+    base = df if source is None else source
+    folds = k if source is None else 0
+    at = fold_of(search, k, salt) if source is None else 0
+    for keys, measures in groups:
+        table = fit(base, keys, measures, folds, salt, search)
+        if durable:
+            table = materialise(table, "encoding_" + "_".join(keys))
+        df = attach(df, table, keys, measures, overall(base, measures), at)
+    return df
+
+
 def encode_oof(df, keys, measures, k=5, salt="", search=SEARCH):
     """Out-of-fold encodings of a training table."""
-    table = fit(df, keys, measures, k, salt, search)
-    return attach(df, table, keys, measures, overall(df, measures), fold_of(search, k, salt))
+    return encode_many(df, [(keys, measures)], None, k, salt, search)
 
 
 def encode_from(source, df, keys, measures):
     """Encodings of a table from another source table (validation or test side)."""
-    table = fit(source, keys, measures, k=0)
-    return attach(df, table, keys, measures, overall(source, measures), 0)
+    return encode_many(df, [(keys, measures)], source)
 
 
 # The standard encoding set and its smoothing priors.
@@ -281,13 +302,9 @@ def derive_destination_gaps(df):
                            "review_vs_dest_mean": num("prop_review_score") - F.col("dest_mean_review")})
 
 
-def entity_encodings(df, source=None, k=5, salt=""):
+def entity_encodings(df, source=None, k=5, salt="", durable=True):
     """Every standard encoding: out of fold without a source, from the source otherwise."""
-    for keys, measures in encoding_plan().items():
-        if source is None:
-            df = encode_oof(df, keys, measures, k, salt)
-        else:
-            df = encode_from(source, df, keys, measures)
+    df = encode_many(df, encoding_plan().items(), source, k, salt, durable=durable)
     return derive_destination_gaps(derive_price_position(df))
 
 

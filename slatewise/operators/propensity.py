@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import flag, num, ratio
+from ..functions.exprs import num, ratio
+from ..functions.small import small_table
 
 
 def propensity(df):
@@ -27,6 +28,47 @@ def fit_propensity(df, min_rows=1):
     return line.select(ratio(F.lit(1.0), "slope").alias("a"), ratio("intercept", "slope").alias("b"), "n_positions")
 
 
+def fit_propensity_curve(df, max_steps=60):
+    """Least-squares fit of a / (position + b) to the propensities themselves.
+
+    Damped Gauss-Newton steps from (0.1, 1.0). The table of positions is
+    aggregated once; every step is one aggregate of it into five sums, and the
+    2x2 system is solved here.
+    """
+    rates = small_table(propensity(df))
+    x, y = num("position"), F.col("propensity")
+
+    def sums(a, b):
+        base = 1.0 / (x + b)
+        err = y - a * base
+        da, db = base, -a * base * base
+        return rates.agg(F.sum(err * err).alias("sse"), F.sum(da * da).alias("aa"), F.sum(da * db).alias("ab"),
+                         F.sum(db * db).alias("bb"), F.sum(da * err).alias("ae"), F.sum(db * err).alias("be"),
+                         F.count(F.lit(1)).alias("n")).first()
+
+    a, b, damping = 0.1, 1.0, 1e-3
+    now = sums(a, b)
+    for _ in range(max_steps):
+        aa, bb = now["aa"] * (1 + damping), now["bb"] * (1 + damping)
+        det = aa * bb - now["ab"] ** 2
+        if det == 0:
+            break
+        sa = (bb * now["ae"] - now["ab"] * now["be"]) / det
+        sb = (aa * now["be"] - now["ab"] * now["ae"]) / det
+        after = sums(a + sa, b + sb) if b + sb > -1 + 1e-6 else None
+        if after is not None and after["sse"] <= now["sse"]:
+            small = abs(sa) < 1e-10 * (1 + abs(a)) and abs(sb) < 1e-10 * (1 + abs(b))
+            a, b, now, damping = a + sa, b + sb, after, damping / 10
+            if small:
+                break
+        else:
+            damping *= 10
+            if damping > 1e12:
+                break
+    return df.sparkSession.createDataFrame([(a, b, now["sse"], now["n"])],
+                                           "a double, b double, sse double, n_positions long")
+
+
 def fitted_weights(df):
     """Per position: fitted propensity, its inverse, and the inverse divided by its mean."""
     ab = fit_propensity(df).select(F.struct("a", "b")).scalar()
