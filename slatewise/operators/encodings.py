@@ -3,8 +3,8 @@
 A search never feeds the encoding of its own rows: rows fall into folds by
 search, and a row in fold f sees the other folds only. One aggregation by
 (key, fold) holds everything; `fit` turns it into one row per key with an array
-per measure, entry f for "all folds but f" and the last entry for "all folds".
-Training rows read the entry of their fold, other tables read the last one.
+of views, entry f for "all folds but f" and the last entry for "all folds".
+Training rows read the view of their fold, other tables read the last one.
 """
 
 from dataclasses import dataclass
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.exprs import bucket_of, clip, num, ratio, total
+from ..functions.exprs import bucket_of, clip, num, ratio
 from ..functions.small import small_table
 from ..schema import SEARCH
 from ..session import materialise
@@ -153,46 +153,51 @@ class WeightedRate:
 
 
 class _Parts:
-    """Access to a measure's partial sums over a set of folds."""
+    """A measure's partial sums over some folds (an array column with one entry per fold)."""
 
-    def __init__(self, prefix, folds):
-        self.prefix, self.folds = prefix, folds
+    def __init__(self, folds, prefix):
+        self.folds, self.prefix = folds, prefix
 
-    def _cell(self, part, fold):
-        return F.col(f"{self.prefix}{part}")[fold]
+    def mapped(self, fn):
+        """Sum over the folds of an expression of their parts."""
+        return F.aggregate(self.folds, F.lit(0.0), lambda acc, x: acc + F.coalesce(
+            fn(lambda part: num(x[self.prefix + part])), F.lit(0.0)))
 
     def __call__(self, part):
-        return total([F.coalesce(self._cell(part, f), F.lit(0.0)) for f in self.folds])
+        return self.mapped(lambda g: g(part))
 
     def first(self, part):
-        return F.coalesce(*[self._cell(part, f) for f in self.folds])
-
-    def mapped(self, fn):
-        return total([F.coalesce(fn(lambda part, f=f: self._cell(part, f)), F.lit(0.0)) for f in self.folds])
+        return F.get(F.filter(F.transform(self.folds, lambda x: x[self.prefix + part]), lambda v: v.isNotNull()), 0)
 
 
 def fold_of(search=SEARCH, k=5, salt=""):
     return bucket_of(search, k, salt)
 
 
-def fit(source, keys, measures, k=5, salt="", search=SEARCH):
-    """Encoding table: one row per key, per measure an array of k + 1 values."""
+def fit(source, keys, measures, k=5, salt="", search=SEARCH, mean=None):
+    """Encoding table: one row per key with `views`, an array of k + 1 structs of measures.
+
+    Two aggregations: by (key, fold), combined map-side, then at most k rows per
+    key into one. The views are computed on that row.
+    """
     keys = list(keys)
-    folds = range(max(k, 1))
-    fold = fold_of(search, k, salt) if k else F.lit(0)
+    fold = fold_of(search, k, salt).cast("int") if k else F.lit(0)
     rows = source.withColumn("_fold", fold)
     for key in keys:
         rows = rows.where(F.col(key).isNotNull())
     cells = {f"_{i}{part}": e for i, m in enumerate(measures) for part, e in m.parts().items()}
     per_fold = rows.groupBy(*keys, "_fold").agg(*[e.alias(n) for n, e in cells.items()])
-    per_key = per_fold.groupBy(*keys).agg(*[
-        F.array(*[F.max(F.when(F.col("_fold") == f, num(n))) for f in folds]).alias(n) for n in cells])
-    mean = overall(source, measures)
-    out = []
-    for i, m in enumerate(measures):
-        views = [[g for g in folds if g != f] for f in range(k)] + [list(folds)]
-        out.append(F.array(*[m.value(_Parts(f"_{i}", v), mean[m.name]) for v in views]).alias(m.name))
-    return per_key.select(*keys, *out)
+    per_key = per_fold.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("_fold", *cells))).alias("_p"))
+    per_key = per_key.withColumn("_mean", overall(source, measures) if mean is None else mean)
+
+    def view(at):
+        # entry k leaves no fold out
+        others = F.filter("_p", lambda p: p["_fold"] != at) if k else F.col("_p")
+        return F.struct(*[m.value(_Parts(others, f"_{i}"), F.col("_mean")[m.name]).alias(m.name)
+                          for i, m in enumerate(measures)])
+
+    return per_key.select(*keys, F.transform(F.array(*[F.lit(i) for i in range(k + 1)]), view).alias("views"))
 
 
 def overall(source, measures):
@@ -201,13 +206,13 @@ def overall(source, measures):
 
 
 def attach(df, table, keys, measures, fallback, fold):
-    """Left join an encoding table and read the entry of `fold`; unseen keys get the fallback."""
+    """Left join an encoding table and read the view of `fold`; unseen keys get the fallback."""
     names = [m.name for m in measures]
     keep = [c for c in df.columns if c not in names]
     at = F.lit(fold) if isinstance(fold, int) else fold
-    joined = df.select(*keep, at.cast("int").alias("_at")).join(
-        table.select(*keys, *[F.col(n).alias(f"_{n}") for n in names]), list(keys), "left")
-    return joined.select(*keep, *[F.coalesce(F.col(f"_{n}")[F.col("_at")], fallback[n]).alias(n) for n in names])
+    joined = df.select(*keep, at.cast("int").alias("_at")).join(table, list(keys), "left")
+    seen = F.col("views")[F.col("_at")]
+    return joined.select(*keep, *[F.coalesce(seen[n], fallback[n]).alias(n) for n in names])
 
 
 def encode_many(df, groups, source=None, k=5, salt="", search=SEARCH, durable=False):
@@ -224,11 +229,17 @@ def encode_many(df, groups, source=None, k=5, salt="", search=SEARCH, durable=Fa
     base = df if source is None else source
     folds = k if source is None else 0
     at = fold_of(search, k, salt) if source is None else 0
+    groups = [(list(keys), list(measures)) for keys, measures in groups]
+    everything = [m for _, measures in groups for m in measures]
+    mean = overall(base, everything)
+    if durable:
+        row = base.agg(*[num(m.overall()).alias(m.name) for m in everything]).first()
+        mean = F.struct(*[F.lit(row[m.name]).cast("double").alias(m.name) for m in everything])
     for keys, measures in groups:
-        table = fit(base, keys, measures, folds, salt, search)
+        table = fit(base, keys, measures, folds, salt, search, mean)
         if durable:
             table = materialise(table, "encoding_" + "_".join(keys))
-        df = attach(df, table, keys, measures, overall(base, measures), at)
+        df = attach(df, table, keys, measures, mean, at)
     return df
 
 
@@ -364,10 +375,9 @@ def pair_with_fallback(train, a, b, target, name, other=None, alpha=40.0, mix=(0
     everyone = train.withColumn("_one", F.lit(1))
     df = df.withColumn("_one", F.lit(1))
     # the overall rate by fold is a one-row table with k + 1 entries
-    cells = fit(everyone, ["_one"], sums("all"), k, salt)
-    whole = cells.select(F.struct("_all_s", "_all_n")).scalar()
+    whole = fit(everyone, ["_one"], sums("all"), k, salt).select("views").scalar()
     at = fold.cast("int") if isinstance(fold, Column) else F.lit(fold)
-    df = df.withColumn("_g", ratio(whole["_all_s"][at], whole["_all_n"][at])).drop("_one")
+    df = df.withColumn("_g", ratio(whole[at]["_all_s"], whole[at]["_all_n"])).drop("_one")
     for tag, keys in (("pair", [a, b]), ("a", [a]), ("b", [b])):
         m = sums(tag)
         df = attach(df, fit(train, keys, m, k, salt), keys, m, overall(train, m), fold)
