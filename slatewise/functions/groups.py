@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import materialise
 from .exprs import col
 
 WINDOW_LIMIT = 2_000_000
@@ -91,17 +92,19 @@ def _by_window(df, by, ranks, stats):
         if r.pct:
             rank = rank / F.count(v).over(w)
         out.append(F.when(v.isNotNull(), rank).alias(r.name))
-    return df.select("*", *out)
+    new = {s.name for s in stats} | {r.name for r in ranks}
+    return df.select(*[c for c in df.columns if c not in new], *out)
 
 
 def _by_aggregation(df, by, ranks, stats):
     plain = [s.agg.alias(s.name) for s in stats if s.median is None]
     if plain:
-        df = df.join(df.groupBy(*by).agg(*plain), by, "left")
+        table = df.groupBy(*by).agg(*plain)
+        df = df.drop(*[s.name for s in stats if s.median is None]).join(table, by, "left")
     for s in stats:
         if s.median is not None:
             mid = quantiles(df.select(*by, col(s.median).alias("_v")), "_v", [0.5], by)
-            df = df.join(mid.select(*by, F.col("q")[0].alias(s.name)), by, "left")
+            df = df.drop(s.name).join(mid.select(*by, F.col("q")[0].alias(s.name)), by, "left")
     for r in ranks:
         df = _rank_by_slices(df, by, r)
     names = [s.name for s in stats] + [r.name for r in ranks]
@@ -134,68 +137,94 @@ def _rank_by_slices(df, by, r):
     return df.withColumn(r.name, rank).drop("_v", "_n", "_before", "_total")
 
 
-def value_ranks(df, value, by=(), weight=None, mark=None, slices=None):
+def value_counts(df, value, by=(), weight=None, mark=None):
+    """Rows per (by, distinct value) as a stored table, and whether it is small.
+
+    The source is read once: the counts (combined map-side) go to the shared
+    folder, their true number is then known, and later steps read the counts.
+    """
+    by = list(by)
+    rows = F.lit(1) if weight is None else F.col(weight)
+    cells = [F.sum(rows).alias("_n")]
+    if mark is not None:
+        cells.append(F.sum(rows * F.col(mark)).alias("_m"))
+    present = df.where(F.col(value).isNotNull())
+    for key in by:
+        present = present.where(F.col(key).isNotNull())
+    counts = materialise(present.groupBy(*by, value).agg(*cells), "value_counts")
+    return counts, counts.count() <= WINDOW_LIMIT
+
+
+def value_ranks(df, value, by=(), weight=None, mark=None, slices=None, small=None):
     """One row per (by, distinct value): _n rows, _before rows below it, _total rows.
 
-    The exact rank of any row follows from this table, and no task ever orders
-    a whole group: values are counted first (combined map-side), then cut into
-    slices at approximate quantiles; each slice is ordered alone and shifted by
-    the rows of the slices before it. The cut points only balance the work, the
-    ranks are exact whatever they are.
+    The exact rank of any row follows from this table. A small table of counts
+    (checked) takes one window. A large one is cut into slices at approximate
+    quantiles; each slice is ordered alone and shifted by the rows of the slices
+    before it, so no task orders a whole group. The cut points only balance the
+    work, the ranks are exact whatever they are.
 
     `weight` names a column of row counts where the input is counted already.
     `mark` is a 0/1 column counted alongside as _m, _m_before and _m_total.
     """
     by = list(by)
+    counts, is_small = value_counts(df, value, by, weight, mark)
+    parts = [("_n", "")] + ([("_m", "_m")] if mark is not None else [])
+    over = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
+    below = (W.unboundedPreceding, -1)
+    if is_small if small is None else small:
+        out = []
+        for n, pre in parts:
+            out += [n, F.coalesce(F.sum(n).over(over.orderBy(value).rowsBetween(*below)), F.lit(0)).alias(f"{pre}_before"),
+                    F.sum(n).over(over).alias(f"{pre}_total")]
+        return counts.select(*by, value, *out)
     if slices is None:
-        parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-        slices = min(256, max(16, int(parts)))
-    rows = F.lit(1) if weight is None else F.col(weight)
-    parts = [("_n", F.sum(rows))]
-    if mark is not None:
-        parts.append(("_m", F.sum(rows * F.col(mark))))
-    counts = (df.where(F.col(value).isNotNull()).groupBy(*by, value)
-              .agg(*[e.alias(n) for n, e in parts]))
+        width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        slices = min(256, max(16, width))
     points = F.array(*[F.lit(i / slices) for i in range(1, slices)])
     cuts = F.percentile_approx(value, points, F.lit(1000))
     if by:
-        cut = counts.groupBy(*by).agg(cuts.alias("_cuts"))
-        keyed = counts.join(cut, by)
+        keyed = counts.join(counts.groupBy(*by).agg(cuts.alias("_cuts")), by)
     else:
         keyed = counts.withColumn("_cuts", counts.agg(cuts).scalar())
-    keyed = keyed.withColumn(
-        "_slice", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    # never NULL: else the join below would push an IS NOT NULL on it down to every row
+    slice_no = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))
+    keyed = keyed.withColumn("_slice", slice_no).drop("_cuts")
     sizes = keyed.groupBy(*by, "_slice").agg(*[F.sum(n).alias(n) for n, _ in parts])
     # at most `slices` rows per group from here on
-    over = W.partitionBy(*by)
-    earlier = over.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    inside = (W.partitionBy(*by, "_slice").orderBy(value)
-              .rowsBetween(W.unboundedPreceding, -1))
+    earlier = over.orderBy("_slice").rowsBetween(*below)
+    inside = W.partitionBy(*by, "_slice").orderBy(value).rowsBetween(*below)
     shifts, sums, out = [], [], []
-    for n, _ in parts:
-        pre = "" if n == "_n" else n
-        shifts += [F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"{n}_shift"),
-                   F.sum(n).over(over).alias(f"{pre}_total")]
+    for n, pre in parts:
+        shifts += [F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"{n}_shift"), F.sum(n).over(over).alias(f"{pre}_total")]
         sums.append(F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"{n}_inner"))
         out += [n, (F.col(f"{n}_shift") + F.col(f"{n}_inner")).alias(f"{pre}_before"), f"{pre}_total"]
     keyed = keyed.select("*", *sums)
-    return keyed.join(sizes.select(*by, "_slice", *shifts), [*by, "_slice"]).select(
-        *by, value, *out)
+    return keyed.join(sizes.select(*by, "_slice", *shifts), [*by, "_slice"]).select(*by, value, *out)
 
 
-def quantiles(df, value, probs, by=()):
+def quantiles(df, value, probs, by=(), small=None):
     """Exact quantiles with linear interpolation: one row per group, array column `q`."""
     by = list(by)
-    t = value_ranks(df, value, by)
-    lo, hi = [], []
-    for i, p in enumerate(probs):
-        at = F.lit(float(p)) * (F.col("_total") - 1)
-        for name, where, out in (("lo", F.floor(at), lo), ("hi", F.ceil(at), hi)):
-            hit = (F.col("_before") <= where) & (where < F.col("_before") + F.col("_n"))
-            out.append(F.max(F.when(hit, F.col(value).cast("double"))).alias(f"_{name}{i}"))
-    agg = t.groupBy(*by).agg(F.max("_total").alias("_total"), *lo, *hi)
-    q = []
-    for i, p in enumerate(probs):
-        at = F.lit(float(p)) * (F.col("_total") - 1)
-        q.append(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (at - F.floor(at)))
-    return agg.select(*by, F.array(*q).alias("q"))
+    counts, is_small = value_counts(df, value, by)
+    if is_small if small is None else small:
+        at = F.array(*[F.lit(float(p)) for p in probs])
+        return counts.groupBy(*by).agg(F.percentile(F.col(value).cast("double"), at, F.col("_n")).alias("q"))
+    points = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+    first, last = F.col("_before"), F.col("_before") + F.col("_n") - 1
+
+    def at(p):
+        return p["p"] * (F.col("_total") - 1)
+
+    # a value matters to the few quantiles whose lower or upper neighbour it holds
+    near = F.filter(points, lambda p: (F.ceil(at(p)) >= first) & (F.floor(at(p)) <= last))
+    hits = value_ranks(counts, value, by, weight="_n", small=False).select(
+        *by, F.col(value).cast("double").alias("_x"), "_before", "_n", "_total", F.explode(near).alias("_p"))
+    p = F.col("_p")
+    low, high = F.floor(at(p)), F.ceil(at(p))
+    ends = hits.groupBy(*by, "_p").agg(
+        F.max(F.when(low.between(first, last), F.col("_x"))).alias("_lo"),
+        F.max(F.when(high.between(first, last), F.col("_x"))).alias("_hi"), F.max(at(p) - low).alias("_d"))
+    q = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_d")
+    return ends.groupBy(*by).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct(p["i"].alias("i"), q.alias("q")))), lambda x: x["q"]).alias("q"))

@@ -28,7 +28,7 @@ CANDIDATES = """WITH base AS (
          1 + l_suppkey % 7 AS srch_length_of_stay,
          CASE WHEN l_returnflag = 'R' AND l_discount >= 0.08 THEN 1 ELSE 0 END AS click_bool
   FROM one WHERE dup_no = 1
-), lab AS (
+), marked AS (
   SELECT *, CASE WHEN click_bool = 1 AND srch_id % 10 < 7
                   AND row_number() OVER (PARTITION BY srch_id, click_bool
                                          ORDER BY l_quantity DESC, prop_id) = 1
@@ -57,4 +57,4 @@ SELECT srch_id, date_time, s_nationkey % 5 AS site_id,
 """ + "".join(_competitor(i) for i in range(1, 9)) + """  click_bool,
   CASE WHEN booking_bool = 1 THEN price_usd * srch_length_of_stay END AS gross_bookings_usd,
   booking_bool
-FROM lab"""
+FROM marked"""

@@ -15,7 +15,7 @@ class Tables:
     """Tables derived from one scale folder, each built on first use."""
 
     def __init__(self, spark, sf_dir):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self._memo = spark, sf_dir, {}
 
     @property
     def impressions(self):
@@ -40,6 +40,13 @@ class Tables:
         return testbed.stored_table(self.spark, self.sf_dir, name, build)
 
 
+    def memo(self, name, build):
+        """A small driver-side result (a fitted model) kept for the session."""
+        if name not in self._memo:
+            self._memo[name] = build()
+        return self._memo[name]
+
+
 _tables = {}
 
 
@@ -84,15 +91,18 @@ def view(name, sql):
 
 
 def used(body):
-    """The WITH items a text needs, in order of definition."""
-    need, todo = set(), [body]
-    while todo:
-        text = todo.pop()
+    """The WITH items a text needs, each after the ones it needs itself."""
+    order, seen = [], set()
+
+    def visit(text):
         for name, sql in VIEWS.items():
-            if name not in need and re.search(rf"\b{name}\b", text):
-                need.add(name)
-                todo.append(sql)
-    return "".join(f"{n} AS MATERIALIZED (\n{VIEWS[n]}\n),\n" for n in VIEWS if n in need)
+            if name not in seen and re.search(rf"(\bFROM|\bJOIN|,)\s+{name}\b", text):
+                seen.add(name)
+                visit(sql)
+                order.append(name)
+
+    visit(body)
+    return "".join(f"{n} AS MATERIALIZED (\n{VIEWS[n]}\n),\n" for n in order)
 
 
 def bucket_sql(key, k, salt=""):
