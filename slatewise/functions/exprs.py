@@ -69,10 +69,18 @@ def label(click="click_bool", book="booking_bool"):
 STEP = 0.4871
 
 
+# From here on values are kept to 2 digits: a double has no more to compare.
+LARGE = 1e6
+
+
 def fixed(c, digits=6):
     """Round to a grid by floor, the form that agrees between engines."""
-    p = float(10 ** digits)
-    return F.floor(num(c) * p + STEP).cast("double") / p
+    x = num(c)
+
+    def at(d):
+        return F.floor(x * float(10 ** d) + STEP).cast("double") / float(10 ** d)
+
+    return F.when(F.abs(x) >= LARGE, at(2)).otherwise(at(digits))
 
 
 def band(c, bounds, names):

@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import STEP, fixed, label
+from ..functions.exprs import LARGE, STEP, fixed, label
 from ..sources import testbed
 from .candidate_sql import CANDIDATES
 
@@ -76,7 +76,8 @@ class Query:
 
     def oracle(self):
         cols = [f"CAST({c} AS BIGINT) AS {c}" for c in self.ints.split()]
-        cols += [f"floor(CAST({c} AS DOUBLE) * 1e6 + {STEP}) / 1e6 AS {c}" for c in self.nums.split()]
+        cols += [f"CASE WHEN abs(CAST({c} AS DOUBLE)) >= {LARGE} THEN floor(CAST({c} AS DOUBLE) * 1e2 + {STEP}) / 1e2 "
+                 f"ELSE floor(CAST({c} AS DOUBLE) * 1e6 + {STEP}) / 1e6 END AS {c}" for c in self.nums.split()]
         cols += [f"CAST({c} AS VARCHAR) AS {c}" for c in self.texts.split()]
         body = self.sql.strip()
         return f"WITH {used(body)}result AS (\n{body}\n)\nSELECT {', '.join(cols)} FROM result"
