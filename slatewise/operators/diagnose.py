@@ -267,9 +267,14 @@ def hard_negatives(ranked, features, failures_only=False):
 
 
 def easy_wins_missed(ranked):
-    """Booked items placed below 5 that beat their slate in several ways."""
+    """Booked items placed below 5 that beat their slate in several ways.
+
+    Means are rounded to 9 digits: an item equal to the mean must not win or
+    lose by the order of summation.
+    """
     s = within(ranked, [SEARCH], stats=[Stat("_price", median="price_usd"), Stat("_star", F.avg("prop_starrating")),
                                         Stat("_review", F.avg("prop_review_score")), Stat("_loc", F.avg("prop_location_score1"))])
+    s = s.withColumns({c: F.round(c, 9) for c in ("_star", "_review", "_loc")})
     flags = {"cheaper": flag(F.col("price_usd") <= F.col("_price")), "better_star": flag(F.col("prop_starrating") >= F.col("_star")),
              "better_review": flag(F.col("prop_review_score") >= F.col("_review")),
              "better_location": flag(F.col("prop_location_score1") >= F.col("_loc")), "promoted": flag(F.col("promotion_flag") == 1)}

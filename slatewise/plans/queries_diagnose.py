@@ -234,7 +234,7 @@ query("d27_easy_wins_missed", lambda t: D.easy_wins_missed(context(t)), """
 SELECT count(*) AS n_failures, avg(a) AS cheaper, avg(b) AS better_star, avg(c) AS better_review, avg(d) AS better_location, avg(promotion_flag) AS promoted,
   sum((a + b + c + d >= 3)::INT) AS superior_3, sum((a + b + c + d = 4)::INT) AS superior_4 FROM (
   SELECT (price_usd <= mp)::INT AS a, (prop_starrating >= ms)::INT AS b, coalesce((prop_review_score >= mr)::INT, 0) AS c, (prop_location_score1 >= ml)::INT AS d, promotion_flag
-  FROM ctx JOIN (SELECT srch_id, quantile_cont(price_usd, 0.5) AS mp, avg(prop_starrating) AS ms, avg(prop_review_score) AS mr, avg(prop_location_score1) AS ml FROM ctx GROUP BY 1) USING (srch_id)
+  FROM ctx JOIN (SELECT srch_id, quantile_cont(price_usd, 0.5) AS mp, round(avg(prop_starrating), 9) AS ms, round(avg(prop_review_score), 9) AS mr, round(avg(prop_location_score1), 9) AS ml FROM ctx GROUP BY 1) USING (srch_id)
   WHERE booking_bool = 1 AND rank > 5)""", ints="n_failures superior_3 superior_4", nums="cheaper better_star better_review better_location promoted")
 S28 = ("seg_los", "seg_dom", "seg_family", "seg_bookwin", "seg_cand")
 query("d28_success_by_segment", lambda t: D.success_by_segment(D.add_segments(context(t)), {s: F.col(s) for s in S28}), " UNION ALL ".join(
