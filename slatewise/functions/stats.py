@@ -97,7 +97,7 @@ def bin_of(value, edges, lowest=True):
     """1-based right-closed bin of a value among sorted edges; NULL outside of them."""
     x = num(value)
     below = F.size(F.filter(edges, lambda e: e < x))
-    bin_no = F.when((below > 0) & (below < F.size(edges)), below)
+    bin_no = F.when((x > edges[0]) & (x <= F.element_at(edges, -1)), below)
     if lowest:
         bin_no = F.when(x == edges[0], 1).otherwise(bin_no)
     return F.when(x.isNotNull(), bin_no)
