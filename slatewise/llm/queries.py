@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, packing, secret_scan
 from .common import table
 
 
@@ -11,5 +11,13 @@ def op2_mix_sources(spark, sf_dir):
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {"op2_mix_sources": op2_mix_sources}
+def op4_pack_windows(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op5_secret_scan(spark, sf_dir):
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op5_secret_scan": op5_secret_scan, "op2_mix_sources": op2_mix_sources, "op4_pack_windows": op4_pack_windows}
 ORACLES: dict[str, str] = {}
