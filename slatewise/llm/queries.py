@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, secret_scan
+from . import mixing, packing, quality_rules, secret_scan, simhash, toxicity
+from pyspark.sql import functions as F
+
 from .common import table
 
 
@@ -19,5 +21,24 @@ def op5_secret_scan(spark, sf_dir):
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op5_secret_scan": op5_secret_scan, "op2_mix_sources": op2_mix_sources, "op4_pack_windows": op4_pack_windows}
+def op8_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_quality_ledger(spark, sf_dir):
+    entries = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    return quality_rules.apply_policy(entries).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+
+
+def op10_simhash_classes(spark, sf_dir):
+    return simhash.classes(table(spark, sf_dir, "documents")).select(
+        "doc_id", simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op10_simhash_classes": op10_simhash_classes,
+           "op9_quality_ledger": op9_quality_ledger,
+           "op8_toxicity": op8_toxicity,
+           "op5_secret_scan": op5_secret_scan, "op2_mix_sources": op2_mix_sources, "op4_pack_windows": op4_pack_windows}
 ORACLES: dict[str, str] = {}
