@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality_rules, secret_scan, simhash, toxicity
+from . import ann, licenses, mixing, packing, preference, quality_rules, secret_scan, simhash, toxicity
 from pyspark.sql import functions as F
 
 from .common import table
@@ -37,8 +37,23 @@ def op10_simhash_classes(spark, sf_dir):
         "doc_id", simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op10_simhash_classes": op10_simhash_classes,
+def op6_multiprobe_neighbours(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % ann.QUERY_STEP == 0)
+
+
+def op1_preference_pairs(spark, sf_dir):
+    return preference.format_pairs(preference.neighbours(table(spark, sf_dir, "conversations")))
+
+
+def op7_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_preference_pairs": op1_preference_pairs,
+           "op7_license_scan": op7_license_scan,
+           "op6_multiprobe_neighbours": op6_multiprobe_neighbours,
+           "op10_simhash_classes": op10_simhash_classes,
            "op9_quality_ledger": op9_quality_ledger,
            "op8_toxicity": op8_toxicity,
            "op5_secret_scan": op5_secret_scan, "op2_mix_sources": op2_mix_sources, "op4_pack_windows": op4_pack_windows}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_preference_pairs": preference.ORACLE, "op7_license_scan": licenses.oracle()}
