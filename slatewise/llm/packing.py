@@ -16,8 +16,8 @@ kept; columns besides `doc_id` and `text` are not read.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections import defaultdict
 
@@ -29,15 +29,12 @@ from pyspark.sql import functions as F
 
 CAPACITY = 2048
 END_ID = 1
-#: Tokens gathered before windows are filled, and words and characters held by the word cache and one step.
-WINDOW_TOKENS = 1 << 20
-CACHE_WORDS, CACHE_LETTERS, STEP_CHARS = 300_000, 64, 1 << 19
-SPECIAL = "<|endoftext|>"
+#: Tokens gathered before windows are filled, and rows put out at once.
+WINDOW_TOKENS, ROWS = 1 << 20, 4096
+#: Fixed value: how byte-level models cut text into words.
+BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-#: Where a space does not surely start a new token: next to other white space.
-_UNSURE = re.compile(r"\s \s|  ")
-
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -46,38 +43,58 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes; words are encoded once and remembered.
+    """Token ids of texts as little-endian 32-bit bytes.
 
-    A byte-level vocabulary splits before a space that follows a character other
-    than white space or precedes one, so texts are put together from their words.
-    Texts with other runs of white space, or with a special token, go whole.
+    A byte-level BPE whose merges are numbered in their order is the same model as
+    a table of ranks, which is read several times faster; any other model file is
+    used as it is. The ids are those of the model file in both cases.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        parted = [None if SPECIAL in t or _UNSURE.search(t) else t.split(" ") for t in texts]
-        wanted = {w for words in parted if words for w in words[1:]}
-        if len(self.known) + len(wanted) > CACHE_WORDS:
-            self.known = {w: self.known[w] for w in wanted if w in self.known}
-        new = [w for w in wanted if w not in self.known]
-        for w, e in zip(new, self.model.encode_batch_fast([f" {w}" for w in new], add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        out = [self.whole(t) if words is None else self.whole(words[0]) + b"".join(map(get, words[1:]))
-               for t, words in zip(texts, parted)]
-        for w in new:
-            if len(w) > CACHE_LETTERS:
-                del self.known[w]
-        return out
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        self.special = {t["content"]: t["id"] for t in parts.get("added_tokens", [])}
+        ranks = self._ranks(parts)
+        if ranks:
+            import tiktoken
+
+            self.model = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_WORDS, mergeable_ranks=ranks, special_tokens=self.special)
+            self._ids = self._ranked
+        else:
+            from tokenizers import Tokenizer
+
+            self.model = Tokenizer.from_file(path)
+            self._ids = lambda text: self.model.encode(text, add_special_tokens=False).ids
+
+    def _ranks(self, parts) -> dict[bytes, int] | None:
+        """Ids by bytes, if the file is a plain byte-level model with its merges in order of their ids."""
+        model, before = parts["model"], parts.get("pre_tokenizer") or {}
+        plain = (model["type"] == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex", True)
+                 and not before.get("add_prefix_space") and not parts.get("normalizer") and not model.get("byte_fallback")
+                 and not model.get("dropout") and not model.get("ignore_merges"))
+        if not plain:
+            return None
+        letter = {c: b for b, c in _byte_letters().items()}
+        ids = {t: i for t, i in model["vocab"].items() if t not in self.special}
+        merged = [ids.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+        ordered = None not in merged and all(x < y for x, y in zip(merged, merged[1:])) and len(merged) + 256 == len(ids)
+        return {bytes(letter[c] for c in t): i for t, i in ids.items()} if ordered else None
+
+    def _ranked(self, text: str):
+        if any(s in text for s in self.special):
+            return self.model.encode(text, allowed_special="all")
+        return self.model.encode_ordinary(text)
+
+    def __call__(self, text: str) -> bytes:
+        return np.array(self._ids(text), "<u4").tobytes()
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else the next free one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 def closest(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -149,20 +166,6 @@ class Rests:
         return out
 
 
-def steps(batches):
-    """Lists of (doc_id, text) of bounded length, except for a text that is longer."""
-    held, chars = [], 0
-    for b in batches:
-        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            held.append((doc_id, text or ""))
-            chars += len(held[-1][1])
-            if chars >= STEP_CHARS:
-                yield held
-                held, chars = [], 0
-    if held:
-        yield held
-
-
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID,
          with_ids: bool = False) -> DataFrame:
     """One row per piece of a document (`SCHEMA`); with `with_ids` also its token ids as an array."""
@@ -194,8 +197,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
             rows.clear()
             return table.combine_chunks().to_batches()
 
-        for step in steps(batches):
-            for (doc_id, _), ids in zip(step, encode([t for _, t in step])):
+        for b in batches:
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
+                ids = encode(text.as_py() or "")
                 serial += 1
                 owners[serial] = (doc_id, ids + end)
                 n = len(ids) // 4 + 1
@@ -206,13 +210,13 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
                 else:
                     del owners[serial]
                 gathered += n
-            if gathered >= WINDOW_TOKENS:
-                while rests.total >= capacity:
-                    emit(rests.window())
-                kept = {p[0] for stack in rests.by_length.values() for p in stack}
-                owners, gathered = {k: owners[k] for k in kept}, 0
-            if rows:
-                yield from flush()
+                if gathered >= WINDOW_TOKENS:
+                    while rests.total >= capacity:
+                        emit(rests.window())
+                    kept = {p[0] for stack in rests.by_length.values() for p in stack}
+                    owners, gathered = {k: owners[k] for k in kept}, 0
+                if rows and len(rows["doc_id"]) >= ROWS:
+                    yield from flush()
         while rests.total >= capacity:
             emit(rests.window())
         for pieces in rests.powers():
