@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, licenses, mixing, packing, preference, quality_rules, secret_scan, simhash, toxicity
+import corpus_pipeline
 from pyspark.sql import functions as F
 
+from . import ann, licenses, mixing, packing, preference, quality_rules, secret_scan, simhash, toxicity
 from .common import table
 
 
@@ -49,11 +50,16 @@ def op7_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_preference_pairs": op1_preference_pairs,
-           "op7_license_scan": op7_license_scan,
-           "op6_multiprobe_neighbours": op6_multiprobe_neighbours,
-           "op10_simhash_classes": op10_simhash_classes,
-           "op9_quality_ledger": op9_quality_ledger,
-           "op8_toxicity": op8_toxicity,
-           "op5_secret_scan": op5_secret_scan, "op2_mix_sources": op2_mix_sources, "op4_pack_windows": op4_pack_windows}
+QUERIES = {
+    "op1_preference_pairs": op1_preference_pairs,
+    "op2_mix_sources": op2_mix_sources,
+    "op4_pack_windows": op4_pack_windows,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_multiprobe_neighbours": op6_multiprobe_neighbours,
+    "op7_license_scan": op7_license_scan,
+    "op8_toxicity": op8_toxicity,
+    "op9_quality_ledger": op9_quality_ledger,
+    "op10_simhash_classes": op10_simhash_classes,
+    "pipeline": corpus_pipeline.run,
+}
 ORACLES = {"op1_preference_pairs": preference.ORACLE, "op7_license_scan": licenses.oracle()}
