@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from . import ann, licenses, mixing, packing, preference, quality_rules, secret_scan, simhash, toxicity
+from . import ann, licenses, mixing, packing, preference, quality_rules, secret_scan, simhash, suffix_dedup, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op2_mix_sources(spark, sf_dir):
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op4_pack_windows(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op7_license_scan(spark, sf_dir):
 QUERIES = {
     "op1_preference_pairs": op1_preference_pairs,
     "op2_mix_sources": op2_mix_sources,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_pack_windows": op4_pack_windows,
     "op5_secret_scan": op5_secret_scan,
     "op6_multiprobe_neighbours": op6_multiprobe_neighbours,
