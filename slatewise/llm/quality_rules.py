@@ -60,7 +60,7 @@ _SIGNS = [ord(c) for c in SYMBOLS]
 
 
 def bits(rules) -> int:
-    return sum(1 << list(RULES).index(r) for r in rules)
+    return sum(1 << i for i, r in enumerate(RULES) if r in rules)
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
