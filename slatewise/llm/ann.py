@@ -29,6 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,7 +100,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def _by_length(batch, column: int):
-    lengths = pa.compute.list_value_length(batch.column(column)).to_numpy(zero_copy_only=False)
+    lengths = pc.list_value_length(batch.column(column)).to_numpy(zero_copy_only=False)
     for length in np.unique(lengths):
         yield int(length), batch.filter(pa.array(lengths == length))
 

@@ -141,14 +141,14 @@ def oracle() -> str:
     return f"""
 WITH known(words, name) AS (VALUES {known}), rules(i, licence, shape) AS (VALUES {rules}), takes(i, licence) AS (VALUES {takes}),
 d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
-s AS (SELECT row, unnest(x) AS s, generate_subscripts(x, 1) AS at FROM (SELECT row,
+s AS (SELECT row, unnest(x) AS s, generate_subscripts(x, 1) AS pos FROM (SELECT row,
       string_split(regexp_replace(text, '{ENDS}', chr(92) || '1' || {cut}, 'g'), {cut}) AS x FROM d)),
-u AS (SELECT row, at, 0 AS part, s AS unit FROM s UNION ALL
-      SELECT row, at, part, unit FROM (SELECT row, at, s, unnest(string_split(s, chr(10))) AS unit,
+u AS (SELECT row, pos, 0 AS part, s AS unit FROM s UNION ALL
+      SELECT row, pos, part, unit FROM (SELECT row, pos, s, unnest(string_split(s, chr(10))) AS unit,
              generate_subscripts(string_split(s, chr(10)), 1) AS part FROM s WHERE contains(s, chr(10)))),
-k AS (SELECT row, at, min(part) AS part, name FROM (SELECT row, at, part, name, unit FROM u JOIN known
-      ON trim(regexp_replace(translate(unit, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')) = words) GROUP BY row, at, unit, name),
-f AS (SELECT row, string_agg(name, ',' ORDER BY at, part) AS sentences, '|' || string_agg(name, '||' ORDER BY at, part) || '|' AS flow
+k AS (SELECT row, pos, min(part) AS part, name FROM (SELECT row, pos, part, name, unit FROM u JOIN known
+      ON trim(regexp_replace(translate(unit, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')) = words) GROUP BY row, pos, unit, name),
+f AS (SELECT row, string_agg(name, ',' ORDER BY pos, part) AS sentences, '|' || string_agg(name, '||' ORDER BY pos, part) || '|' AS flow
       FROM k GROUP BY row),
 h AS (SELECT DISTINCT row, i, licence FROM f JOIN rules ON regexp_matches(flow, shape)),
 l AS (SELECT row, list_sort(list(DISTINCT licence)) AS names FROM h WHERE NOT EXISTS

@@ -24,7 +24,6 @@ import math
 import re
 import sys
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,9 +52,13 @@ EXCEPTIONS = ("clown fish", "class clown", "trash can", "trash bag", "trash bin"
 _WORD = re.compile(r"\w+")
 
 
-@lru_cache(1)
+_tables: list[np.ndarray] = []
+
+
 def _fold_table() -> np.ndarray:
     """For every code point the code point it is read as."""
+    if _tables:
+        return _tables[0]
     out = np.arange(sys.maxunicode + 1, dtype=np.uint32)
     for i in range(128, 0x20000):
         plain = unicodedata.normalize("NFKD", chr(i))
@@ -65,7 +68,8 @@ def _fold_table() -> np.ndarray:
     out = np.array([lower.get(i, i) for i in range(0x20000)], np.uint32)[np.minimum(out, 0x1FFFF)] * (out < 0x20000) + out * (out >= 0x20000)
     for a, b in LOOKALIKES.items():
         out[out == ord(a)] = ord(b)
-    return out.astype("<u4")
+    _tables.append(out.astype("<u4"))
+    return _tables[0]
 
 
 def fold(text: str) -> str:
