@@ -1,9 +1,9 @@
 """Rank fusion and search over fusions.
 
 Members enter as a long prediction table. `member_ranks` turns it into one row
-per item with an array of ranks, once; any number of fusions is then scored in
-one job: each trial is a weight vector, trials are exploded next to the ranks
-inside the partitioning by search, so no trial causes a shuffle of its own.
+per item with an array of ranks, once; `positive_pairs` puts every positive next to
+its slate, once. A trial is then a weight vector and one counting column over those
+pairs, so any number of fusions is scored without a sort or a shuffle of slates.
 Scores of fused ranks are ascending (small is good) unless stated otherwise.
 """
 
@@ -19,6 +19,7 @@ from ..functions.exprs import flag, num, ratio, total, zero_as
 from ..functions.groups import Rank, Stat, within
 from ..functions.small import small_table
 from ..schema import SEARCH
+from ..session import materialise
 from . import metrics
 
 ITEM = "prop_id"
@@ -259,49 +260,63 @@ def random_trials(members, n, kind, seed=42, sizes=(3, 10)):
     return out
 
 
-def slate_values(ranks, labels):
-    """Ranks next to the relevance, positive slates only, with the count of all slates.
+def positive_pairs(values, column="r"):
+    """Each positive row next to every row of its slate, stored once for any number of trials.
 
-    Slates without a positive add 0 to NDCG and nothing else, so trials need
-    not look at them.
+    Columns: srch_id, prop_id and `v` of the row; p_item, p_rel and p_v of the positive.
+    The metrics only ask for the places of positives, and a place is the number of
+    rows of the slate that go before.
     """
-    df = ranks.join(labels.select(*KEYS, "relevance"), KEYS)
-    return within(df, [SEARCH], stats=[Stat("_best", F.max("relevance"))])
+    rows = values.select(SEARCH, ITEM, "relevance", F.col(column).alias("v"))
+    positives = rows.where("relevance > 0").select(
+        SEARCH, F.col(ITEM).alias("p_item"), F.col("relevance").alias("p_rel"), F.col("v").alias("p_v"))
+    return materialise(rows.join(positives, SEARCH), "positive_pairs")
 
 
-def score_trials(values, members, trials, column="r", ascending=True, chunk=200):
+def score_trials(values, members, trials, column="r", ascending=True, pairs=None):
     """Metrics of every trial {name: {member: weight}} in one job.
 
-    `values` has srch_id, prop_id, relevance and the members' values as an
-    array. Weights are divided by their sum. Trials go in chunks only to keep
-    single expressions small; they are one union, hence one job.
+    `values` has srch_id, prop_id, relevance and the members' values as an array.
+    Weights are divided by their sum. Next to each pair of a positive and a row of
+    its slate the weight vectors are listed, and the rows that go before are counted
+    per trial and positive: nothing is sorted, and all steps keep the partitioning
+    by search. `pairs` takes the result of `positive_pairs` where calls share it.
     """
     at = {m: i for i, m in enumerate(members)}
     n_queries = values.agg(F.countDistinct(SEARCH)).scalar()
-    positive = within(values, [SEARCH], stats=[Stat("_best", F.max("relevance"))]) \
-        if "_best" not in values.columns else values
-    positive = positive.where("_best > 0").drop("_best")
-    names = list(trials)
-    out = None
-    for start in range(0, len(names), chunk):
-        part = names[start:start + chunk]
-        rows = []
-        for name in part:
-            s = float(sum(trials[name].values()))
-            w = [0.0] * len(members)
-            for m, x in trials[name].items():
-                w[at[m]] = x / s
-            rows.append({"trial": name, "w": w})
-        grid = F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<trial string, w array<double>>>"))
+    pairs = positive_pairs(values, column) if pairs is None else pairs
+    names, grid = list(trials), []
+    for i, name in enumerate(names):
+        s = float(sum(trials[name].values()))
+        w = [0.0] * len(members)
+        for m, x in trials[name].items():
+            w[at[m]] = x / s
+        grid.append({"t": i, "w": w})
+    listed = F.explode(F.from_json(F.lit(json.dumps(grid)), "array<struct<t int, w array<double>>>"))
+    columns = {f"v{i}": F.col("v")[i] for i in range(len(members))} | {f"p{i}": F.col("p_v")[i] for i in range(len(members))}
+    flat = pairs.select(SEARCH, ITEM, "p_item", "p_rel", *[e.alias(n) for n, e in columns.items()]).repartition(SEARCH)
+
+    def fused(side):
         # zero-weight members must not turn a missing value into a missing sum
-        fused = total([F.when(F.col("g.w")[i] != 0, F.col(column)[i] * F.col("g.w")[i]).otherwise(F.lit(0.0))
-                       for i in range(len(members))])
-        long = positive.select("*", grid.alias("g")).select(
-            F.col("g.trial").alias("trial"), SEARCH, ITEM, "relevance", fused.alias("score"))
-        per = metrics.per_search_metrics(long, "score", by=["trial"], ascending=ascending)
-        out = per if out is None else out.unionByName(per)
-    done = metrics.summarise(out, ["trial"])
-    return done.withColumns({"ndcg5": F.col("ndcg5") * F.col("n_queries") / n_queries, "n_queries": n_queries})
+        return total([F.when(F.col("g.w")[i] != 0, F.col(f"{side}{i}") * F.col("g.w")[i]).otherwise(F.lit(0.0)) for i in range(len(members))])
+
+    scored = flat.select("*", listed.alias("g")).select(
+        F.col("g.t").alias("t"), SEARCH, ITEM, "p_item", "p_rel", fused("v").alias("row"), fused("p").alias("positive"))
+    row, positive = F.col("row"), F.col("positive")
+    # better, or as good with a smaller item; rows without a score come last
+    better = row < positive if ascending else row > positive
+    before = (row.eqNullSafe(positive) & (F.col(ITEM) < F.col("p_item"))) | (row.isNotNull() & (positive.isNull() | better))
+    places = scored.groupBy("t", SEARCH, "p_item", "p_rel").agg((F.sum(flag(before)) + 1).alias("place"))
+    booked, place = F.col("p_rel") == 5, F.col("place")
+    slates = places.groupBy("t", SEARCH).agg(
+        F.sum(flag(booked)).alias("n_fives"), F.sum(flag(F.col("p_rel") == 1)).alias("n_ones"),
+        F.sum(F.when(place <= 5, F.col("p_rel") / metrics.discount(place)).otherwise(0.0)).alias("dcg"),
+        F.min(F.when(booked, place)).alias("booked_rank"))
+    slates = slates.withColumn("ndcg", F.coalesce(ratio("dcg", metrics.ideal_dcg(5)), F.lit(0.0)))
+    done = metrics.summarise(slates, ["t"]).withColumns(
+        {"ndcg5": F.col("ndcg5") * F.col("n_queries") / n_queries, "n_queries": n_queries})
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("t") + 1)
+    return done.select(name.alias("trial"), *[c for c in done.columns if c != "t"])
 
 
 def deltas(results, base, name="trial", metric="ndcg5"):
@@ -312,13 +327,13 @@ def deltas(results, base, name="trial", metric="ndcg5"):
 
 def greedy_forward(values, members, start):
     """Add the member that helps most until none does; each step scores all candidates in one job."""
-    chosen = [start]
-    best = score_trials(values, members, {"0": {start: 1.0}}).first()["ndcg5"]
+    chosen, pairs = [start], positive_pairs(values)
+    best = score_trials(values, members, {"0": {start: 1.0}}, pairs=pairs).first()["ndcg5"]
     path = [(1, start, best)]
     while len(chosen) < len(members):
         rest = [m for m in members if m not in chosen]
         trials = {m: dict.fromkeys([*chosen, m], 1.0) for m in rest}
-        top = (score_trials(values, members, trials)
+        top = (score_trials(values, members, trials, pairs=pairs)
                .orderBy(F.col("ndcg5").desc(), "trial").first())
         if not top["ndcg5"] > best + 1e-12:
             break

@@ -22,17 +22,17 @@ def with_relevance(df):
     return df if "relevance" in df.columns else df.withColumn("relevance", label())
 
 
-def _discount(place):
+def discount(place):
     return F.log2(place + F.lit(1.0))
 
 
-def _ideal_dcg(k):
+def ideal_dcg(k):
     """Best DCG of a slate from its counts of fives and ones; no second ordering needed."""
     n5, n1 = F.col("n_fives"), F.col("n_ones")
     out = F.lit(0.0)
     for place in range(1, k + 1):
         gain = F.when(n5 >= place, 5.0).when(n5 + n1 >= place, 1.0).otherwise(0.0)
-        out = out + gain / _discount(F.lit(float(place)))
+        out = out + gain / discount(F.lit(float(place)))
     return out
 
 
@@ -40,7 +40,7 @@ def slate_aggregates(k=5, rank="rank"):
     """Aggregates over the rows of one slate that every metric derives from."""
     r, rel = F.col(rank), F.col("relevance")
     booked = rel == 5
-    dcg = F.sum(F.when(r <= k, rel / _discount(r)).otherwise(0.0))
+    dcg = F.sum(F.when(r <= k, rel / discount(r)).otherwise(0.0))
     return [F.count(F.lit(1)).alias("n_rows"), F.sum(flag(booked)).alias("n_fives"),
             F.sum(flag(rel == 1)).alias("n_ones"), dcg.alias("dcg"),
             F.min(F.when(booked, r)).alias("booked_rank"),
@@ -55,7 +55,7 @@ def per_search_metrics(df, score="score", k=5, by=(), keep=(), ascending=False,
     r = ranked(with_relevance(df), score, by, ascending, search=search)
     carried = [F.first(c).alias(c) for c in keep]
     per = r.groupBy(*by, search).agg(*slate_aggregates(k), *carried)
-    ndcg = F.coalesce(ratio("dcg", _ideal_dcg(k)), F.lit(0.0))
+    ndcg = F.coalesce(ratio("dcg", ideal_dcg(k)), F.lit(0.0))
     return per.withColumn("ndcg", ndcg)
 
 

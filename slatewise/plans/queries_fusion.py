@@ -106,10 +106,17 @@ NAMED = {"top2": ["m2", "m1"], "top3": ["m2", "m1", "m3"], "content": ["m2", "m3
 trial_query("r11_named_ensembles", FU.subsets(NAMED))
 trial_query("r12_leave_one_out", FU.leave_one_out(NAMES), "all")
 trial_query("r12_leave_one_out_weighted", FU.leave_one_out_added("m1", {"m2": 0.1, "m3": 0.05, "m4": 0.05}), "all")
-query("r13_greedy_forward", lambda t: FU.greedy_forward(slates(t), NAMES, "m1"), None, ints="step", nums="ndcg5", texts="member")
-trial_query("r14_random_subsets", FU.random_trials(NAMES, 40, "subset"))
-trial_query("r14_random_weights", FU.random_trials(NAMES, 40, "weights"))
-trial_query("r14_random_subsets_and_weights", FU.random_trials(NAMES, 40, "both"))
+# every subset as a bit mask, then the greedy path over the masks
+MASKS = {str(b): {m: 1.0 for i, m in enumerate(NAMES) if b >> i & 1} for b in range(1, 1 << len(NAMES))}
+query("r13_greedy_forward", lambda t: FU.greedy_forward(slates(t), NAMES, "m1"), f"""
+WITH RECURSIVE x AS (SELECT trial::INTEGER AS mask, ndcg5 FROM ({trials_sql(MASKS)})),
+g AS (SELECT 1 AS step, 1 AS mask, 'm1' AS member, ndcg5 FROM x WHERE mask = 1 UNION ALL
+  SELECT * FROM (SELECT g.step + 1, x.mask, 'm' || (1 + log2(x.mask - g.mask)::INTEGER) AS member, x.ndcg5 FROM g JOIN x
+    ON bit_count(x.mask) = g.step + 1 AND x.mask & g.mask = g.mask AND x.ndcg5 > g.ndcg5 + 1e-12 ORDER BY x.ndcg5 DESC, member LIMIT 1))
+SELECT step, member, ndcg5 FROM g""", ints="step", nums="ndcg5", texts="member")
+trial_query("r14_random_subsets", FU.random_trials(NAMES, 500, "subset"))
+trial_query("r14_random_weights", FU.random_trials(NAMES, 500, "weights"))
+trial_query("r14_random_subsets_and_weights", FU.random_trials(NAMES, 500, "both"))
 trial_query("r15_single_weight_grid", FU.single_grid("m1", NAMES[1:], (0.03, 0.05, 0.075, 0.10, 0.15, 0.20)))
 trial_query("r15_triple_weight_grid", FU.product_grid("m1", ["m2", "m3", "m4"], (0.05, 0.075, 0.10), 0.30))
 trial_query("r15_combination_grid", FU.combination_grid("m1", NAMES[1:], (2, 3, 4), (0.05, 0.075), 0.35))
@@ -134,12 +141,14 @@ def _grid(t):
     return out
 
 
-view("wide_n", "SELECT srch_id, prop_id, any_value(relevance) AS relevance, "
-     + ", ".join(f"max(rank_avg) FILTER (model_id = '{m}') AS n{i}" for i, m in enumerate(NAMES)) + " FROM norms GROUP BY srch_id, prop_id")
+for _c in FU.NORMALISERS:
+    view(f"wide_{_c}", "SELECT srch_id, prop_id, any_value(relevance) AS relevance, "
+         + ", ".join(f"max({_c}) FILTER (model_id = '{m}') AS n{i}" for i, m in enumerate(NAMES)) + " FROM norms GROUP BY srch_id, prop_id")
 query("r16_normalisation_grid_rank", lambda t: FU.score_trials(
     t.stored("slate_normalised", lambda: _normalised(t)).select("srch_id", "prop_id", "relevance", F.col("rank_avg").alias("r")),
-    NAMES, GRIDS, ascending=False), trials_sql(GRIDS, "wide_n", "n", ""), ints=METRIC_INTS, nums=METRIC_NUMS, texts="trial")
-query("r16_normalisation_grid_all", _grid, None, ints=METRIC_INTS, nums=METRIC_NUMS, texts="method trial")
+    NAMES, GRIDS, ascending=False), trials_sql(GRIDS, "wide_rank_avg", "n", ""), ints=METRIC_INTS, nums=METRIC_NUMS, texts="trial")
+query("r16_normalisation_grid_all", _grid, " UNION ALL ".join(
+    f"SELECT '{c}' AS method, * FROM ({trials_sql(GRIDS, f'wide_{c}', 'n', '')})" for c in FU.NORMALISERS), ints=METRIC_INTS, nums=METRIC_NUMS, texts="method trial")
 FAMILY = {"m1": "price", "m2": "price", "m3": "place", "m4": "place", "m6": "place"}
 query("r17_family_average", lambda t: FU.family_average(t.predictions, FAMILY), """
 SELECT CASE WHEN model_id IN ('m1', 'm2') THEN 'price' ELSE 'place' END AS family, srch_id, prop_id, avg(rank) AS rank
