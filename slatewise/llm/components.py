@@ -21,21 +21,25 @@ def _stars(edges: DataFrame, larger: bool) -> DataFrame:
     return found.where("u != v").distinct()
 
 
+def _flat(edges: DataFrame) -> bool:
+    """Whether every node hangs on one root directly: no node has two edges down, or edges both up and down."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+        edges.select(F.col("v").alias("n"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    uses = ends.groupBy("n").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return not uses.where((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0))).take(1)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge; root is the least node it reaches.
 
     edges: columns u and v, both long, in either direction, repeated or not. Stars
-    over larger and then over smaller neighbours alternate until nothing changes,
-    which takes a number of rounds that grows with the logarithm of the graph.
+    over larger and then over smaller neighbours alternate until every node hangs
+    on its root directly, which takes a number of rounds that grows with the logarithm of the graph.
     Each round is stored, so no lineage grows.
     """
     now = stored(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
                  "edges")
-    before = None
-    while True:
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = state
+    while not _flat(now):
         now = stored(_stars(_stars(now, True), False), "edges")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+        now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

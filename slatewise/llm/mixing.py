@@ -30,6 +30,15 @@ SEED = 20240517
 STRIDES = (2147483659, 2147483693, 2147483713, 2147483743, 2147483777, 2147483783, 2147483813, 2147483857)
 
 
+def _key(source: Column) -> Column:
+    """A source as a text that is never NULL and keeps the order, NULL last."""
+    return F.when(source.isNull(), "t").otherwise(F.concat(F.lit("s"), source))
+
+
+def _named(key: Column) -> Column:
+    return F.when(key != "t", F.substr(key, F.lit(2)))
+
+
 def apportion(frame: DataFrame, by: list[str], votes: str, seats: str) -> DataFrame:
     """Add `quota`: the seats of each group of `by`, dealt to its rows by highest quotients votes/(2k+1).
 
@@ -37,7 +46,7 @@ def apportion(frame: DataFrame, by: list[str], votes: str, seats: str) -> DataFr
     row lies within share * n/2 + 1/2 of its exact share, so only the quotients
     in that range are ranked: about two for each row on average, and no more
     than four. Ties go to more votes, then to the smaller `name`. The frame has
-    a column `name` that is unique in a group.
+    a column `name`, never NULL, that is unique in a group.
     """
     group = Window.partitionBy(*by)
     share = F.coalesce(F.col(votes) / F.nullif(F.sum(votes).over(group), F.lit(0.0)), F.lit(0.0))
@@ -54,15 +63,11 @@ def apportion(frame: DataFrame, by: list[str], votes: str, seats: str) -> DataFr
     best = Window.partitionBy(*by).orderBy(F.desc("_quotient"), F.desc("_votes"), F.col("name").asc_nulls_last(), "_k")
     won = (offers.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= F.col("_open"))
            .groupBy(*by, "name").agg(F.count(F.lit(1)).alias("_won")))
-    keys = [*by, "name"]
-    match = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys]
-    joined = sized.alias("a").join(won.alias("b"), match, "left")
-    return joined.select(*[f"a.{c}" for c in frame.columns],
-                         (F.col("a._least") + F.coalesce("b._won", F.lit(0))).alias("quota"))
+    return sized.join(won, [*by, "name"], "left").select(*frame.columns, (F.col("_least") + F.coalesce("_won", F.lit(0))).alias("quota"))
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, most=MOST) -> DataFrame:
-    """One row per source: `source`, `source_size`, `weight`, `target`.
+    """One row per source, in one partition: `source`, `source_size`, `weight`, `target`; a NULL source comes last.
 
     The targets share all words by weight; a source stops at `most` times its
     size and what it leaves is shared by the others. In order of size against
@@ -75,7 +80,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most=MOST) -> DataFrame:
     after = level.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     rest = F.sum("source_size").over(every) - F.coalesce(F.sum("_cap").over(before), F.lit(0))
     turns = F.array(*[F.lit(w) for w in weights])
-    per = (sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per = (sizes.groupBy("source").agg(F.sum("size").alias("source_size")).coalesce(1)
            .withColumn("weight", F.element_at(turns, ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")))
            .withColumn("_cap", F.col("source_size") * most)
            .withColumn("_rest", rest).withColumn("_weights", F.sum("weight").over(after))
@@ -92,17 +97,17 @@ def _shards(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """One row per source and shard: words, blocks and the quota of blocks."""
     grouped = (sizes.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
                .withColumn("blocks", F.greatest(F.lit(1), F.round(F.col("shard_size") / BLOCK_WORDS)).cast("long")))
-    own = (grouped.groupBy("source").agg(F.sum("blocks").alias("source_blocks")))
-    wanted = (targets.alias("t").join(own.alias("o"), F.col("t.source").eqNullSafe(F.col("o.source")))
-              .select(F.col("t.source").alias("name"), "target", "source_size", "source_blocks", F.lit(0).alias("mix"),
+    own = grouped.groupBy("source").agg(F.sum("blocks").alias("source_blocks")).coalesce(1)
+    wanted = (targets.coalesce(1).join(own, "source")
+              .select(F.col("source").alias("name"), "target", "source_size", "source_blocks", F.lit(0).alias("mix"),
                       F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)) * F.col("source_blocks"),
                                  F.lit(0.0)).alias("wanted"))
               .withColumn("seats", F.round(F.sum("wanted").over(Window.partitionBy(F.lit(0)))).cast("long")))
-    sources = (apportion(wanted, ["mix"], "wanted", "seats")
-               .select(F.col("name").alias("source"), "target", "source_size",
-                       F.least("quota", F.col("source_blocks") * MOST).alias("seats")))
-    votes = (grouped.alias("g").join(sources.alias("s"), F.col("g.source").eqNullSafe(F.col("s.source")))
-             .select("g.source", F.col("shard").alias("name"), "shard_size", "blocks", "target", "source_size", "seats",
+    sources = stored(apportion(wanted, ["mix"], "wanted", "seats")
+                     .select(F.col("name").alias("source"), "target", "source_size",
+                             F.least("quota", F.col("source_blocks") * MOST).alias("seats")), "mix-sources")
+    votes = (grouped.join(sources, "source")
+             .select("source", F.col("shard").alias("name"), "shard_size", "blocks", "target", "source_size", "seats",
                      F.col("blocks").cast("double").alias("votes")))
     return (apportion(votes, ["source"], "votes", "seats")
             .select("source", F.col("name").alias("shard"), "shard_size", "blocks", "target", "source_size",
@@ -124,26 +129,23 @@ def mix(docs: DataFrame, carry: bool = False, seed: int = SEED) -> DataFrame:
     block it lies in. With `carry` the whole input row travels along as `row`.
     """
     kept = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *kept)
-    narrow = sized if not carry else docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = docs.select("doc_id", _key(F.col("source")).alias("source"), word_count(F.col("text")).alias("size"), *kept)
+    narrow = sized.select("doc_id", "source", "size")
     narrow = stored(narrow, "mix-sizes")
     sized = sized if carry else narrow
     targets = stored(source_targets(narrow), "mix-targets")
 
     def sharded(frame):
-        of = F.col("d.source").eqNullSafe(F.col("t.source"))
-        n = F.greatest(F.lit(1), F.ceil(F.col("t.source_size") / SHARD_WORDS))
-        return (frame.alias("d").join(targets.alias("t"), of)
-                .select("d.*", F.pmod(F.xxhash64("d.doc_id", "d.size", F.lit(seed)), n).alias("shard")))
+        n = F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS))
+        return (frame.join(targets.select("source", "source_size"), "source")
+                .select(*frame.columns, F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), n).alias("shard")))
 
     shards = stored(_shards(sharded(narrow), targets), "mix-shards")
     order = (Window.partitionBy("source", "shard")
              .orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), "doc_id", "size")
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     laid = sharded(sized).withColumn("stop", F.sum("size").over(order)).withColumn("start", F.col("stop") - F.col("size"))
-    both = F.col("l.source").eqNullSafe(F.col("s.source")) & (F.col("l.shard") == F.col("s.shard"))
-    joined = (laid.alias("l").join(shards.alias("s"), both)
-              .select("l.*", "shard_size", "blocks", "quota", "target", "source_size"))
+    joined = laid.join(shards, ["source", "shard"])
 
     def block(at):
         return F.floor(((at + 1) * F.col("blocks") - 1) / F.col("shard_size")).cast("long")
@@ -158,7 +160,8 @@ def mix(docs: DataFrame, carry: bool = False, seed: int = SEED) -> DataFrame:
                            _copies(i, seed).cast("long").alias("copies"))))
     taken = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + (p["stop"] - p["start"]) * p["copies"])
     return (joined.withColumn("parts", parts).withColumn("taken", F.coalesce(taken, F.lit(0)))
-            .select(*(["row"] if carry else []), "doc_id", "source", "size", "source_size", "target", "taken", "parts"))
+            .select(*(["row"] if carry else []), "doc_id", _named(F.col("source")).alias("source"), "size", "source_size", "target",
+                    "taken", "parts"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -169,14 +172,17 @@ def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     no word is taken are absent.
     """
     cut = mix(docs, carry=True, seed=seed).where("taken > 0")
-    passes = (cut.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("parts", lambda p: p["copies"])))))
-              .withColumn("_parts", F.expr("filter(parts, p -> p.copies >= _pass)")))
-    whole = F.aggregate("_parts", F.lit(0).cast("long"), lambda a, p: a + p["stop"] - p["start"]) == F.col("size")
+    most = F.array_max(F.transform("parts", lambda p: p["copies"]))
+    even = F.array_min(F.transform("parts", lambda p: p["copies"])) == most
     units = F.regexp_extract_all(F.col("row.text"), F.lit(r"[\x20\x09-\x0D]*" + WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    some = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice("_units", (p["start"] + 1).cast("int"),
-                                                                          (p["stop"] - p["start"]).cast("int")))), "")
-    text = F.when(whole, F.col("row.text")).otherwise(some)
-    return (passes.withColumn("_units", F.when(~whole, units)).withColumn("_text", text)
-            .select(*[(F.col("_text") if c == "text" else
-                       F.when(whole, F.col("row.n_chars")).otherwise(F.length("_text")) if c == "n_chars" else
-                       F.col(f"row.`{c}`")).alias(c) for c in docs.columns]))
+    # an exploded value is evaluated once for the row, and not again inside what uses it
+    ready = cut.select("row", "size", "parts", F.explode(F.array(F.struct(most.alias("most"), F.when(~even, units).alias("units")))).alias("u"))
+    passes = ready.select("row", "size", "u.units", "parts", F.explode(F.sequence(F.lit(1), F.col("u.most"))).alias("round"))
+    some = F.array_join(F.flatten(F.transform(
+        F.expr("filter(parts, p -> p.copies >= round)"),
+        lambda p: F.slice("units", (p["start"] + 1).cast("int"), (p["stop"] - p["start"]).cast("int")))), "")
+    whole = F.expr("forall(parts, p -> p.copies >= round)")
+    texts = passes.select("row", whole.alias("whole"), F.explode(F.array(F.when(whole, F.col("row.text")).otherwise(some))).alias("text"))
+    return texts.select(*[(F.col("text") if c == "text" else
+                           F.when(F.col("whole"), F.col("row.n_chars")).otherwise(F.length("text")) if c == "n_chars" else
+                           F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

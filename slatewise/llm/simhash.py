@@ -207,9 +207,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     group = F.coalesce(F.col("component_id"), F.col("fingerprint"))
     first = (found.groupBy(F.col("component_id").isNull(), group).agg(F.min(order).alias("k"))
              .select(F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_text")))
-    return (docs.withColumn("_key", F.xxhash64("text")).alias("d")
-            .join(first, F.col("d.doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")), "left_semi")
-            .dropDuplicates(["doc_id", "_key"]).drop("_key"))
+    # one number names a row in both tables, so one exchange serves the join and the drop of repeated rows
+    name = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), F.col("doc_id").isNull(), F.xxhash64("text"))
+    kept = first.select(F.xxhash64(F.coalesce("_id", F.lit(0).cast("long")), F.col("_id").isNull(), F.col("_text")).alias("_name"))
+    return docs.withColumn("_name", name).join(kept, "_name", "left_semi").dropDuplicates(["_name", "doc_id"]).drop("_name")
 
 
 def hex_digits(fingerprint):
