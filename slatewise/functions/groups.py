@@ -22,7 +22,10 @@ _NOTE = "largest_group"
 
 @dataclass(frozen=True)
 class Rank:
-    """A rank column. method: min, average, first (ties by `tie`); pct divides by the count."""
+    """A rank column. method: min, average, first (ties by `tie`); pct divides by the count.
+
+    Rows that agree in the value and in `tie` share the place of the first of them.
+    """
 
     name: str
     value: Column | str
@@ -64,13 +67,16 @@ def hot_groups(df, by, limit=None):
 def within(df, by, ranks=(), stats=(), limit=None):
     """Add rank and statistic columns computed inside the groups of `by`."""
     by = list(by)
-    hot = hot_groups(df, by, limit)
-    if hot is None:
+    if hot_groups(df, by, limit) is None:
         return _by_window(df, by, ranks, stats)
-    cold_rows = df.join(hot, by, "left_anti")
-    hot_rows = df.join(hot, by, "left_semi")
+    # one text per group, so that NULL keys are a group here as they are in a window
+    text = F.concat_ws("\x01", *[F.coalesce(F.concat(F.lit("v"), F.col(k).cast("string")), F.lit("n")) for k in by])
+    named = df.withColumn("_group", text)
+    hot = hot_groups(named, ["_group"], limit)
+    cold_rows = named.join(hot, "_group", "left_anti").drop("_group")
+    hot_rows = named.join(hot, "_group", "left_semi")
     return _by_window(cold_rows, by, ranks, stats).unionByName(
-        _by_aggregation(hot_rows, by, ranks, stats))
+        _by_aggregation(hot_rows, ["_group"], ranks, stats).drop("_group"))
 
 
 def _by_window(df, by, ranks, stats):
@@ -81,7 +87,7 @@ def _by_window(df, by, ranks, stats):
         v = col(r.value)
         order = v.desc_nulls_last() if r.desc else v.asc_nulls_last()
         if r.method == "first":
-            rank = F.row_number().over(w.orderBy(order, F.col(r.tie)))
+            rank = F.rank().over(w.orderBy(order, F.col(r.tie).asc_nulls_last()))
             out.append(rank.alias(r.name))
             continue
         # NULLs sort last, so the ranks of the other rows do not depend on them.
@@ -118,16 +124,18 @@ def _rank_by_slices(df, by, r):
     below = F.col("_total") - F.col("_before") - F.col("_n") if r.desc else F.col("_before")
     if r.method == "first":
         # position of the value, then position of the tie breaker among equal values;
-        # rows without a value follow all others
+        # rows without a value follow all others, rows without a tie breaker the rest of their value
         df = df.join(table, [*by, "_v"], "left")
         sizes = df.groupBy(*by).agg(F.count("_v").alias("_valued"))
         df = df.join(sizes, by).withColumn(
             "_start", F.coalesce(below, F.col("_valued"))).drop("_n", "_before", "_total", "_valued")
         ties = value_ranks(df.withColumn("_t", F.col(r.tie)), "_t", [*by, "_start"])
-        df = df.withColumn("_t", F.col(r.tie)).join(ties, [*by, "_start", "_t"], "left")
-        rank = (F.col("_start") + F.col("_before") + 1).cast("int")
+        tied = ties.groupBy(*by, "_start").agg(F.first("_total").alias("_with_tie"))
+        df = (df.withColumn("_t", F.col(r.tie)).join(ties, [*by, "_start", "_t"], "left")
+              .join(tied, [*by, "_start"], "left"))
+        rank = (F.col("_start") + F.coalesce("_before", "_with_tie", F.lit(0)) + 1).cast("int")
         return df.withColumn(r.name, rank).drop(
-            "_v", "_t", "_start", "_n", "_before", "_total")
+            "_v", "_t", "_start", "_n", "_before", "_total", "_with_tie")
     rank = below + 1
     if r.method == "average":
         rank = rank + (F.col("_n") - 1) / 2
@@ -179,8 +187,9 @@ def value_ranks(df, value, by=(), weight=None, mark=None, slices=None, small=Non
                     F.sum(n).over(over).alias(f"{pre}_total")]
         return counts.select(*by, value, *out)
     if slices is None:
+        # so many slices that none holds more distinct values than a window takes, and enough for the cores
         width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        slices = min(256, max(16, width))
+        slices = max(16, width, -(-2 * counts.count() // WINDOW_LIMIT))
     points = F.array(*[F.lit(i / slices) for i in range(1, slices)])
     cuts = F.percentile_approx(value, points, F.lit(1000))
     if by:

@@ -120,10 +120,10 @@ def train_count_distribution(train, test, key="prop_id"):
 
 
 def cold_start_by_segment(train, test, per_search):
-    """Cold-start rate of searches with high and normal disagreement."""
+    """Cold-start rate of the test side's searches with high and normal disagreement."""
     seen = train.select("prop_id").distinct().withColumn("_seen", F.lit(1))
     rate = test.select(*KEYS).join(seen, "prop_id", "left").groupBy(SEARCH).agg(F.avg(flag(F.col("_seen").isNull())).alias("cold"))
-    joined = per_search.select(SEARCH, "is_high_disagreement").join(rate, SEARCH, "left")
+    joined = per_search.select(SEARCH, "is_high_disagreement").join(rate, SEARCH)
     mid = quantiles(joined, "cold", [0.5], ["is_high_disagreement"])
     return joined.groupBy("is_high_disagreement").agg(F.count(F.lit(1)).alias("n"), F.avg("cold").alias("mean_cold_start_rate")).join(
         mid.select("is_high_disagreement", F.col("q")[0].alias("median_cold_start_rate")), "is_high_disagreement")

@@ -347,14 +347,18 @@ def group_size_distribution(df, by=()):
 
 
 def date_overlap(left, right):
-    """Days of two tables: counts, common days and whether the split looks temporal."""
+    """Days of two tables: counts, common days, and how their periods relate.
+
+    `temporal` where the periods do not touch, `same period` where more than half of
+    the days of the larger side are common, else `partial`.
+    """
     days = [d.select(F.to_date("date_time").alias("day")).distinct() for d in (left, right)]
-    both = days[0].withColumn("l", F.lit(1)).join(days[1].withColumn("r", F.lit(1)), "day", "full")
-    out = both.agg(F.count("l").alias("left_days"), F.count("r").alias("right_days"),
-                   F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("common_days"),
-                   F.max(F.when(F.col("l") == 1, F.col("day"))).alias("_a"), F.min(F.when(F.col("r") == 1, F.col("day"))).alias("_b"))
-    later = F.col("_b") >= F.col("_a")
-    return out.withColumn("verdict", F.when(later, "temporal").when(F.col("common_days") > 0, "random").otherwise("mixed")).drop("_a", "_b")
+    both = days[0].withColumn("l", F.col("day")).join(days[1].withColumn("r", F.col("day")), "day", "full")
+    out = both.agg(F.count("l").alias("left_days"), F.count("r").alias("right_days"), F.count_if(F.col("l") == F.col("r")).alias("common_days"),
+                   F.min("l").alias("_l0"), F.max("l").alias("_l1"), F.min("r").alias("_r0"), F.max("r").alias("_r1"))
+    apart = (F.col("_l1") < F.col("_r0")) | (F.col("_r1") < F.col("_l0"))
+    much = 2 * F.col("common_days") > F.greatest("left_days", "right_days")
+    return out.withColumn("verdict", F.when(apart, "temporal").when(much, "same period").otherwise("partial")).drop("_l0", "_l1", "_r0", "_r1")
 
 
 def by_price_rank(df, limit=30):

@@ -18,8 +18,13 @@ def sample_searches(df, frac, salt="sample", search=SEARCH):
     return df.where(bucket_of(search, _GRAIN, salt) < int(round(frac * _GRAIN)))
 
 
-def sample_rows(df, frac, seed=42):
-    return df.sample(fraction=frac, seed=seed)
+def _row_bucket(keys, salt):
+    return bucket_of(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), _GRAIN, salt)
+
+
+def sample_rows(df, frac, salt="row-sample", keys=("srch_id", "prop_id")):
+    """About a share of the rows, by a hash of their key: the same rows however the table is partitioned."""
+    return df.where(_row_bucket(keys, salt) < int(round(frac * _GRAIN)))
 
 
 def sample_n_rows(df, n, salt="rows", keys=("srch_id", "prop_id")):
@@ -34,15 +39,15 @@ def split_random(df, frac=0.1, salt="val", search=SEARCH):
     return df.where(~held), df.where(held)
 
 
-def split_rows(df, frac, seed=42):
-    """Row-level split, for classifiers that do not rank."""
-    return df.randomSplit([1 - frac, frac], seed)
+def split_rows(df, frac, salt="row-split", keys=("srch_id", "prop_id")):
+    """Row-level split by a hash of the row's key, for classifiers that do not rank."""
+    held = _row_bucket(keys, salt) < int(round(frac * _GRAIN))
+    return df.where(~held), df.where(held)
 
 
 def split_rows_stratified(df, label, frac, salt="strata", keys=("srch_id", "prop_id")):
     """Row split whose label shares stay the same on both sides in expectation."""
-    part = bucket_of(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), _GRAIN, salt)
-    held = part < int(round(frac * _GRAIN))
+    held = _row_bucket(keys, salt) < int(round(frac * _GRAIN))
     return df.where(~held & F.col(label).isNotNull()), df.where(held & F.col(label).isNotNull())
 
 

@@ -126,9 +126,9 @@ query("d13_train_count_distribution", lambda t: D.train_count_distribution(t.sid
 SELECT min(c) AS min, quantile_cont(c, 0.1) AS p10, quantile_cont(c, 0.25) AS p25, quantile_cont(c, 0.5) AS p50, quantile_cont(c, 0.75) AS p75, quantile_cont(c, 0.9) AS p90,
   max(c) AS max, avg(c) AS mean FROM (SELECT coalesce(e.c, 0)::DOUBLE AS c FROM va v LEFT JOIN (SELECT prop_id, count(*) AS c FROM tr GROUP BY 1) e ON e.prop_id = v.prop_id)""",
       nums="min p10 p25 p50 p75 p90 max mean")
-query("d14_cold_start_by_segment", lambda t: D.cold_start_by_segment(t.sides[0], t.impressions, per_search(t)), """
+query("d14_cold_start_by_segment", lambda t: D.cold_start_by_segment(t.sides[0], t.sides[1], per_search(t)), """
 SELECT is_high_disagreement, count(*) AS n, avg(cold) AS mean_cold_start_rate, quantile_cont(cold, 0.5) AS median_cold_start_rate FROM disagh JOIN (
-  SELECT srch_id, avg((e.x IS NULL)::INT) AS cold FROM imp v LEFT JOIN (SELECT DISTINCT prop_id, 1 AS x FROM tr) e ON e.prop_id = v.prop_id GROUP BY srch_id) USING (srch_id)
+  SELECT srch_id, avg((e.x IS NULL)::INT) AS cold FROM va v LEFT JOIN (SELECT DISTINCT prop_id, 1 AS x FROM tr) e ON e.prop_id = v.prop_id GROUP BY srch_id) USING (srch_id)
 GROUP BY 1""", ints="is_high_disagreement n", nums="mean_cold_start_rate median_cold_start_rate")
 
 

@@ -303,10 +303,19 @@ query("a39_fairness_rates", _fair, " UNION ALL ".join(rate_sql("popl", f"'{n}' A
 query("a40_group_sizes", lambda t: A.group_size_distribution(t.sides[0].withColumn("side", F.lit("train")).unionByName(t.sides[1].withColumn("side", F.lit("test"))), ["side"]), """
 SELECT side, group_size, count(*) AS n_searches FROM (SELECT 'train' AS side, srch_id, count(*) AS group_size FROM tr GROUP BY 2 UNION ALL SELECT 'test', srch_id, count(*) FROM va GROUP BY 2) GROUP BY 1, 2""",
       ints="group_size n_searches", texts="side")
-query("a41_date_overlap", lambda t: A.date_overlap(t.sides[0], t.sides[1]), """
-WITH a AS (SELECT DISTINCT date_time::DATE AS d FROM tr), b AS (SELECT DISTINCT date_time::DATE AS d FROM va)
-SELECT (SELECT count(*) FROM a) AS left_days, (SELECT count(*) FROM b) AS right_days, (SELECT count(*) FROM (SELECT d FROM a INTERSECT SELECT d FROM b)) AS common_days,
-  CASE WHEN (SELECT min(d) FROM b) >= (SELECT max(d) FROM a) THEN 'temporal' ELSE 'random' END AS verdict""", ints="left_days right_days common_days", texts="verdict")
+def _overlap_verdict(left, right):
+    return f"""WITH a AS (SELECT DISTINCT date_time::DATE AS d FROM {left}), b AS (SELECT DISTINCT date_time::DATE AS d FROM {right}),
+n AS (SELECT (SELECT count(*) FROM a) AS left_days, (SELECT count(*) FROM b) AS right_days,
+  (SELECT count(*) FROM (SELECT d FROM a INTERSECT SELECT d FROM b)) AS common_days)
+SELECT *, CASE WHEN NOT ((SELECT max(d) FROM a) >= (SELECT min(d) FROM b) AND (SELECT max(d) FROM b) >= (SELECT min(d) FROM a)) THEN 'temporal'
+  WHEN common_days > 0.5 * greatest(left_days, right_days) THEN 'same period' ELSE 'partial' END AS verdict FROM n"""
+
+
+query("a41_date_overlap", lambda t: A.date_overlap(t.sides[0], t.sides[1]), _overlap_verdict("tr", "va"),
+      ints="left_days right_days common_days", texts="verdict")
+query("a41_date_overlap_random_split", lambda t: A.date_overlap(t.impressions.where("srch_id % 2 = 0"), t.impressions.where("srch_id % 2 = 1")),
+      _overlap_verdict("(SELECT * FROM imp WHERE srch_id % 2 = 0)", "(SELECT * FROM imp WHERE srch_id % 2 = 1)"),
+      ints="left_days right_days common_days", texts="verdict")
 for name, col, n, keep in (("location1", "prop_location_score1", 20, "true"), ("location2", "prop_location_score2", 20, "true"),
                            ("history", "prop_log_historical_price", 10, "prop_log_historical_price > 0"), ("price", "price_usd", 50, "true")):
     query(f"a42_{name}_bins", lambda t, col=col, n=n, keep=keep: A.quantile_rates(t.impressions.where(keep), col, n),

@@ -147,7 +147,9 @@ UNION ALL SELECT 'models', 'RUN_' || upper(model_id), model_id, ndcg5, ndcg5 - 0
 
 query("p1_sample_searches", lambda t: SP.sample_searches(t.impressions, 0.1),
       f"SELECT * FROM imp WHERE {bucket_sql('srch_id', 10000, 'sample')} < 1000", ints=KEY)
-query("p2_sample_rows", lambda t: SP.sample_rows(t.impressions, 0.1), ints=KEY)
+ROW = "(srch_id::VARCHAR || '|' || prop_id::VARCHAR)"
+query("p2_sample_rows", lambda t: SP.sample_rows(t.impressions, 0.1),
+      f"SELECT * FROM imp WHERE {bucket_sql(ROW, 10000, 'row-sample')} < 1000", ints=KEY)
 query("p2_sample_n_rows", lambda t: SP.sample_n_rows(t.impressions, 1000), """
 SELECT * FROM imp ORDER BY md5(srch_id::VARCHAR || '|' || prop_id::VARCHAR || '|rows') LIMIT 1000""", ints=KEY)
 HELD = bucket_sql("srch_id", 10000, "val") + " < 1000"
@@ -179,7 +181,8 @@ GROUP BY metric""", ints="n_runs", nums="mean std min max", texts="metric")
 query("p8_fold_integrity", lambda t: SP.fold_integrity(t.impressions, bucket_of("srch_id", 5)), """
 SELECT fold, count(*) AS n_rows, count(DISTINCT srch_id) AS n_searches, 1 AS max_folds_per_search FROM fl GROUP BY fold""",
       ints="fold n_rows n_searches max_folds_per_search")
-query("p9_row_split", lambda t: SP.split_rows(t.impressions, 0.2)[1], ints=KEY)
+query("p9_row_split", lambda t: SP.split_rows(t.impressions, 0.2)[1],
+      f"SELECT * FROM imp WHERE {bucket_sql(ROW, 10000, 'row-split')} < 2000", ints=KEY)
 query("p9_stratified_split", lambda t: SP.split_rows_stratified(t.impressions, "click_bool", 0.3)[1], f"""
 SELECT * FROM imp WHERE {bucket_sql("(srch_id::VARCHAR || '|' || prop_id::VARCHAR)", 10000, "strata")} < 3000""", ints=KEY)
 
@@ -192,19 +195,18 @@ query("w1_non_random_only", lambda t: WT.filter_rows(t.impressions, "random_only
 
 
 def _filter_profile(t):
-    """Column means after each feature filter: what the projection leaves is what is aggregated."""
+    """What each feature filter leaves: how many columns, and how many values they hold.
+
+    The audit orders features by their number of values and groups them by the first
+    part of their name, so that SQL can repeat it.
+    """
     df = listwise_frame(t)
     numeric = [c for c in S.feature_columns(df) if df.schema[c].dataType.typeName() in ("integer", "long", "double")]
-    means = df.select(*numeric)
-    audit = [(c, "raw") for c in sorted(numeric)]
-    out = []
-    for name in ("top_20", "drop_bottom_30pct", "drop_competitor", "drop_is_best_flags", "drop_missing_flags",
-                 "drop_visitor_history", "focus_on_signal"):
-        out.append((name, S.filter_features(numeric, name, audit)))
-    agg = means.agg(*[F.count(c).alias(c) for c in numeric])
-    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("filter"), F.lit(len(cs)).alias("n_features"),
-                                        sum((F.col(c) for c in cs), F.lit(0)).alias("non_null")) for n, cs in out]))
-    return agg.select(rows.alias("r")).select("r.*")
+    counts = df.agg(*[F.count(c).alias(c) for c in numeric]).first().asDict()
+    groups = {"price": "price", "prop": "quality", "srch": "raw", "is": "listwise_within_query"}
+    audit = [(c, groups.get(c.split("_")[0], "other")) for c in sorted(numeric, key=lambda c: (-counts[c], c))]
+    rows = [(name, len(left), sum(counts[c] for c in left)) for name in S.FILTERS for left in [S.filter_features(numeric, name, audit)]]
+    return t.spark.createDataFrame(rows, "filter string, n_features long, non_null long")
 
 
 query("w2_feature_filters", _filter_profile, None, ints="n_features non_null", texts="filter")

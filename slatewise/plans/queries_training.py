@@ -42,9 +42,10 @@ query("t3_pair_table", lambda t: T.pair_table(t.labelled, ["price_usd", "prop_st
 WITH i AS (SELECT srch_id, sum(CASE WHEN best <= 5 THEN relevance / log2(best + 1.0) END) AS ideal FROM (
   SELECT *, row_number() OVER (PARTITION BY srch_id ORDER BY relevance DESC) AS best FROM lab) GROUP BY srch_id HAVING sum(relevance) > 0),
 p AS (SELECT *, row_number() OVER (PARTITION BY srch_id ORDER BY position, prop_id) AS place FROM lab)
-SELECT a.srch_id, abs((1 / log2(a.place + 1.0) - 1 / log2(b.place + 1.0)) * (a.relevance - b.relevance)) / ideal AS weight,
+SELECT a.srch_id, abs((CASE WHEN a.place <= 5 THEN 1 / log2(a.place + 1.0) ELSE 0 END - CASE WHEN b.place <= 5 THEN 1 / log2(b.place + 1.0) ELSE 0 END)
+    * (a.relevance - b.relevance)) / ideal AS weight,
   a.price_usd - b.price_usd AS d_price, a.prop_starrating - b.prop_starrating AS d_star
-FROM p a JOIN p b ON a.srch_id = b.srch_id JOIN i ON i.srch_id = a.srch_id WHERE a.relevance > b.relevance""",
+FROM p a JOIN p b ON a.srch_id = b.srch_id JOIN i ON i.srch_id = a.srch_id WHERE a.relevance > b.relevance AND (a.place <= 5 OR b.place <= 5)""",
       ints="srch_id", nums="weight d_price d_star")
 query("t3_pairwise_ranker", spec("pairwise"), **FORM)
 query("t4_importances", lambda t: T.run_spec(*sides(t), COLS, "graded", **SMALL)[2], nums="gain", texts="feature")

@@ -28,26 +28,46 @@ def upserted(old, rows, key):
 
 
 def upsert(spark, path, rows, key):
-    """Replace rows by key. The new table is complete before the old one is touched."""
-    if not path_exists(spark, path):
+    """Replace rows by key. The new version is complete before readers are pointed to it."""
+    if not path_exists(spark, f"{path}/{POINTER}"):
         return replace_table(spark, rows, path)
-    return replace_table(spark, upserted(spark.read.parquet(path), rows, key), path)
+    return replace_table(spark, upserted(read_table(spark, path), rows, key), path)
+
+
+# The file in a versioned table's folder that names the version to read.
+POINTER = "CURRENT"
+
+
+def read_table(spark, path):
+    """The current version of a table written by `replace_table`."""
+    return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/{POINTER}').first()[0]}")
 
 
 def replace_table(spark, df, path):
-    """Write next to the target, then rename: readers see the old table or the new one."""
-    staged, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(staged)
-    path_type = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    target = path_type(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        fs.rename(target, path_type(old))
-    if not fs.rename(path_type(staged), target):
-        raise OSError(f"could not move the new table to {path}")
-    if fs.exists(path_type(old)):
-        fs.delete(path_type(old), True)
-    return spark.read.parquet(path)
+    """Write a new version next to the old ones, then swap the pointer file in one step.
+
+    Readers find the old version or the new one at any moment, and a reader that
+    has begun keeps its files: only versions before the last one are deleted.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    fs = folder.getFileSystem(conf)
+    last = spark.read.text(f"{path}/{POINTER}").first()[0] if path_exists(spark, f"{path}/{POINTER}") else None
+    version = f"version-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    staged, pointer = hadoop.Path(f"{path}/.{version}.pointer"), hadoop.Path(f"{path}/{POINTER}")
+    out = fs.create(staged, True)
+    out.writeBytes(version)
+    out.close()
+    options = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    options[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(staged, pointer, options)
+    for found in fs.listStatus(folder):
+        name = found.getPath().getName()
+        if name.startswith("version-") and name not in (version, last):
+            fs.delete(found.getPath(), True)
+    return spark.read.parquet(f"{path}/{version}")
 
 
 def validation_meta(df):

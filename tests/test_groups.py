@@ -98,3 +98,13 @@ def test_bins_are_right_closed_with_lowest(spark):
     got = S.quantile_bins(df, "v", 4).toPandas()
     want = pd.qcut(got.v, 4, duplicates="drop", labels=False) + 1
     assert got.bin.tolist() == want.tolist()
+
+
+def test_both_ways_agree_on_repeated_ties_and_null_keys(spark):
+    rows = [(k, v, i % 3 if i % 5 else None) for k in (1, 2, None) for i, v in enumerate([3.0, 3.0, 1.0, None, 3.0, 1.0, None, 2.0])] * 2
+    df = spark.createDataFrame(rows, "srch_id long, v double, prop_id long")
+    ranks = [G.Rank("first", "v", method="first"), G.Rank("least", "v"), G.Rank("mean", "v", desc=True, method="average", pct=True)]
+    stats = [G.Stat("n", F.count(F.lit(1))), G.Stat("mid", median="v")]
+    ways = [sorted(map(tuple, G.within(df, ["srch_id"], ranks, stats, limit=n).collect()), key=repr) for n in (1000, 3)]
+    assert ways[0] == ways[1] and len(ways[0]) == len(rows)
+    assert G.hot_groups(df, ["srch_id"], 3).count() == 3

@@ -159,10 +159,10 @@ def test_base_plus_bounds():
 def test_feature_filters():
     cols = ["comp_rate_sum", "is_cheapest", "price_usd", "prop_avg_position", "cpair_book_rate"]
     audit = [(c, "raw") for c in ("price_usd", "is_cheapest", "comp_rate_sum", "cpair_book_rate", "prop_avg_position")]
-    assert S.filter_features(cols, "top_2", audit) == ["is_cheapest", "price_usd"]
+    assert S.filter_features(cols, S.Top(2), audit) == ["is_cheapest", "price_usd"]
     assert S.filter_features(cols, "drop_competitor") == cols[1:]
     assert S.filter_features(cols, "triple_debias") == cols[:3]
-    assert S.filter_features(cols, "drop_bottom_40pct", audit) == cols[:3]
+    assert S.filter_features(cols, S.DropLowest(0.4), audit) == cols[:3]
 
 
 def test_output_checks_find_faults(spark):
