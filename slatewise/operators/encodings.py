@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.exprs import bucket_of, clip, num, ratio
+from ..functions.exprs import bucket_of, clip, num, ratio, total
 from ..functions.small import small_table
 from ..schema import SEARCH
 from ..session import materialise
@@ -126,10 +126,13 @@ class Std:
     def overall(self):
         return F.lit(float(self.fallback))
 
+    def steps(self, p):
+        yield {"n": p("n"), "ref": p.first("m")}
+        yield {"shift": ratio(p.mapped(lambda g: g("n") * (g("m") - p.step("ref"))), p.step("n"))}
+
     def value(self, p, mean):
-        n, ref = p("n"), p.first("m")
-        shift = ratio(p.mapped(lambda g: g("n") * (g("m") - ref)), n)
-        squares = p.mapped(lambda g: g("q") + g("n") * (g("m") - ref - shift) * (g("m") - ref - shift))
+        n, middle = p.step("n"), p.step("ref") + p.step("shift")
+        squares = p.mapped(lambda g: g("q") + g("n") * (g("m") - middle) * (g("m") - middle))
         return F.coalesce(F.sqrt(ratio(squares, n - 1)), mean)
 
 
@@ -153,21 +156,32 @@ class WeightedRate:
 
 
 class _Parts:
-    """A measure's partial sums over some folds (an array column with one entry per fold)."""
+    """A measure's partial results in some folds: one plain column for each part and fold."""
 
-    def __init__(self, folds, prefix):
-        self.folds, self.prefix = folds, prefix
+    def __init__(self, measure, view, folds):
+        self.measure, self.view, self.folds = measure, view, folds
 
     def mapped(self, fn):
         """Sum over the folds of an expression of their parts."""
-        return F.aggregate(self.folds, F.lit(0.0), lambda acc, x: acc + F.coalesce(
-            fn(lambda part: num(x[self.prefix + part])), F.lit(0.0)))
+        cells = [F.coalesce(fn(lambda part, f=f: num(_cell(self.measure, part, f))), F.lit(0.0)) for f in self.folds]
+        return total([F.lit(0.0), *cells])
 
     def __call__(self, part):
         return self.mapped(lambda g: g(part))
 
     def first(self, part):
-        return F.get(F.filter(F.transform(self.folds, lambda x: x[self.prefix + part]), lambda v: v.isNotNull()), 0)
+        return F.coalesce(*[num(_cell(self.measure, part, f)) for f in self.folds], F.lit(None).cast("double"))
+
+    def step(self, name):
+        """A named column computed before, so that it is computed once."""
+        return F.col(self.named(name))
+
+    def named(self, name):
+        return f"_{self.measure}_view{self.view}_{name}"
+
+
+def _cell(measure, part, fold):
+    return f"_{measure}{part}_{fold}"
 
 
 def fold_of(search=SEARCH, k=5, salt=""):
@@ -178,26 +192,26 @@ def fit(source, keys, measures, k=5, salt="", search=SEARCH, mean=None):
     """Encoding table: one row per key with `views`, an array of k + 1 structs of measures.
 
     Two aggregations: by (key, fold), combined map-side, then at most k rows per
-    key into one. The views are computed on that row.
+    key into one with a column per part and fold. The views are plain expressions
+    of those columns, so all of it is generated code.
     """
     keys = list(keys)
-    fold = fold_of(search, k, salt).cast("int") if k else F.lit(0)
-    rows = source.withColumn("_fold", fold)
+    folds = list(range(k or 1))
+    rows = source.withColumn("_fold", fold_of(search, k, salt).cast("int") if k else F.lit(0))
     for key in keys:
         rows = rows.where(F.col(key).isNotNull())
-    cells = {f"_{i}{part}": e for i, m in enumerate(measures) for part, e in m.parts().items()}
-    per_fold = rows.groupBy(*keys, "_fold").agg(*[e.alias(n) for n, e in cells.items()])
-    per_key = per_fold.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("_fold", *cells))).alias("_p"))
+    cells = {(i, part): e for i, m in enumerate(measures) for part, e in m.parts().items()}
+    per_fold = rows.groupBy(*keys, "_fold").agg(*[e.alias(f"_{i}{part}") for (i, part), e in cells.items()])
+    per_key = per_fold.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("_fold") == f, F.col(f"_{i}{part}"))).alias(_cell(i, part, f)) for i, part in cells for f in folds])
+    # the last view leaves no fold out
+    views = [(at, i, m, _Parts(i, at, [f for f in folds if not k or f != at])) for at in range(k + 1) for i, m in enumerate(measures)]
+    steps = [(p, list(m.steps(p))) for _, _, m, p in views if hasattr(m, "steps")]
+    for level in range(max((len(found) for _, found in steps), default=0)):
+        per_key = per_key.withColumns({p.named(n): e for p, found in steps if level < len(found) for n, e in found[level].items()})
     per_key = per_key.withColumn("_mean", overall(source, measures) if mean is None else mean)
-
-    def view(at):
-        # entry k leaves no fold out
-        others = F.filter("_p", lambda p: p["_fold"] != at) if k else F.col("_p")
-        return F.struct(*[m.value(_Parts(others, f"_{i}"), F.col("_mean")[m.name]).alias(m.name)
-                          for i, m in enumerate(measures)])
-
-    return per_key.select(*keys, F.transform(F.array(*[F.lit(i) for i in range(k + 1)]), view).alias("views"))
+    entries = [F.struct(*[m.value(p, F.col("_mean")[m.name]).alias(m.name) for at, _, m, p in views if at == view]) for view in range(k + 1)]
+    return per_key.select(*keys, F.array(*entries).alias("views"))
 
 
 def overall(source, measures):
@@ -215,7 +229,7 @@ def attach(df, table, keys, measures, fallback, fold):
     return joined.select(*keep, *[F.coalesce(seen[n], fallback[n]).alias(n) for n in names])
 
 
-def encode_many(df, groups, source=None, k=5, salt="", search=SEARCH, durable=False):
+def encode_many(df, groups, source=None, k=5, salt="", search=SEARCH, durable=True):
     """Encodings of several (keys, measures) groups, out of fold unless a source is given.
 
     Every group is fitted on the same base table, never on the result of the
