@@ -1,14 +1,8 @@
-"""Tables of a checked size."""
+"""Tables whose true size the planner should know."""
 
-from pyspark.sql import functions as F
+from ..session import materialise
 
 
-def small_table(df, limit=50_000):
-    """The table itself, evaluated once and broadcast if it has at most `limit` rows.
-
-    Above the limit it is returned unchanged and joins shuffle as usual.
-    """
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+def small_table(df):
+    """The table, evaluated once and stored: joins broadcast it or shuffle it by its size in bytes."""
+    return materialise(df, "small")

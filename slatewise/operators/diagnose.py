@@ -269,15 +269,19 @@ def hard_negatives(ranked, features, failures_only=False):
 def easy_wins_missed(ranked):
     """Booked items placed below 5 that beat their slate in several ways.
 
-    Means are rounded to 9 digits: an item equal to the mean must not win or
-    lose by the order of summation.
+    A value reaches the mean where it times the count reaches the sum; sums are
+    decimals, so an item equal to the mean neither wins nor loses by rounding.
     """
-    s = within(ranked, [SEARCH], stats=[Stat("_price", median="price_usd"), Stat("_star", F.avg("prop_starrating")),
-                                        Stat("_review", F.avg("prop_review_score")), Stat("_loc", F.avg("prop_location_score1"))])
-    s = s.withColumns({c: F.round(c, 9) for c in ("_star", "_review", "_loc")})
-    flags = {"cheaper": flag(F.col("price_usd") <= F.col("_price")), "better_star": flag(F.col("prop_starrating") >= F.col("_star")),
-             "better_review": flag(F.col("prop_review_score") >= F.col("_review")),
-             "better_location": flag(F.col("prop_location_score1") >= F.col("_loc")), "promoted": flag(F.col("promotion_flag") == 1)}
+    exact = {c: F.col(c).cast("decimal(20,6)") for c in ("prop_starrating", "prop_review_score", "prop_location_score1")}
+    s = within(ranked, [SEARCH], stats=[Stat("_price", median="price_usd"), *[Stat(f"_s_{c}", F.sum(e)) for c, e in exact.items()],
+                                        *[Stat(f"_n_{c}", F.count(c)) for c in exact]])
+
+    def reaches(c):
+        return flag(exact[c] * F.col(f"_n_{c}") >= F.col(f"_s_{c}"))
+
+    flags = {"cheaper": flag(F.col("price_usd") <= F.col("_price")), "better_star": reaches("prop_starrating"),
+             "better_review": reaches("prop_review_score"), "better_location": reaches("prop_location_score1"),
+             "promoted": flag(F.col("promotion_flag") == 1)}
     f = s.where("booking_bool = 1 AND rank > 5").select(*[e.alias(n) for n, e in flags.items()])
     n = F.col("cheaper") + F.col("better_star") + F.col("better_review") + F.col("better_location")
     return f.agg(F.count(F.lit(1)).alias("n_failures"), *[F.avg(c).alias(c) for c in flags],

@@ -33,7 +33,8 @@ def fit_propensity_curve(df, max_steps=60):
 
     Damped Gauss-Newton steps from (0.1, 1.0). The table of positions is
     aggregated once; every step is one aggregate of it into five sums, and the
-    2x2 system is solved here.
+    2x2 system is solved here. `converged` is 1 if the last step moved neither
+    parameter, 0 if the steps ran out or none led further down.
     """
     rates = small_table(propensity(df))
     x, y = num("position"), F.col("propensity")
@@ -46,7 +47,7 @@ def fit_propensity_curve(df, max_steps=60):
                          F.sum(db * db).alias("bb"), F.sum(da * err).alias("ae"), F.sum(db * err).alias("be"),
                          F.count(F.lit(1)).alias("n")).first()
 
-    a, b, damping = 0.1, 1.0, 1e-3
+    a, b, damping, converged = 0.1, 1.0, 1e-3, 0
     now = sums(a, b)
     for _ in range(max_steps):
         aa, bb = now["aa"] * (1 + damping), now["bb"] * (1 + damping)
@@ -60,13 +61,14 @@ def fit_propensity_curve(df, max_steps=60):
             small = abs(sa) < 1e-10 * (1 + abs(a)) and abs(sb) < 1e-10 * (1 + abs(b))
             a, b, now, damping = a + sa, b + sb, after, damping / 10
             if small:
+                converged = 1
                 break
         else:
             damping *= 10
             if damping > 1e12:
                 break
-    return df.sparkSession.createDataFrame([(a, b, now["sse"], now["n"])],
-                                           "a double, b double, sse double, n_positions long")
+    return df.sparkSession.createDataFrame([(a, b, now["sse"], now["n"], converged)],
+                                           "a double, b double, sse double, n_positions long, converged int")
 
 
 def fitted_weights(df):
