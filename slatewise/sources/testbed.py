@@ -12,13 +12,13 @@ from pyspark.sql import types as T
 from ..functions.exprs import flag
 from ..functions.groups import Rank, Stat, hot_groups, note_group_size, within
 from ..schema import impression_schema
-from ..session import path_exists, shared_dir
+from ..session import materialise, path_exists, shared_dir
 
 ROWS_PER_BUCKET = 4_000_000
 
 
 def derive_impressions(spark, sf_dir):
-    """The impression table as a lazy plan over lineitem, supplier and part."""
+    """The impression table over lineitem, supplier and part."""
     def read(name, *cols):
         return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
 
@@ -34,7 +34,8 @@ def derive_impressions(spark, sf_dir):
                             "l_discount", "l_returnflag", "l_suppkey", "s_nationkey", "p_size",
                             "p_retailprice"))
     one = lines.groupBy("srch_id", "prop_id").agg(picked.alias("r")).select("srch_id", "prop_id", "r.*")
-    one = note_group_size(one, "srch_id")
+    # stored once: the group sizes and all columns come from this narrow table
+    one = note_group_size(materialise(one, "candidates"), "srch_id")
     one = one.withColumn("click_bool", flag((F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.08)))
     bookable = F.when((F.col("click_bool") == 1) & (F.col("srch_id") % 10 < 7), F.col("l_quantity"))
     one = within(one, ["srch_id"],
@@ -94,15 +95,16 @@ def impressions(spark, sf_dir):
     name = f"impressions_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     df = derive_impressions(spark, sf_dir)
-    writer = df.write.option("path", path).format("parquet")
+    buckets = None
     if hot_groups(df, ["srch_id"]) is None:
         rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
         shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
         # one bucket is one task: enough of them for the data and for the cores
         cores = spark.sparkContext.defaultParallelism
-        n = max(min(shuffle, cores), rows // ROWS_PER_BUCKET + 1)
-        writer = writer.bucketBy(int(n), "srch_id")
-    writer.saveAsTable(name)
+        buckets = int(max(min(shuffle, cores), rows // ROWS_PER_BUCKET + 1))
+        df = df.repartition(buckets, "srch_id")  # one file per bucket
+    writer = df.write.option("path", path).format("parquet")
+    (writer.bucketBy(buckets, "srch_id") if buckets else writer).saveAsTable(name)
     _stored[key] = (name, path)
     return spark.table(name)
 
