@@ -61,14 +61,13 @@ def spearman_matrix(df, columns, by=()):
 
 
 def ks_two_sample(left, right, columns):
-    """Kolmogorov-Smirnov distance of each column between two tables, on all rows."""
+    """Kolmogorov-Smirnov distance of each column between two tables, on all rows; NULL if a side has no values."""
     def side(df, mark):
         return df.select(F.lit(mark).alias("m"), *[num(c).alias(c) for c in columns])
     both = side(left, 0).unionByName(side(right, 1)).unpivot(["m"], list(columns), "feature", "x")
     t = value_ranks(both, "x", ["feature"], mark="m")
-    right_share = (F.col("_m_before") + F.col("_m")) / F.col("_m_total")
-    left_share = ((F.col("_before") + F.col("_n") - F.col("_m_before") - F.col("_m"))
-                  / (F.col("_total") - F.col("_m_total")))
+    right_share = ratio(F.col("_m_before") + F.col("_m"), "_m_total")
+    left_share = ratio(F.col("_before") + F.col("_n") - F.col("_m_before") - F.col("_m"), F.col("_total") - F.col("_m_total"))
     return t.groupBy("feature").agg(F.max(F.abs(left_share - right_share)).alias("ks"))
 
 

@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from ..functions.exprs import bucket_of, flag, num, ratio
 from ..functions.groups import quantiles
 from ..functions.stats import auc, ks_two_sample
-from .eda import long_form
 
 _TINY = 1e-12
 HIGH_DRIFT, HIGH_NULL_DRIFT = 0.20, 0.10
 
 
 def _side(df, columns, side, sample):
+    """One row per column, from one aggregate over the wide rows."""
     std = F.stddev_samp if sample else F.stddev_pop
-    return long_form(df, columns).groupBy("feature").agg(
-        F.avg("value").alias(f"{side}_mean"), std("value").alias(f"{side}_std"),
-        F.avg(flag(F.col("value").isNull())).alias(f"{side}_null_rate"),
-        F.min("value").alias(f"{side}_min"), F.max("value").alias(f"{side}_max"))
+    rows = [F.struct(F.lit(c).alias("feature"), F.avg(num(c)).alias(f"{side}_mean"), std(num(c)).alias(f"{side}_std"),
+                     F.avg(flag(F.col(c).isNull())).alias(f"{side}_null_rate"), F.min(num(c)).alias(f"{side}_min"),
+                     F.max(num(c)).alias(f"{side}_max")) for c in columns]
+    return df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
 def column_drift(train, val, columns, sample=False):

@@ -10,6 +10,7 @@ from ..operators import fusion as FU
 from ..operators import listwise as L
 from ..operators import metrics as M
 from ..operators import row_features as R
+from ..schema import impression_schema
 from .queries_eda import long_sql, qbin, rho_sql
 from .queries_fusion import NAMES
 from .queries_metrics import METRIC_INTS, METRIC_NUMS, metrics_sql, slate_sql
@@ -19,31 +20,36 @@ KEY = "srch_id prop_id"
 COLS = ["price_usd", "prop_review_score", "prop_location_score2", "orig_destination_distance", "srch_booking_window", "position"]
 
 
+#: Every number of an impression but its ids.
+EVERY = [f.name for f in impression_schema().fields if f.dataType.typeName() in ("integer", "long", "double", "byte", "short", "float")
+         and f.name not in ("srch_id", "prop_id")]
+
+
 def _stat_sql(src, side, std):
     return f"""(SELECT feature, avg(value) AS {side}_mean, {std}(value) AS {side}_std, avg((value IS NULL)::INT) AS {side}_null_rate,
-      min(value) AS {side}_min, max(value) AS {side}_max FROM {long_sql(src, COLS)} GROUP BY feature)"""
+      min(value) AS {side}_min, max(value) AS {side}_max FROM {long_sql(src, EVERY)} GROUP BY feature)"""
 
 
 def drift_sql(std):
     return f"""SELECT *, abs(val_mean - train_mean) / (train_std + 1e-12) AS abs_mean_delta_over_train_std,
-      (abs(val_mean - train_mean) / (train_std + 1e-12) > 0.2)::INT AS high_drift, (abs(val_null_rate - train_null_rate) > 0.1)::INT AS high_null_drift
+      coalesce((abs(val_mean - train_mean) / (train_std + 1e-12) > 0.2)::INT, 0) AS high_drift, (abs(val_null_rate - train_null_rate) > 0.1)::INT AS high_null_drift
       FROM {_stat_sql('tr', 'train', std)} JOIN {_stat_sql('va', 'val', std)} USING (feature)"""
 
 
 D_NUMS = "train_mean val_mean train_std val_std train_null_rate val_null_rate train_min val_min train_max val_max abs_mean_delta_over_train_std"
-query("d1_column_drift", lambda t: DR.column_drift(t.sides[0], t.sides[1], COLS), drift_sql("stddev_pop"), ints="high_drift high_null_drift", nums=D_NUMS, texts="feature")
-query("d2_feature_drift", lambda t: DR.feature_drift(t.sides[0], t.sides[1], COLS[:3], COLS[3:]),
-      f"SELECT *, CASE WHEN feature IN ('price_usd', 'prop_review_score', 'prop_location_score2') THEN 'added' ELSE 'removed' END AS action FROM ({drift_sql('stddev_samp')})",
+query("d1_column_drift", lambda t: DR.column_drift(t.sides[0], t.sides[1], EVERY), drift_sql("stddev_pop"), ints="high_drift high_null_drift", nums=D_NUMS, texts="feature")
+query("d2_feature_drift", lambda t: DR.feature_drift(t.sides[0], t.sides[1], EVERY[:20], EVERY[20:]),
+      f"SELECT *, CASE WHEN feature IN ({', '.join(repr(c) for c in EVERY[:20])}) THEN 'added' ELSE 'removed' END AS action FROM ({drift_sql('stddev_samp')})",
       ints="high_drift", nums=D_NUMS, texts="feature action")
-query("d3_range_comparison", lambda t: DR.range_comparison(t.sides[0], t.sides[1], COLS),
-      f"SELECT *, (val_max > train_max)::INT AS max_exceeded, (abs((val_mean - train_mean) / train_mean) > 0.1)::INT AS mean_differs FROM ({drift_sql('stddev_samp')})",
+query("d3_range_comparison", lambda t: DR.range_comparison(t.sides[0], t.sides[1], EVERY),
+      f"SELECT *, coalesce((val_max > train_max)::INT, 0) AS max_exceeded, coalesce((abs((val_mean - train_mean) / nullif(train_mean, 0)) > 0.1)::INT, 0) AS mean_differs FROM ({drift_sql('stddev_samp')})",
       ints="max_exceeded mean_differs", nums="train_mean val_mean", texts="feature")
-query("d4_ks_shift", lambda t: DR.ks_shift(t.sides[0], t.sides[1], COLS), f"""
-WITH u AS (SELECT 0 AS m, * FROM {long_sql('tr', COLS)} WHERE value IS NOT NULL UNION ALL SELECT 1, * FROM {long_sql('va', COLS)} WHERE value IS NOT NULL),
+query("d4_ks_shift", lambda t: DR.ks_shift(t.sides[0], t.sides[1], EVERY), f"""
+WITH u AS (SELECT 0 AS m, * FROM {long_sql('tr', EVERY)} WHERE value IS NOT NULL UNION ALL SELECT 1, * FROM {long_sql('va', EVERY)} WHERE value IS NOT NULL),
 g AS (SELECT feature, value, sum(m) AS a, count(*) - sum(m) AS b FROM u GROUP BY 1, 2),
-k AS (SELECT feature, max(abs(ca / ta - cb / tb)) AS ks FROM (SELECT feature, sum(a) OVER o AS ca, sum(b) OVER o AS cb, (sum(a) OVER p)::DOUBLE AS ta, (sum(b) OVER p)::DOUBLE AS tb
+k AS (SELECT feature, max(abs(ca / nullif(ta, 0) - cb / nullif(tb, 0))) AS ks FROM (SELECT feature, sum(a) OVER o AS ca, sum(b) OVER o AS cb, (sum(a) OVER p)::DOUBLE AS ta, (sum(b) OVER p)::DOUBLE AS tb
   FROM g WINDOW o AS (PARTITION BY feature ORDER BY value), p AS (PARTITION BY feature)) GROUP BY feature)
-SELECT *, (ks > 0.1)::INT AS shifted FROM k""", ints="shifted", nums="ks", texts="feature")
+SELECT *, coalesce((ks > 0.1)::INT, 0) AS shifted FROM k""", ints="shifted", nums="ks", texts="feature")
 ADV = ["price_usd", "prop_starrating", "prop_review_score", "prop_location_score1", "srch_booking_window", "promotion_flag"]
 
 

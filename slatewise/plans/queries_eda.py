@@ -6,7 +6,7 @@ from ..functions.exprs import band, flag
 from ..functions.stats import bin_of, spearman, spearman_matrix
 from ..operators import eda as A
 from ..operators.row_features import quality, visitor_match
-from ..schema import column_group, comp_columns
+from ..schema import column_group, comp_columns, impression_schema
 from .registry import query, view
 
 R_INTS, R_NUMS = "n", "click_rate booking_rate"
@@ -49,14 +49,16 @@ query("a1_column_inventory", lambda t: A.column_inventory(t.impressions, INVENTO
       ints="n_unique n_null", nums="min max mean", texts="feature dtype column_group")
 GAPS = ["prop_review_score", "prop_location_score2", "visitor_hist_starrating", "srch_query_affinity_score",
         "orig_destination_distance", "comp1_rate", "comp5_inv", "comp8_rate_percent_diff"]
-query("a2_missing_share", lambda t: A.missing_share(t.impressions, GAPS), " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, avg(({c} IS NULL)::INT) AS missing FROM imp" for c in GAPS), nums="missing", texts="feature")
-query("a2_missing_by_segment", lambda t: A.missing_share(t.impressions, GAPS, ["random_bool"]), " UNION ALL ".join(
-    f"SELECT random_bool, '{c}' AS feature, avg(({c} IS NULL)::INT) AS missing FROM imp GROUP BY random_bool" for c in GAPS),
+EVERY = [f.name for f in impression_schema().fields]
+query("a2_missing_share", lambda t: A.missing_share(t.impressions, EVERY), " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, avg(({c} IS NULL)::INT) AS missing FROM imp" for c in EVERY), nums="missing", texts="feature")
+OTHERS = [c for c in EVERY if c != "random_bool"]
+query("a2_missing_by_segment", lambda t: A.missing_share(t.impressions, OTHERS, ["random_bool"]), " UNION ALL ".join(
+    f"SELECT random_bool, '{c}' AS feature, avg(({c} IS NULL)::INT) AS missing FROM imp GROUP BY random_bool" for c in OTHERS),
       ints="random_bool", nums="missing", texts="feature")
-query("a2_missing_drift", lambda t: A.missing_drift(t.sides[0], t.sides[1], GAPS), " UNION ALL ".join(
+query("a2_missing_drift", lambda t: A.missing_drift(t.sides[0], t.sides[1], EVERY), " UNION ALL ".join(
     f"""SELECT '{c}' AS feature, a AS missing_left, b AS missing_right, b - a AS drift FROM (SELECT avg(({c} IS NULL)::INT) AS a FROM tr),
-    (SELECT avg(({c} IS NULL)::INT) AS b FROM va)""" for c in GAPS), nums="missing_left missing_right drift", texts="feature")
+    (SELECT avg(({c} IS NULL)::INT) AS b FROM va)""" for c in EVERY), nums="missing_left missing_right drift", texts="feature")
 query("a3_missing_correlation", lambda t: A.missing_correlation(t.impressions, GAPS), " UNION ALL ".join(
     f"SELECT '{a}' AS a, '{b}' AS b, corr(({a} IS NULL)::INT, ({b} IS NULL)::INT) AS corr FROM imp" for a in GAPS for b in GAPS if a < b),
       nums="corr", texts="a b")
