@@ -165,6 +165,6 @@ def test_suffix_dedup_of_passages(spark, no_docs, tmp_path):
 
 def test_long_steps_keep_every_start():
     text = bytes(random.Random(1).choices(b"abcde", k=5000))
-    doc, start, count, _, _ = suffix_dedup.chunk_stretches([text, b"", text[:49], text[:50]], True)
+    doc, start, count, _, _, _ = suffix_dedup.chunk_stretches([text, b"", text[:49], text[:50]], True)
     covered = sorted((d, s + k) for d, s, n in zip(doc.tolist(), start.tolist(), count.tolist()) for k in range(n))
     assert covered == [(0, s) for s in range(len(text) - 49)] + [(3, 0)]
