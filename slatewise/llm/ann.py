@@ -13,8 +13,12 @@ and looked into wholly. Equal vectors are one entry that keeps its smallest ids,
 and equal queries are searched once. A query that finds too few neighbours is
 compared with all vectors in blocks.
 
-The index takes in every vector. `K` grows with the logarithm of their number; the
-width is fitted to the median distance in a sample of at most `SAMPLE` vectors.
+The index takes in every vector. The width is fitted to the median distance in a
+sample of at most `SAMPLE` vectors. `K` starts from the logarithm of their number
+and is lowered until recall holds: at most `JUDGES` of the queries are compared with
+every vector, and `K` is the largest for which the mean share of their true
+neighbours in probed buckets, less two standard errors, is `RECALL` at least. Where
+no `K` reaches it, every query is compared with all vectors.
 
 Defined cases: vectors that are NULL, empty, zero or hold NULL or non-finite
 components take no part; only vectors of one length are compared; rows with equal
@@ -39,6 +43,8 @@ NEIGHBOURS, QUERY_STEP = 10, 100
 TABLES, PROBES, SEED = 10, 100, 77
 #: Projections per doubling of the vectors, cell width in median distances, and the sample that gives the median.
 PER_DOUBLING, WIDTH, SAMPLE = 0.58, 1.41, 512
+#: Recall to hold, and the queries it is measured on.
+RECALL, JUDGES = 0.9, 200
 #: Vectors in a part, and in a bucket before it is salted.
 PART, CROWDED = 4096, 1024
 
@@ -144,6 +150,68 @@ def nearest_of(wanted: np.ndarray, ids: np.ndarray, vectors: np.ndarray, most: i
     return ids[order], far[order]
 
 
+def true_neighbours(entries: DataFrame, judges: list[tuple[int, np.ndarray]], most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(vector, matrix of its `most` nearest other vectors) of each judge (id, vector), by comparison with every vector of its length."""
+    schema = "query long, id long, score double, vector array<double>"
+    shape = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("score", pa.float64()), ("vector", pa.list_(pa.float64()))])
+
+    def run(batches):
+        best = {}
+        for whole in batches:
+            for length, b in _by_length(whole, 1):
+                ids, vectors = b.column(0).to_numpy(), _matrix(b.column(1))
+                asking = [(q, v) for q, v in judges if len(v) == length]
+                if not asking:
+                    continue
+                squares = (vectors * vectors).sum(axis=1)
+                products = vectors @ np.array([v for _, v in asking]).T
+                for i, (q, v) in enumerate(asking):
+                    far = squares - 2 * products[:, i] + v @ v
+                    far[ids == q] = np.inf
+                    rows = np.argpartition(far, most - 1)[:most] if len(far) > most else np.arange(len(far))
+                    found = [(float(far[r]), int(ids[r]), vectors[r].copy()) for r in rows if far[r] < np.inf]
+                    best[q] = heapq.nsmallest(most, best.get(q, []) + found, key=lambda x: x[:2])
+        rows = [(q, i, far, v) for q, found in best.items() for far, i, v in found]
+        columns = list(zip(*rows)) or [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, shape)], schema=shape)
+
+    each = Window.partitionBy("query").orderBy("score", "id")
+    near = {}
+    for r in (entries.select("id", "vector").mapInArrow(run, schema).withColumn("_n", F.row_number().over(each))
+              .where(F.col("_n") <= most).select("query", "vector").collect()):
+        near.setdefault(r.query, []).append(r.vector)
+    return [(v, np.array(near[q], float)) for q, v in judges if q in near]
+
+
+def shares(truth: list[tuple[np.ndarray, np.ndarray]], projections: int, width: float) -> np.ndarray:
+    """Per judge, the share of its true neighbours that lie in a bucket it probes: its recall, since candidates are ranked exactly."""
+    out, tables = [], {}
+    for wanted, near in truth:
+        hashes = tables.setdefault(len(wanted), Hashes(len(wanted), projections, width))
+        cells, theirs = hashes.cells(wanted[None])[0], np.floor(hashes.cells(near))
+        own, hit = np.floor(cells), np.zeros(len(near), bool)
+        for t in range(TABLES):
+            if hit.all():
+                break
+            probed = {frozenset(moves) for moves in probe_sets(cells[t] - own[t], PROBES)}
+            steps = theirs[:, t] - own[t]
+            for i in np.flatnonzero(~hit & (np.abs(steps) <= 1).all(axis=1)):
+                hit[i] = frozenset((int(j), int(steps[i, j])) for j in np.flatnonzero(steps[i])) in probed
+        out.append(hit.mean())
+    return np.array(out)
+
+
+def lower(recalls: np.ndarray) -> float:
+    """The mean less two standard errors."""
+    return float(recalls.mean() - 2 * recalls.std() / math.sqrt(len(recalls)))
+
+
+def projections_for(truth, n: int, width: float) -> int:
+    """The largest number of projections that holds `RECALL`, at most as many as `n` vectors call for; 0 if there is none."""
+    most = max(2, round(PER_DOUBLING * math.log2(max(n, 2))))
+    return next((k for k in range(most, 0, -1) if lower(shares(truth, k, width)) >= RECALL), 0) if truth else most
+
+
 def _compare(most: int):
     """A function of (vectors of a part, queries with their buckets in it)."""
     schema = pa.schema([("query", pa.int64()), ("entry", pa.int64()), ("score", pa.float64())])
@@ -191,8 +259,36 @@ def search(vectors: DataFrame, queries, most: int = NEIGHBOURS) -> DataFrame:
     lists = [np.array(r.vector, float) for r in sample]
     pairs = [float(np.linalg.norm(a - b)) for a, b in zip(lists, lists[1:] + lists[:1]) if len(a) == len(b)]
     n, rows = entries.count(), valid.count()
-    fit = (max(2, round(PER_DOUBLING * math.log2(max(n, 2)))), WIDTH * float(np.median(pairs) if pairs else 1.0) or 1.0)
+    width = WIDTH * float(np.median(pairs) if pairs else 1.0) or 1.0
+    judges = [(r.id, np.array(r.vector, float)) for r in wanted.orderBy(F.xxhash64("id"), "id").limit(JUDGES).collect()]
+    fit = (projections_for(true_neighbours(entries, judges, most), n, width), width)
+
+    run, shape = _compare(most + 1), "query long, entry long, score double"
 
+    def answers(found):
+        """Rows per asking id: entries spelled out into ids, without its own."""
+        best = Window.partitionBy("query").orderBy("score", "entry")
+        top = found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= most + 1)
+        spelled = (top.join(entries.select(F.col("id").alias("entry"), "ids"), "entry")
+                   .select("query", "score", F.explode("ids").alias("vec_id")))
+        ranks = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        return (asks.select(F.col("vec_id").alias("query_id"), F.col("entry").alias("query")).distinct().join(spelled, "query")
+                .where(F.col("vec_id") != F.col("query_id")).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+                .withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= most)
+                .select("query_id", "rank", "vec_id", "score"))
+
+    def against_all(short):
+        """The exact way: all vectors in blocks, against the entries in `short`."""
+        blocks = max(1, math.ceil(n / PART))
+        block = F.pmod(F.xxhash64("id"), F.lit(blocks))
+        every = entries.select("id", "vector", F.lit(0).cast("long").alias("bucket"), F.xxhash64(block, F.size("vector")).alias("part"))
+        again = (wanted.join(short, "id").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+                 .select("id", "vector", F.lit(None).cast("array<long>").alias("buckets"),
+                         F.xxhash64("_block", F.size("vector")).alias("part")))
+        return every.groupBy("part").cogroup(again.groupBy("part")).applyInArrow(run, shape)
+
+    if not fit[0]:
+        return answers(stored(against_all(wanted.select("id")).distinct(), "ann-found"))
     parts = max(1, math.ceil(n / PART))
     index = stored(_keys(entries.select("id", "vector"), fit, False), "ann-index")
     crowds = (index.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWDED)
@@ -209,33 +305,12 @@ def search(vectors: DataFrame, queries, most: int = NEIGHBOURS) -> DataFrame:
               .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
               .groupBy("id", part(F.col("_salt").cast("long")).alias("part")).agg(F.collect_list("bucket").alias("buckets"))
               .join(wanted, "id").withColumn("part", F.xxhash64("part", F.size("vector"))))
-    run, shape = _compare(most + 1), "query long, entry long, score double"
     found = stored(members.groupBy("part").cogroup(probes.groupBy("part")).applyInArrow(run, shape).distinct(), "ann-found")
-
-    def answers(found):
-        """Rows per asking id: entries spelled out into ids, without its own."""
-        best = Window.partitionBy("query").orderBy("score", "entry")
-        top = found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= most + 1)
-        spelled = (top.join(entries.select(F.col("id").alias("entry"), "ids"), "entry")
-                   .select("query", "score", F.explode("ids").alias("vec_id")))
-        ranks = Window.partitionBy("query_id").orderBy("score", "vec_id")
-        return (asks.select(F.col("vec_id").alias("query_id"), F.col("entry").alias("query")).distinct().join(spelled, "query")
-                .where(F.col("vec_id") != F.col("query_id")).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-                .withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= most)
-                .select("query_id", "rank", "vec_id", "score"))
-
     first = stored(answers(found), "ann-answers")
     full = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min(most, rows - 1))
     short = stored(asks.join(full, asks.vec_id == full.query_id, "left_anti").select(F.col("entry").alias("id")).distinct(), "ann-short")
     if not short.take(1):
         return first
-    # the exact way: all vectors in blocks, against the queries that found too few
-    blocks = max(1, math.ceil(n / PART))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    every = entries.select("id", "vector", F.lit(0).cast("long").alias("bucket"), F.xxhash64(block, F.size("vector")).alias("part"))
-    again = (wanted.join(short, "id").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-             .select("id", "vector", F.lit(None).cast("array<long>").alias("buckets"),
-                     F.xxhash64("_block", F.size("vector")).alias("part")))
-    whole = every.groupBy("part").cogroup(again.groupBy("part")).applyInArrow(run, shape)
+    whole = against_all(short)
     both = answers(stored(whole.unionByName(found.join(short, found["query"] == short["id"], "left_anti")).distinct(), "ann-found"))
     return both

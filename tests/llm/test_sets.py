@@ -189,6 +189,32 @@ def test_neighbours_recall(spark, sf):
     assert all(d == pytest.approx(score[q, i], rel=1e-12) for q, _, i, d in hits)
 
 
+@pytest.mark.parametrize("constant, value, least", [("PER_DOUBLING", 1.1, 0.9), ("RECALL", 1.1, 1.0)])
+def test_neighbours_recall_does_not_hang_on_constants(spark, monkeypatch, constant, value, least):
+    """With too many projections they are lowered; where none hold recall, the search is exact."""
+    monkeypatch.setattr(ann, constant, value)
+    vectors = np.random.default_rng(5).standard_normal((1500, 32))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = {(r.query_id, r.vec_id) for r in ann.search(frame, "vec_id % 30 = 0").collect()}
+    want = {(q, int(i)) for q in range(0, 1500, 30) for i in np.argsort(((vectors - vectors[q]) ** 2).sum(axis=1))[1:11]}
+    assert len(found) == 500 and len(found & want) >= least * 500
+
+
+@pytest.mark.parametrize("n", [20_000, 500_000])
+def test_projections_hold_recall_as_the_table_grows(n):
+    """Uniform vectors on a sphere; near ones by comparison with all."""
+    rng = np.random.default_rng(9)
+    vectors = rng.standard_normal((n, 64), dtype=np.float32)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    judges = range(40)
+    near = {q: [i for i in np.argpartition(-(vectors @ vectors[q]), 11)[:11] if i != q] for q in judges}
+    truth = [(vectors[q].astype(float), vectors[near[q]].astype(float)) for q in judges]
+    width = ann.WIDTH * float(np.median(np.linalg.norm(vectors[:512] - vectors[512:1024], axis=1)))
+    k, before = ann.projections_for(truth, n, width), round(ann.PER_DOUBLING * np.log2(n))
+    assert k and ann.lower(ann.shares(truth, k, width)) >= 0.9
+    assert (ann.shares(truth, before, width).mean() < 0.9) == (n == 500_000)
+
+
 def test_probes_come_in_order_of_their_cost():
     into = np.random.default_rng(3).uniform(size=5)
     sets = ann.probe_sets(into, 243)
