@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections import defaultdict
 
@@ -33,6 +34,8 @@ END_ID = 1
 WINDOW_TOKENS, ROWS = 1 << 20, 4096
 #: Fixed value: how byte-level models cut text into words.
 BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The ranks' reader steps back over white space one by one and breaks off above 1,000,000; texts with such a run are read by the library.
+LONG_BLANKS = 100_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -47,11 +50,13 @@ class Encoder:
 
     A byte-level BPE whose merges are numbered in their order is the same model as
     a table of ranks, which is read several times faster; any other model file is
-    used as it is. The ids are those of the model file in both cases.
+    used as it is, and so is this one for texts with `LONG_BLANKS` blanks in a row.
+    The ids are those of the model file in all cases.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.path, self.whole, self.blanks = path, None, re.compile(r"\s{%d}" % LONG_BLANKS)
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
         self.special = {t["content"]: t["id"] for t in parts.get("added_tokens", [])}
@@ -62,10 +67,7 @@ class Encoder:
             self.model = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_WORDS, mergeable_ranks=ranks, special_tokens=self.special)
             self._ids = self._ranked
         else:
-            from tokenizers import Tokenizer
-
-            self.model = Tokenizer.from_file(path)
-            self._ids = lambda text: self.model.encode(text, add_special_tokens=False).ids
+            self._ids = self._library
 
     def _ranks(self, parts) -> dict[bytes, int] | None:
         """Ids by bytes, if the file is a plain byte-level model with its merges in order of their ids."""
@@ -81,7 +83,17 @@ class Encoder:
         ordered = None not in merged and all(x < y for x, y in zip(merged, merged[1:])) and len(merged) + 256 == len(ids)
         return {bytes(letter[c] for c in t): i for t, i in ids.items()} if ordered else None
 
+    def _library(self, text: str):
+        """By the tokenizer library, loaded with the first text that needs it."""
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+        return self.whole.encode(text, add_special_tokens=False).ids
+
     def _ranked(self, text: str):
+        if len(text) >= LONG_BLANKS and self.blanks.search(text):
+            return self._library(text)
         if any(s in text for s in self.special):
             return self.model.encode(text, allowed_special="all")
         return self.model.encode_ordinary(text)

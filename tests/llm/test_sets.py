@@ -239,6 +239,19 @@ def test_pipeline(spark, tmp_path, docs, sf):
     assert given.agg({"length": "sum"}).first()[0] == sum(len(encode(r.text)) // 4 + 1 for r in seen["mixing"].collect())
 
 
+@pytest.mark.parametrize("blank", ["\n", " ", "\u3000", " \t"])
+def test_long_runs_of_blanks_are_encoded(blank):
+    model, encode = Tokenizer.from_file(packing.default_tokenizer()), packing.Encoder(packing.default_tokenizer())
+    n = 2_000_000 if blank == "\n" else 1_000_001
+    for text in ("a word" + blank * n + "the end", "x" + blank * (packing.LONG_BLANKS - 1) + "y"):
+        assert encode(text) == np.array(model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_a_text_of_blanks_does_not_lose_the_others(spark):
+    frame = spark.createDataFrame([(1, "one text"), (2, "a" + "\n" * 2_000_000 + "b"), (3, "another")], "doc_id long, text string")
+    assert {r.doc_id for r in packing.pack(frame).collect()} == {1, 2, 3}
+
+
 LLM = sorted(k for k in entry.queries() if re.match(r"op\d+_|pipeline", k))
 
 
