@@ -22,6 +22,8 @@ SENTENCES = {
     "mit-title": "mit license",
     "mit-title-the": "the mit license",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    "mit-permission": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    "mit-condition": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "mit-notice": "released under the mit license",
     "mit-notice-licensed": "licensed under the mit license",
     "mit-notice-this": "this project is licensed under the mit license",
@@ -64,16 +66,32 @@ SENTENCES = {
     "unlicense": "this is free and unencumbered software released into the public domain",
     "reserved": "all rights reserved",
 }
-#: Licence rules in order: licence, the sentences in the order they come, and the licences this rule takes the place of.
+
+#: List signs that stand before or behind a condition where no empty line parts them, normalised.
+SIGNS = ("1", "2", "3", "4", "a", "b", "c", "d", "i", "ii", "iii", "iv", "o")
+
+
+def _listed() -> dict[str, str]:
+    """The conditions of the BSD licences with their list signs, and those that run into one sentence, by identifier."""
+    out = {f"bsd-grant-{s}": f"{SENTENCES['bsd-grant']} {s}" for s in SIGNS}
+    out |= {f"{name}-{s}": f"{s} {SENTENCES[name]}" for name in ("bsd-source", "bsd-binary", "bsd-names") for s in SIGNS}
+    return out | {f"bsd-open{s and '-' + s}": " ".join(filter(None, (SENTENCES["bsd-grant"], s, SENTENCES["bsd-source"]))) for s in ("", *SIGNS)}
+
+
+SENTENCES |= _listed()
+_SIGN = f"(-({'|'.join(SIGNS)}))?"
+#: The grant and the first condition: apart, or in one sentence.
+_BSD = ((f"bsd-grant{_SIGN}", f"bsd-source{_SIGN}"), (f"bsd-open{_SIGN}",))
+#: Licence rules in order: licence, the sentences in the order they come (regular expressions over identifiers), and the licences this rule takes the place of.
 RULES = (
     ("MIT", ("mit-grant", "as-is"), ()),
     ("MIT", ("mit-title", "mit-grant"), ()),
     ("MIT", ("mit-notice",), ()), ("MIT", ("mit-notice-licensed",), ()), ("MIT", ("mit-notice-this",), ()),
-    ("MIT", ("mit-title-the",), ()), ("MIT", ("mit-grant",), ()),
+    ("MIT", ("mit-title-the",), ()), ("MIT", ("mit-grant",), ()), ("MIT", ("mit-permission", "mit-condition"), ()), ("MIT", ("mit-title", "as-is"), ()),
     ("ISC", ("isc-title",), ()), ("ISC", ("isc-grant",), ()),
-    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names"), ("BSD-2-Clause",)),
+    *(("BSD-3-Clause", (*start, f"bsd-binary{_SIGN}", f"bsd-names{_SIGN}"), ("BSD-2-Clause",)) for start in _BSD),
     ("BSD-3-Clause", ("bsd-notice-3",), ()), ("BSD-3-Clause", ("bsd-notice",), ()), ("BSD-3-Clause", ("bsd-notice-licensed",), ()),
-    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary"), ()), ("BSD-2-Clause", ("bsd-notice-2",), ()),
+    *(("BSD-2-Clause", (*start, f"bsd-binary{_SIGN}"), ()) for start in _BSD), ("BSD-2-Clause", ("bsd-notice-2",), ()),
     ("Apache-2.0", ("apache-notice-header", "apache-comply", "apache-as-is"), ()),
     ("Apache-2.0", ("apache-notice",), ()), ("Apache-2.0", ("apache-notice-header",), ()),
     ("AGPL-3.0", ("agpl-free",), ("GPL-3.0",)), ("AGPL-3.0", ("agpl-notice",), ()),
@@ -95,8 +113,8 @@ KINDS = {
     "copyleft": ("AGPL-3.0", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "MPL-2.0", "CC-BY-SA-4.0"),
     "permissive": ("MIT", "ISC", "BSD-3-Clause", "BSD-2-Clause", "Apache-2.0", "CC-BY-4.0", "CC0-1.0", "Unlicense"),
 }
-#: A sentence ends with one of these marks before white space, or with an empty line.
-ENDS = r"([.!?;])[ \t\r\n]+|\n[ \t\r]*\n"
+#: A sentence ends with one of these marks before white space, with a copyright line, or with an empty line.
+ENDS = r"([.!?;]|Copyright[^\n.!?;]*[0-9]{4}[^\n.!?;]*)[ \t\r\n]+|\n[ \t\r]*\n"
 CUT = "\x01"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

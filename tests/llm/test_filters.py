@@ -121,6 +121,88 @@ def test_licences_match_sql(spark, docs, no_docs):
     assert kinds[1] == "MIT" and kinds[2] == "Apache-2.0" and kinds[6] == "CC-BY-NC-4.0" and kinds[8] == "" and kinds[9] == "AGPL-3.0"
 
 
+MIT = """{title}
+
+Copyright (c) 2024 A Name
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY.
+"""
+BSD2 = """Copyright (c) 2024, A Name
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+{0} Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+{1} Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+"""
+BSD3 = BSD2 + """{2} Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+"""
+ISC = """{title}
+
+Copyright (c) 2024, A Name
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+APACHE = """Copyright 2024 A Name
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+
+
+def licences_as_in_sql(spark, rows):
+    """The licences by number, after comparison with the SQL."""
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    documents = frame.toPandas()  # noqa: F841  (read by DuckDB)
+    con = duckdb.connect()
+    con.register("documents", documents)
+    found = licenses.scan(frame)
+    assert ordered(found) == ordered(con.execute(licenses.oracle()).fetchall())
+    return {r.doc_id: r.licences for r in found.collect()}
+
+
+def test_whole_licence_texts(spark):
+    signs = ["1. 2. 3.", "(1) (2) (3)", "1) 2) 3)", "a. b. c.", "(i) (ii) (iii)", "* * *", "- - -", "o o o"]
+    whole = [("MIT", MIT.format(title=x)) for x in ("MIT License", "The MIT License (MIT)", "")]
+    whole += [("ISC", ISC.format(title=x)) for x in ("ISC License", "")] + [("Apache-2.0", APACHE)]
+    whole += [(name, text.format(*x.split())) for name, text in (("BSD-2-Clause", BSD2), ("BSD-3-Clause", BSD3)) for x in signs]
+    forms = [lambda x: x, lambda x: x.replace("\n\n", "\n"), lambda x: x.replace("met:\n\n", "met:\n"), lambda x: x.replace("\n", "\r\n"),
+             lambda x: "".join(f" * {line}\n" for line in x.splitlines())]
+    rows = [(name, form(text)) for name, text in whole for form in forms]
+    found = licences_as_in_sql(spark, [(i, text) for i, (_, text) in enumerate(rows)])
+    assert [(i, name, found[i], rows[i][1][:60]) for i, (name, _) in enumerate(rows) if found[i] != name] == []
+
+
 def test_folding_keeps_positions():
     text = "Ａ 1d10t mоrоn ÍDIÓT ﬀ 😀\ud83d"
     assert len(toxicity.fold(text)) == len(text)
