@@ -127,10 +127,11 @@ def sequence(text: Column) -> Column:
     """The identifiers of known sentences in a text, in order."""
     sentences = F.split(F.regexp_replace(text, ENDS, f"$1{CUT}"), CUT)
     units = F.flatten(F.transform(sentences, lambda s: F.array_distinct(F.concat(F.array(s), F.split(s, "\n")))))
-    longest = 2 * max(map(len, SENTENCES.values()))
-    short = F.filter(units, lambda u: (F.length(u) >= min(map(len, SENTENCES.values()))) & (F.length(u) <= longest))
+    shortest, longest = min(map(len, SENTENCES.values())), max(map(len, SENTENCES.values()))
+    plain = F.transform(F.filter(units, lambda u: F.length(u) >= shortest), normal)
     known = F.create_map(*[F.lit(x) for name, words in SENTENCES.items() for x in (words, name)])
-    return F.filter(F.transform(short, lambda u: F.element_at(known, normal(u))), lambda i: i.isNotNull())
+    short = F.filter(plain, lambda u: F.length(u).between(shortest, longest))
+    return F.filter(F.transform(short, lambda u: F.element_at(known, u)), lambda i: i.isNotNull())
 
 
 def scan(docs: DataFrame) -> DataFrame:

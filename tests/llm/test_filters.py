@@ -203,6 +203,13 @@ def test_whole_licence_texts(spark):
     assert [(i, name, found[i], rows[i][1][:60]) for i, (name, _) in enumerate(rows) if found[i] != name] == []
 
 
+def test_padding_does_not_hide_licences(spark):
+    grant = MIT.format(title="").split("\n\n")[2] + "\n" + MIT.format(title="").split("\n\n")[3]
+    box = "/" + "*" * 200 + "\n" + "".join(f"* {line:<196} *\n" for line in grant.splitlines()) + "*" * 200 + "/\n"
+    rows = [(1, "Released under the MIT License" + " " * 1200 + ".\nMore."), (2, box), (3, "=" * 3000 + " All rights reserved " + "=" * 3000)]
+    assert licences_as_in_sql(spark, rows) == {1: "MIT", 2: "MIT", 3: "proprietary"}
+
+
 def test_folding_keeps_positions():
     text = "Ａ 1d10t mоrоn ÍDIÓT ﬀ 😀\ud83d"
     assert len(toxicity.fold(text)) == len(text)
