@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from . import ann, licenses, mixing, packing, preference, quality_rules, secret_scan, simhash, suffix_dedup, toxicity
+from . import ann, licenses, mixing, packing, preference, quality_rules, secret_scan, simhash, suffix_dedup, toxicity, variants
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op7_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return variants.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     "op1_preference_pairs": op1_preference_pairs,
     "op2_mix_sources": op2_mix_sources,
@@ -65,6 +69,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_ledger": op9_quality_ledger,
     "op10_simhash_classes": op10_simhash_classes,
+    "op11_spelling_variants": op11_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op1_preference_pairs": preference.ORACLE, "op7_license_scan": licenses.oracle()}
