@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from . import ann, licenses, mixing, packing, preference, quality_rules, secret_scan, simhash, suffix_dedup, toxicity, variants
+from . import ann, collocations, licenses, mixing, packing, preference, quality_rules, secret_scan, simhash, suffix_dedup, toxicity, variants
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op11_spelling_variants(spark, sf_dir):
     return variants.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op12_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_preference_pairs": op1_preference_pairs,
     "op2_mix_sources": op2_mix_sources,
@@ -70,6 +74,8 @@ QUERIES = {
     "op9_quality_ledger": op9_quality_ledger,
     "op10_simhash_classes": op10_simhash_classes,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_collocations": op12_collocations,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op1_preference_pairs": preference.ORACLE, "op7_license_scan": licenses.oracle()}
+ORACLES = {"op1_preference_pairs": preference.ORACLE, "op7_license_scan": licenses.oracle(),
+           "op12_collocations": collocations.ORACLE}

@@ -1,11 +1,13 @@
 """Spelling variants, collocations and language identification against plain versions."""
 
 import random
+import re
 import zlib
+from collections import Counter
 
 import pytest
 
-from slatewise.llm import variants
+from slatewise.llm import collocations, variants
 
 
 def ordered(frame_or_rows):
@@ -96,3 +98,71 @@ def test_chains_of_forms(spark):
     found = {r.word: r for r in variants.variants(docs).collect()}
     assert kept == set(found) == {w for w, _ in chain}
     assert {r.root for r in found.values()} == {"aaaabbb"} and found["aaaaaaa"].form == "aaaaaab"
+
+
+def plain_collocations(rows, least, top):
+    counts, out = Counter(), []
+    for lang, text in rows:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split("[.,;:!?\n-\r]", low):
+            words = [w for w in re.split("[ \t]+", piece) if w]
+            for size in (1, 2, 3, 4):
+                counts.update((lang or "und", tuple(words[i:i + size])) for i in range(len(words) - size + 1))
+    totals = Counter()
+    for (lang, p), n in counts.items():
+        totals[lang] += n * (len(p) == 1)
+    rated = {}
+    for (lang, p), a in counts.items():
+        if a >= least and len(p) > 1:
+            rated[lang, p] = min((2000000 * a // (counts[lang, p[:k]] + counts[lang, p[k:]]), k, counts[lang, p[:k]], counts[lang, p[k:]])
+                                 for k in range(1, len(p)))
+    for lang in totals:
+        kept = []
+        for (x, p), (score, _, left, right) in rated.items():
+            longer = [counts[o] for o in rated if o[0] == lang and len(o[1]) > len(p) and any(o[1][i:i + len(p)] == p for i in range(len(o[1])))]
+            if x == lang and not any(100 * f >= 80 * counts[x, p] for f in longer):
+                kept.append((-score, -counts[x, p], " ".join(p).encode(), left, right))
+        for rank, (score, a, p, left, right) in enumerate(sorted(kept)[:top], 1):
+            out.append((lang, rank, p.decode(), -a, left, right, totals[lang], -score))
+    return out
+
+
+def phrased(seed):
+    rng = random.Random(seed)
+    words = ["a", "B", "été", "É", "the", "of", "x", "no-stop", "\u00a0", "\x1c", "'", "\U0001f600"]
+    said = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 7))) for _ in range(12)]
+    rows = []
+    for i in range(80):
+        parts = [rng.choice(said) if rng.random() < 0.7 else rng.choice(words) for _ in range(rng.randint(0, 12))]
+        rows.append((rng.choice(["en", "de", None, "und"]), "".join(p + rng.choice([" ", "  ", "\t", ". ", "\n", "\x0b", ", ", "?", " \x85 "]) for p in parts)))
+    return rows + [("en", None), ("fr", ""), ("fr", " .. "), ("en", "ha " * 3000), ("en", "x " * 7)] + rows[:5]
+
+
+@pytest.mark.parametrize("seed,least,top,period", [(1, 8, 2000, 2), (2, 3, 5, 3), (3, 30, 2000, 32)])
+def test_collocations(spark, seed, least, top, period, monkeypatch):
+    monkeypatch.setattr(collocations, "LEAST", least)
+    monkeypatch.setattr(collocations, "PERIOD", period)
+    monkeypatch.setattr(collocations, "HELD_WORDS", 500)
+    rows = phrased(seed)
+    docs = spark.createDataFrame([(lang, t, "p", 1, 2) for lang, t in rows], "lang string, text string, phrase string, a long, n long").repartition(3)
+    found = collocations.collocations(docs, top)
+    assert ordered(found) == ordered(plain_collocations(rows, least, top))
+    assert found.count() > 2
+
+
+def test_collocations_of_an_empty_table(no_docs):
+    assert collocations.collocations(no_docs).count() == 0
+
+
+def test_chunks_own_every_phrase_once():
+    rng = random.Random(5)
+    for _ in range(200):
+        words = [rng.choice(["a", "b", "c", "d"]).encode() for _ in range(rng.randint(0, 30))]
+        found = collocations.chunks(b" ".join(words), {w: w == b"a" for w in (b"a", b"b", b"c", b"d")})
+        got = Counter()
+        for chunk in found:
+            inner, last = chunk.split(), chunk.endswith(b"\n")
+            for i in range(len(inner) - (0 if last else collocations.WINDOW)):
+                got.update(tuple(inner[i:i + n]) for n in (1, 2, 3, 4) if i + n <= len(inner))
+        assert got == Counter(tuple(words[i:i + n]) for i in range(len(words)) for n in (1, 2, 3, 4) if i + n <= len(words))
+        assert sum(c.endswith(b"\n") for c in found) == bool(words)
