@@ -296,7 +296,7 @@ WITH pieces AS (
   SELECT coalesce(lang, '{NO_LANG}') AS lang, doc_id, unnest(regexp_split_to_array(
     translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
   FROM documents WHERE text IS NOT NULL),
-worded AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), x -> x <> '') AS w FROM pieces),
+worded AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') AS w FROM pieces),
 places AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM worded),
 grams AS (
   SELECT lang, array_to_string(w[i:i + c - 1], ' ') AS phrase, c, count(*) AS a

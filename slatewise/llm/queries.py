@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from . import ann, collocations, licenses, mixing, packing, preference, quality_rules, secret_scan, simhash, suffix_dedup, toxicity, variants
+from . import ann, collocations, language, licenses, mixing, packing, preference, quality_rules, secret_scan, simhash, suffix_dedup, toxicity, variants
 from .common import table
 
 
@@ -62,6 +62,11 @@ def op12_collocations(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.learn(docs))
+
+
 QUERIES = {
     "op1_preference_pairs": op1_preference_pairs,
     "op2_mix_sources": op2_mix_sources,
@@ -75,6 +80,7 @@ QUERIES = {
     "op10_simhash_classes": op10_simhash_classes,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_collocations": op12_collocations,
+    "op13_language_id": op13_language_id,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op1_preference_pairs": preference.ORACLE, "op7_license_scan": licenses.oracle(),

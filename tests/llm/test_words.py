@@ -1,5 +1,6 @@
 """Spelling variants, collocations and language identification against plain versions."""
 
+import math
 import random
 import re
 import zlib
@@ -7,7 +8,7 @@ from collections import Counter
 
 import pytest
 
-from slatewise.llm import collocations, variants
+from slatewise.llm import collocations, language, variants
 
 
 def ordered(frame_or_rows):
@@ -166,3 +167,89 @@ def test_chunks_own_every_phrase_once():
                 got.update(tuple(inner[i:i + n]) for n in (1, 2, 3, 4) if i + n <= len(inner))
         assert got == Counter(tuple(words[i:i + n]) for i in range(len(words)) for n in (1, 2, 3, 4) if i + n <= len(words))
         assert sum(c.endswith(b"\n") for c in found) == bool(words)
+
+
+def plain_language(rows, sample):
+    """Scores of every row from a model counted over the sample rows, term by term; the model tables hold every term here."""
+    langs = [x for x, _ in sorted(Counter(x for x, _ in sample).items(), key=lambda kv: (-kv[1], kv[0]))]
+
+    def split(t):
+        words = re.findall(r"[^\W\d_]+", (t or "").lower())
+        return words if any(c.isalpha() for w in words for c in w) else []
+
+    counts = [{x: Counter() for x in langs} for _ in range(5)]
+    for lang, text in sample:
+        for w in split(text):
+            counts[0][lang][w] += 1
+            for n in (1, 2, 3, 4):
+                framed = w if n == 1 else f" {w} "
+                for i in range(len(framed) - n + 1):
+                    counts[n][lang][framed[i:i + n]] += 1
+    size = Counter(x for x, _ in sample)
+
+    def logs(n, term):
+        kinds = sum(len(counts[n][x]) for x in langs)
+        return [math.log((counts[n][x][term] + 0.3) / (sum(counts[n][x].values()) + 0.3 * (kinds + 1))) for x in langs]
+
+    def word(w):
+        if any(counts[0][x][w] for x in langs):
+            return logs(0, w)
+        for n in (4, 3, 2, 1):
+            framed = w if n == 1 else f" {w} "
+            known = [g for g in (framed[i:i + n] for i in range(len(framed) - n + 1)) if any(counts[n][x][g] for x in langs)]
+            if known:
+                each = [logs(n, g) for g in known]
+                return [sum(c) / len(known) for c in zip(*each)]
+        return [0.0] * len(langs)
+
+    out = []
+    for text in rows:
+        words = split(text)
+        if not words:
+            out.append(("und", 0.0))
+            continue
+        total = [math.log(size[x] / len(sample)) for x in langs]
+        for w in words:
+            total = [a + b for a, b in zip(total, word(w))]
+        best = max(total)
+        out.append((langs[total.index(best)], 1 / sum(math.exp(t - best) for t in total)))
+    return out
+
+
+def test_language_by_a_plain_model(spark):
+    rng = random.Random(4)
+    stems = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["ka", "schu", "mü", "ßen"], "cc": ["жа", "ко", "ми", "ka"]}
+    rows = []
+    for i in range(90):
+        lang = rng.choice(list(stems))
+        text = " ".join("".join(rng.choice(stems[lang]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 12)))
+        rows.append((i, text.title() if i % 3 else text, rng.choice([lang, lang, lang, None])))
+    rows += [(200, None, "aa"), (201, "", "aa"), (202, "12 _ ² ½ --", "bb"), (None, "ka lo", "aa"), (203, "日本 xyz", None), (204, "q", "zz")] + rows[:4]
+    docs = spark.createDataFrame([(i, t, x, "s", 1, "e") for i, t, x in rows],
+                                 "doc_id long, text string, lang string, term string, n long, draw string").repartition(3)
+    kept = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 != 1
+    sample = [(x, t) for i, t, x in rows if x and t is not None and kept(i)]
+    found = language.identify(docs, language.learn(docs)).collect()
+    want = Counter((i, i is not None and zlib.crc32(str(i).encode()) % 3 == 1, x, round(s, 6))
+                   for (i, _, _), (x, s) in zip(rows, plain_language([t for _, t, _ in rows], sample)))
+    got = Counter((r.doc_id, r.held_out, r.lang_pred, round(r.score, 6)) for r in found)
+    assert not (got - want) and not (want - got)
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 5)
+    docs = spark.createDataFrame([(7, "same row", "hot")] * 300 + [(i, f"text {i}", "cold") for i in range(30)], "doc_id long, text string, lang string")
+    sample, sizes = language.labelled_sample(docs)
+    assert Counter(r.lang for r in sample.collect()) <= Counter({"hot": 5, "cold": 5}) and len(sizes) in (1, 2)
+
+
+def test_language_without_anything_to_learn(spark, no_docs):
+    assert language.identify(no_docs, language.learn(no_docs)).count() == 0
+    docs = spark.createDataFrame([(1, "word", None), (2, None, "en")], "doc_id long, text string, lang string")
+    assert {(r.lang_pred, r.score) for r in language.identify(docs, language.learn(docs)).collect()} == {("und", 0.0)}
+
+
+def test_language_of_held_out_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = language.identify(docs, language.learn(docs)).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len(found) > 30 and sum(r.lang == r.lang_pred for r in found) >= 0.95 * len(found)
