@@ -1,25 +1,53 @@
 """Leak-safe encodings of entity keys.
 
-A search never feeds the encoding of its own rows: rows fall into folds by
-search, and a row in fold f sees the other folds only. One aggregation by
-(key, fold) holds everything; `fit` turns it into one row per key with an array
-of views, entry f for "all folds but f" and the last entry for "all folds".
-Training rows read the view of their fold, other tables read the last one.
+A search never feeds the encoding of its own rows: rows fall into folds by search,
+and a row in fold f sees the other folds only. One scan feeds all encodings: grouping
+sets tag each row with its key sets, one map-side combined aggregate over (set, key,
+fold) holds their partial results, and at most k rows per key become one row per view:
+a view for each fold that holds the key (all folds but that one) and one of all folds.
+The views are stored once, cut by set, and kept for later calls with the same source,
+measures, folds and salt. Training rows join the view of their fold, other tables the
+view of all folds.
 """
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import bucket_of, clip, num, ratio, total
+from ..functions.exprs import bucket_of, clip, num, ratio
 from ..functions.small import small_table
 from ..schema import SEARCH
-from ..session import materialise
+from ..session import path_exists, shared_dir
+
+#: The view of all folds.
+WHOLE = -1
+#: Stored encodings a session keeps for later calls.
+KEPT = 32
+
+
+def _sum(column):
+    return f"sum(cast({column} as double))"
+
+
+def _mean_of(p, s, n):
+    return f"try_divide({p(s)}, {p(n)})"
+
+
+class Measure:
+    """One encoded column.
+
+    `parts` names SQL aggregates of the rows, `value` and `overall` are SQL over their
+    sums in a view (p maps a part to its column); `mean` is the overall value as SQL.
+    """
+
+    def overall(self, p):
+        return "0D"
 
 
 @dataclass(frozen=True)
-class Rate:
+class Rate(Measure):
     """(sum + prior * mean) / (n + prior)."""
 
     name: str
@@ -27,17 +55,17 @@ class Rate:
     prior: float
 
     def parts(self):
-        return {"s": F.sum(num(self.target)), "n": F.count(self.target)}
+        return {"s": _sum(self.target), "n": f"count({self.target})"}
 
-    def overall(self):
-        return F.avg(self.target)
+    def overall(self, p):
+        return _mean_of(p, "s", "n")
 
     def value(self, p, mean):
-        return ratio(p("s") + self.prior * mean, p("n") + self.prior)
+        return f"try_divide({p('s')} + {float(self.prior)}D * {mean}, {p('n')} + {float(self.prior)}D)"
 
 
 @dataclass(frozen=True)
-class GivenRate:
+class GivenRate(Measure):
     """Successes given trials, smoothed: (successes + prior * g) / (trials + prior)."""
 
     name: str
@@ -46,51 +74,46 @@ class GivenRate:
     prior: float
 
     def parts(self):
-        return {"s": F.sum(num(self.success)), "n": F.sum(num(self.trial))}
+        return {"s": _sum(self.success), "n": _sum(self.trial),
+                "gs": f"sum(cast(if({self.trial} = 1, {self.success}, null) as double))", "gn": f"count(if({self.trial} = 1, {self.success}, null))"}
 
-    def overall(self):
-        return F.avg(F.when(F.col(self.trial) == 1, F.col(self.success)))
+    def overall(self, p):
+        return _mean_of(p, "gs", "gn")
 
     def value(self, p, mean):
-        return ratio(p("s") + self.prior * mean, p("n") + self.prior)
+        return f"try_divide({p('s')} + {float(self.prior)}D * {mean}, {p('n')} + {float(self.prior)}D)"
 
 
 @dataclass(frozen=True)
-class Total:
+class Total(Measure):
     """Sum of a column over the key, 0 for unseen keys."""
 
     name: str
     column: str
 
     def parts(self):
-        return {"s": F.sum(num(self.column))}
-
-    def overall(self):
-        return F.lit(0.0)
+        return {"s": _sum(self.column)}
 
     def value(self, p, mean):
         return p("s")
 
 
 @dataclass(frozen=True)
-class Count:
+class Count(Measure):
     """Rows with a value, 0 for unseen keys."""
 
     name: str
     column: str
 
     def parts(self):
-        return {"n": F.count(self.column)}
-
-    def overall(self):
-        return F.lit(0.0)
+        return {"n": f"count({self.column})"}
 
     def value(self, p, mean):
         return p("n")
 
 
 @dataclass(frozen=True)
-class Mean:
+class Mean(Measure):
     """Mean of a column (optionally of some rows), `fallback` or the overall mean if unseen."""
 
     name: str
@@ -98,46 +121,52 @@ class Mean:
     where: str | None = None
     fallback: float | None = None
 
-    def _v(self):
-        return num(self.column) if self.where is None else F.when(F.expr(self.where), num(self.column))
-
     def parts(self):
-        return {"s": F.sum(self._v()), "n": F.count(self._v())}
+        v = self.column if self.where is None else f"if({self.where}, {self.column}, null)"
+        return {"s": _sum(v), "n": f"count({v})"}
 
-    def overall(self):
-        return F.avg(self._v()) if self.fallback is None else F.lit(float(self.fallback))
+    def overall(self, p):
+        return _mean_of(p, "s", "n") if self.fallback is None else f"{float(self.fallback)}D"
 
     def value(self, p, mean):
-        return F.coalesce(ratio(p("s"), p("n")), mean)
+        return f"coalesce({_mean_of(p, 's', 'n')}, {mean})"
 
 
 @dataclass(frozen=True)
-class Std:
-    """Sample deviation, merged over folds from (n, mean, sum of squared deviations)."""
+class Std(Measure):
+    """Sample deviation, merged over folds from (n, mean, sum of squared deviations).
+
+    Where all values of a view are equal it is exactly 0, whatever the last bits of the
+    folds' means say.
+    """
 
     name: str
     column: str
     fallback: float = 0.0
 
     def parts(self):
-        v = num(self.column)
-        return {"n": F.count(v), "m": F.avg(v), "q": F.var_pop(v) * F.count(v)}
-
-    def overall(self):
-        return F.lit(float(self.fallback))
-
-    def steps(self, p):
-        yield {"n": p("n"), "ref": p.first("m")}
-        yield {"shift": ratio(p.mapped(lambda g: g("n") * (g("m") - p.step("ref"))), p.step("n"))}
+        v = f"cast({self.column} as double)"
+        return {"n": f"count({v})", "m": f"avg({v})", "q": f"var_pop({v}) * count({v})", "lo": f"min({v})", "hi": f"max({v})"}
+
+    def merged(self, cell):
+        """SQL over the array `views` of folds for the parts that are no sums."""
+        n, m, q = cell("n"), cell("m"), cell("q")
+        middle = (f"try_divide(aggregate(views, 0D, (a, x) -> a + coalesce(x.{n} * x.{m}, 0D)), "
+                  f"aggregate(views, 0D, (a, x) -> a + coalesce(x.{n}, 0D)))")
+        squares = (f"aggregate(views, named_struct('s', 0D, 'c', {middle}), "
+                   f"(a, x) -> named_struct('s', a.s + coalesce(x.{q} + x.{n} * (x.{m} - a.c) * (x.{m} - a.c), 0D), 'c', a.c), a -> a.s)")
+        return {"q": squares, "m": middle, "lo": f"array_min(transform(views, x -> x.{cell('lo')}))",
+                "hi": f"array_max(transform(views, x -> x.{cell('hi')}))"}
+
+    def overall(self, p):
+        return f"{float(self.fallback)}D"
 
     def value(self, p, mean):
-        n, middle = p.step("n"), p.step("ref") + p.step("shift")
-        squares = p.mapped(lambda g: g("q") + g("n") * (g("m") - middle) * (g("m") - middle))
-        return F.coalesce(F.sqrt(ratio(squares, n - 1)), mean)
+        return f"coalesce(sqrt(try_divide(if({p('lo')} = {p('hi')}, 0D, {p('q')}), {p('n')} - 1)), {mean})"
 
 
 @dataclass(frozen=True)
-class WeightedRate:
+class WeightedRate(Measure):
     """(sum of weight * target + prior * mean) / (sum of weight + prior)."""
 
     name: str
@@ -146,115 +175,152 @@ class WeightedRate:
     prior: float
 
     def parts(self):
-        return {"s": F.sum(num(self.weight) * num(self.target)), "n": F.sum(num(self.weight))}
+        return {"s": f"sum(cast({self.weight} as double) * cast({self.target} as double))", "n": _sum(self.weight),
+                "ts": _sum(self.target), "tn": f"count({self.target})"}
 
-    def overall(self):
-        return F.avg(self.target)
+    def overall(self, p):
+        return _mean_of(p, "ts", "tn")
 
     def value(self, p, mean):
-        return ratio(p("s") + self.prior * mean, p("n") + self.prior)
-
+        return f"try_divide({p('s')} + {float(self.prior)}D * {mean}, {p('n')} + {float(self.prior)}D)"
 
-class _Parts:
-    """A measure's partial results in some folds: one plain column for each part and fold."""
 
-    def __init__(self, measure, view, folds):
-        self.measure, self.view, self.folds = measure, view, folds
-
-    def mapped(self, fn):
-        """Sum over the folds of an expression of their parts."""
-        cells = [F.coalesce(fn(lambda part, f=f: num(_cell(self.measure, part, f))), F.lit(0.0)) for f in self.folds]
-        return total([F.lit(0.0), *cells])
-
-    def __call__(self, part):
-        return self.mapped(lambda g: g(part))
-
-    def first(self, part):
-        return F.coalesce(*[num(_cell(self.measure, part, f)) for f in self.folds], F.lit(None).cast("double"))
-
-    def step(self, name):
-        """A named column computed before, so that it is computed once."""
-        return F.col(self.named(name))
+@dataclass(frozen=True)
+class Sum(Measure):
+    """A plain sum or count given as SQL, 0 for unseen keys."""
 
-    def named(self, name):
-        return f"_{self.measure}_view{self.view}_{name}"
+    name: str
+    aggregate: str
 
+    def parts(self):
+        return {"x": self.aggregate}
 
-def _cell(measure, part, fold):
-    return f"_{measure}{part}_{fold}"
+    def value(self, p, mean):
+        return p("x")
 
 
 def fold_of(search=SEARCH, k=5, salt=""):
     return bucket_of(search, k, salt)
 
 
-def fit(source, keys, measures, k=5, salt="", search=SEARCH, mean=None):
-    """Encoding table: one row per key with `views`, an array of k + 1 structs of measures.
-
-    Two aggregations: by (key, fold), combined map-side, then at most k rows per
-    key into one with a column per part and fold. The views are plain expressions
-    of those columns, so all of it is generated code.
+@dataclass
+class Encodings:
+    """Stored encodings: (keys, measures) of each set, the views by set, and the overall values."""
+
+    sets: list
+    path: str
+    table: DataFrame
+    overall: dict
+    cells: dict
+
+    def cut(self, number):
+        """The views of one key set: its keys, `_at`, and the parts that its measures use."""
+        keys, measures = self.sets[number]
+        used = sorted({self.cells[sql] for m in measures for sql in m.parts().values()})
+        names = {c: f"_e{number}_{c}" for c in used}
+        return self.table.where(F.col("_set") == number).select(*keys, "_at", *[F.col(c).alias(n) for c, n in names.items()])
+
+    def attach(self, df, at):
+        """Left join every set's view `at`; unseen keys get the overall values."""
+        at = F.lit(at) if isinstance(at, int) else at
+        df = df.withColumn("_at", at.cast("int"))
+        for number, (keys, measures) in enumerate(self.sets):
+            if not measures:
+                continue
+            names = [m.name for m in measures]
+            keep = [f"`{c}`" for c in df.columns if c not in names]
+            joined = df.join(self.cut(number), [*keys, "_at"], "left")
+            values = []
+            for m in measures:
+                place = {part: f"_e{number}_{self.cells[sql]}" for part, sql in m.parts().items()}
+                mean = f"double('{self.overall[m.name]!r}')" if self.overall[m.name] is not None else "double(null)"
+                values.append(f"coalesce({m.value(place.__getitem__, mean)}, {mean}) as `{m.name}`")
+            df = joined.selectExpr(*keep, *values)
+        return df.drop("_at")
+
+
+def fit(source, groups, k=5, salt="", search=SEARCH):
+    """The encodings of several (keys, measures) groups, in one scan and one stored table.
+
+    With k = 0 there are no folds and only the view of all rows.
     """
-    keys = list(keys)
-    folds = list(range(k or 1))
+    merged = {}
+    for keys, measures in groups:
+        merged.setdefault(tuple(keys), []).extend(measures)
+    sets = [(list(keys), list(dict.fromkeys(measures))) for keys, measures in merged.items()]
+    columns = list(dict.fromkeys(key for keys, _ in sets for key in keys))
+    # the set without keys is the whole table
+    every = [m for _, measures in sets for m in measures]
+    if () not in merged:
+        sets.append(([], []))
+    total = [keys for keys, _ in sets].index([])
+    grouping = [[*keys, "_fold"] for keys, _ in sets]
+    cells, specials, used = {}, {}, {}
+    for number, (_, measures) in enumerate(sets):
+        for m in measures if number != total else every:
+            for sql in m.parts().values():
+                used.setdefault(cells.setdefault(sql, f"p{len(cells)}"), set()).add(number)
+    for m in every:
+        if hasattr(m, "merged"):
+            specials |= {cells[m.parts()[part]]: sql for part, sql in m.merged(lambda part, m=m: cells[m.parts()[part]]).items()}
     rows = source.withColumn("_fold", fold_of(search, k, salt).cast("int") if k else F.lit(0))
-    for key in keys:
-        rows = rows.where(F.col(key).isNotNull())
-    cells = {(i, part): e for i, m in enumerate(measures) for part, e in m.parts().items()}
-    per_fold = rows.groupBy(*keys, "_fold").agg(*[e.alias(f"_{i}{part}") for (i, part), e in cells.items()])
-    per_key = per_fold.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("_fold") == f, F.col(f"_{i}{part}"))).alias(_cell(i, part, f)) for i, part in cells for f in folds])
-    # the last view leaves no fold out
-    views = [(at, i, m, _Parts(i, at, [f for f in folds if not k or f != at])) for at in range(k + 1) for i, m in enumerate(measures)]
-    steps = [(p, list(m.steps(p))) for _, _, m, p in views if hasattr(m, "steps")]
-    for level in range(max((len(found) for _, found in steps), default=0)):
-        per_key = per_key.withColumns({p.named(n): e for p, found in steps if level < len(found) for n, e in found[level].items()})
-    per_key = per_key.withColumn("_mean", overall(source, measures) if mean is None else mean)
-    entries = [F.struct(*[m.value(p, F.col("_mean")[m.name]).alias(m.name) for at, _, m, p in views if at == view]) for view in range(k + 1)]
-    return per_key.select(*keys, F.array(*entries).alias("views"))
-
-
-def overall(source, measures):
-    """Fallback value of every measure as a scalar: a one-row aggregate of the whole source."""
-    return source.agg(F.struct(*[m.overall().alias(m.name) for m in measures])).scalar()
-
-
-def attach(df, table, keys, measures, fallback, fold):
-    """Left join an encoding table and read the view of `fold`; unseen keys get the fallback."""
-    names = [m.name for m in measures]
-    keep = [c for c in df.columns if c not in names]
-    at = F.lit(fold) if isinstance(fold, int) else fold
-    joined = df.select(*keep, at.cast("int").alias("_at")).join(table, list(keys), "left")
-    seen = F.col("views")[F.col("_at")]
-    return joined.select(*keep, *[F.coalesce(seen[n], fallback[n]).alias(n) for n in names])
-
-
-def encode_many(df, groups, source=None, k=5, salt="", search=SEARCH, durable=True):
+    per_fold = rows.groupingSets(grouping, *columns, "_fold").agg(
+        F.grouping_id().alias("_id"), *[F.expr(f"cast({sql} as double)").alias(c) for sql, c in cells.items()])
+    # grouping_id has one bit for each grouping column, set where the column is not in the set
+    ids = [sum(1 << (len(columns) - i) for i, c in enumerate(columns) if c not in keys) for keys, _ in sets]
+    number = F.create_map(*[x for i, at in enumerate(ids) for x in (F.lit(at), F.lit(i))])
+    per_fold = per_fold.withColumn("_set", number[F.col("_id").cast("int")])
+    for key in columns:
+        inside = [i for i, (keys, _) in enumerate(sets) if key in keys]
+        per_fold = per_fold.where(F.col(key).isNotNull() | ~F.col("_set").isin(*inside))
+    per_key = per_fold.groupBy("_set", *columns).agg(F.sort_array(F.collect_list(F.struct("_fold", *cells.values()))).alias("folds"))
+    at = f"explode(concat(transform(folds, x -> x._fold), array({WHOLE})))" if k else str(WHOLE)
+    views = per_key.selectExpr("_set", *[f"`{c}`" for c in columns], f"{at} as _at", "folds")
+    views = views.withColumn("views", F.expr("filter(folds, x -> x._fold <> _at)") if k else F.col("folds"))
+    merges = []
+    for c in cells.values():
+        sql = specials.get(c, f"aggregate(views, 0D, (a, x) -> a + coalesce(x.{c}, 0D))")
+        merges.append(f"if(_set in ({', '.join(map(str, sorted(used[c])))}), {sql}, null) as {c}")
+    views = views.selectExpr("_set", *[f"`{c}`" for c in columns], "_at", *merges)
+    path = f"{shared_dir(source.sparkSession)}/encodings-{uuid.uuid4().hex}"
+    views.write.parquet(path, partitionBy=["_set"])
+    stored = source.sparkSession.read.schema(views.schema).parquet(path)
+    whole = stored.where((F.col("_set") == total) & (F.col("_at") == WHOLE)).agg(*[F.max(c).alias(c) for c in cells.values()])
+    found = whole.selectExpr(*[f"{m.overall(lambda part, m=m: cells[m.parts()[part]])} as `{m.name}`" for m in every]).first()
+    return Encodings(sets, path, stored, found.asDict(), cells)
+
+
+_kept = []
+
+
+def fitted(source, groups, k=5, salt="", search=SEARCH):
+    """`fit`, or what an earlier call of this session stored for the same plan over the same files.
+
+    Files that are replaced under their old names are taken for the old ones.
+    """
+    groups = tuple((tuple(keys), tuple(measures)) for keys, measures in groups)
+    app, files = source.sparkSession.sparkContext.applicationId, sorted(source.inputFiles())
+    for entry in _kept:
+        if entry[0] == (app, groups, k, salt, search) and entry[2] == files and entry[1].sameSemantics(source):
+            if path_exists(source.sparkSession, entry[3].path):
+                return entry[3]
+    found = fit(source, groups, k, salt, search)
+    _kept.insert(0, ((app, groups, k, salt, search), source, files, found))
+    del _kept[KEPT:]
+    return found
+
+
+def encode_many(df, groups, source=None, k=5, salt="", search=SEARCH):
     """Encodings of several (keys, measures) groups, out of fold unless a source is given.
 
-    Every group is fitted on the same base table, never on the result of the
-    previous join, so the plan grows by one aggregation and one join per group.
-
-    With `durable` each encoding table is written to the shared folder first.
-    Its true size is then known, so small ones are broadcast and large ones
-    shuffled by the planner's own rule, and losing an executor does not repeat
-    the aggregation.
+    The views are stored, so their true size is known: small ones are broadcast and
+    large ones shuffled by the planner's own rule, and losing an executor does not
+    repeat the aggregation.
     """
     base = df if source is None else source
-    folds = k if source is None else 0
-    at = fold_of(search, k, salt) if source is None else 0
-    groups = [(list(keys), list(measures)) for keys, measures in groups]
-    everything = [m for _, measures in groups for m in measures]
-    mean = overall(base, everything)
-    if durable:
-        row = base.agg(*[num(m.overall()).alias(m.name) for m in everything]).first()
-        mean = F.struct(*[F.lit(row[m.name]).cast("double").alias(m.name) for m in everything])
-    for keys, measures in groups:
-        table = fit(base, keys, measures, folds, salt, search, mean)
-        if durable:
-            table = materialise(table, "encoding_" + "_".join(keys))
-        df = attach(df, table, keys, measures, mean, at)
-    return df
+    if source is None:
+        return fitted(base, groups, k, salt, search).attach(df, fold_of(search, k, salt))
+    return fitted(base, groups, k if search in base.columns else 0, salt, search).attach(df, WHOLE)
 
 
 def encode_oof(df, keys, measures, k=5, salt="", search=SEARCH):
@@ -327,9 +393,9 @@ def derive_destination_gaps(df):
                            "review_vs_dest_mean": num("prop_review_score") - F.col("dest_mean_review")})
 
 
-def entity_encodings(df, source=None, k=5, salt="", durable=True):
+def entity_encodings(df, source=None, k=5, salt=""):
     """Every standard encoding: out of fold without a source, from the source otherwise."""
-    df = encode_many(df, encoding_plan().items(), source, k, salt, durable=durable)
+    df = encode_many(df, encoding_plan().items(), source, k, salt)
     return derive_destination_gaps(derive_price_position(df))
 
 
@@ -359,23 +425,6 @@ def position_adjusted(train, target, name, other=None, alpha=40.0, bounds=(0.2,
     return encode_from(weighted, other, ["prop_id"], measures)
 
 
-@dataclass(frozen=True)
-class _Plain:
-    """Unsmoothed sum or count, 0 for unseen keys."""
-
-    name: str
-    part: Column
-
-    def parts(self):
-        return {"x": self.part}
-
-    def overall(self):
-        return F.lit(0.0)
-
-    def value(self, p, mean):
-        return p("x")
-
-
 def pair_with_fallback(train, a, b, target, name, other=None, alpha=40.0, mix=(0.5, 0.3, 0.2), k=5, salt=""):
     """Pair rate shrunk to a mix of both single rates and the overall rate.
 
@@ -383,20 +432,12 @@ def pair_with_fallback(train, a, b, target, name, other=None, alpha=40.0, mix=(0
     row's own fold out.
     """
     def sums(tag):
-        return (_Plain(f"_{tag}_s", F.sum(num(target))), _Plain(f"_{tag}_n", F.count(target)))
-
-    df, fold = (train, fold_of(SEARCH, k, salt)) if other is None else (other, k)
-    everyone = train.withColumn("_one", F.lit(1))
-    df = df.withColumn("_one", F.lit(1))
-    # the overall rate by fold is a one-row table with k + 1 entries
-    whole = fit(everyone, ["_one"], sums("all"), k, salt).select("views").scalar()
-    at = fold.cast("int") if isinstance(fold, Column) else F.lit(fold)
-    df = df.withColumn("_g", ratio(whole[at]["_all_s"], whole[at]["_all_n"])).drop("_one")
-    for tag, keys in (("pair", [a, b]), ("a", [a]), ("b", [b])):
-        m = sums(tag)
-        df = attach(df, fit(train, keys, m, k, salt), keys, m, overall(train, m), fold)
+        return [Sum(f"_{tag}_s", _sum(target)), Sum(f"_{tag}_n", f"count({target})")]
+
+    groups = [((), sums("all")), ((a, b), sums("pair")), ((a,), sums("a")), ((b,), sums("b"))]
+    df = encode_many(train if other is None else other, groups, None if other is None else train, k, salt)
     wa, wb, wg = mix
-    g = F.col("_g")
+    g = ratio("_all_s", "_all_n")
     back = (wa * F.coalesce(ratio("_a_s", "_a_n"), g) + wb * F.coalesce(ratio("_b_s", "_b_n"), g) + wg * g)
     value = ratio(F.col("_pair_s") + alpha * back, F.col("_pair_n") + alpha)
-    return df.withColumn(name, value).drop("_g", *[f"_{t}_{x}" for t in ("pair", "a", "b") for x in "sn"])
+    return df.withColumn(name, value).drop(*[f"_{t}_{x}" for t in ("all", "pair", "a", "b") for x in "sn"])
