@@ -35,8 +35,8 @@ from .common import stored
 
 LEAST, LONGEST, SUBSUMED, TOP, SCALE = 30, 4, 80, 2000, 2_000_000
 WINDOW, PERIOD, NO_LANG = 3, 32, "und"
-#: Bytes of pieces, and words, that a task holds before it sends what it counted; rows of one batch that it sends.
-HELD_BYTES, HELD_WORDS, ROWS = 16 << 20, 1 << 20, 1 << 16
+#: Bytes of pieces or chunks that a task holds before it sends what it counted; rows of one batch that it sends.
+HELD_BYTES, ROWS = 16 << 20, 1 << 16
 #: The filter: bits for each phrase, least and most bits (32 MB), bits of one part, hash functions.
 BITS_EACH, LEAST_BITS, BITS, PART, HASHES = 16, 1 << 19, 1 << 28, 1 << 19, 3
 
@@ -163,69 +163,65 @@ def _passes(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
     return ok
 
 
-class _Words(dict):
-    """Numbers of the words of one language within a batch."""
-
-    def __init__(self, lang, names, langs):
-        self.lang, self.names, self.langs = lang, names, langs
-
-    def __missing__(self, word):
-        self[word] = number = len(self.names)
-        self.names.append(word)
-        self.langs.append(self.lang)
-        return number
-
-
-def _batch_counts(rows: list, sizes: tuple, table: np.ndarray | None):
-    """(lang, phrase, a) of the phrases of these sizes in these dictionary rows; phrase NULL stands for all words of a language."""
-    names, langs, by_lang, flat, weights = [], [], {}, [], []
-    totals = Counter()
-    for lang, chunk, freq in rows:
-        last = chunk.endswith("\n")
-        words = chunk[:-1].split(" ") if last else chunk.split(" ")
-        known = by_lang.get(lang) or by_lang.setdefault(lang, _Words(lang, names, langs))
-        flat += [known[w] for w in words]
-        flat.append(-1)
-        own = len(words) if last else len(words) - WINDOW
-        weights.append((own, len(words) + 1 - own, freq))
-        totals[lang] += own * freq
-    ids = np.array(flat, np.int64)
-    own, rest, freq = np.array(weights, np.int64).T
-    weight = np.repeat(np.column_stack([freq, np.zeros_like(freq)]).ravel(), np.column_stack([own, rest]).ravel())
-    words, spoken, n = pa.array(names, pa.string()), pa.array(langs, pa.string()), len(names)
+def _coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A small number for each different value, and the values by number."""
+    found = pa.array(values).dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary.to_numpy()
+
+
+def _language_counts(lang: str, chunk_texts: pa.Array, freq: np.ndarray, sizes: tuple, table: np.ndarray | None):
+    """(lang, phrase, a) of the phrases of these sizes in some chunks of one language; phrase NULL stands for all its words."""
+    last = pc.ends_with(chunk_texts, "\n").to_numpy(zero_copy_only=False)
+    split = pc.split_pattern(pc.utf8_rtrim(chunk_texts, "\n"), " ")
+    coded = split.flatten().dictionary_encode()
+    words, n = coded.dictionary, len(coded.dictionary)
+    lengths = pc.list_value_length(split).to_numpy().astype(np.int64)
+    # one place behind each chunk parts it from the next
+    ids = np.full(int(lengths.sum()) + len(lengths), -1, np.int64)
+    ends = np.cumsum(lengths + 1)
+    gaps = np.zeros(len(ids), bool)
+    gaps[ends - 1] = True
+    ids[~gaps] = coded.indices.to_numpy()
+    own = np.where(last, lengths, lengths - WINDOW)
+    weight = np.repeat(np.column_stack([freq, np.zeros_like(freq)]).ravel(), np.column_stack([own, lengths + 1 - own]).ravel())
 
     def counted(starts, size):
         """Sums of weights of the phrases at these places, with their words."""
-        code = ids[starts]
+        code, decode = ids[starts], []
         for k in range(1, size):
             if k > 1:
-                _, code = np.unique(code, return_inverse=True)
+                code, pairs = _coded(code)
+                decode.append(pairs)
             code = code * n + ids[starts + k]
-        _, first, inverse = np.unique(code, return_index=True, return_inverse=True)
-        sums = np.zeros(len(first), np.int64)
-        np.add.at(sums, inverse, weight[starts])
-        at = starts[first]
-        for lo in range(0, len(at), ROWS):
-            part = at[lo : lo + ROWS]
-            text = [words.take(pa.array(ids[part + k])) for k in range(size)]
-            yield pa.RecordBatch.from_arrays([spoken.take(pa.array(ids[part])), pc.binary_join_element_wise(*text, " ") if size > 1 else text[0],
-                                              pa.array(sums[lo : lo + ROWS])], names=["lang", "phrase", "a"])
+        code, left = _coded(code)
+        sums = np.bincount(code, weight[starts], len(left)).astype(np.int64)
+        parts = []
+        for k in range(size - 1):
+            left, right = np.divmod(left, n)
+            parts.insert(0, right)
+            if decode:
+                left = decode.pop()[left]
+        parts.insert(0, left)
+        for lo in range(0, len(sums), ROWS):
+            text = [words.take(pa.array(x[lo : lo + ROWS])) for x in parts]
+            phrase = pc.binary_join_element_wise(*text, " ") if size > 1 else text[0]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrase), pa.string()), phrase, pa.array(sums[lo : lo + ROWS])],
+                                             names=["lang", "phrase", "a"])
 
     if sizes == (1,):
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.string()),
-                                          pa.array(list(totals.values()), pa.int64())], names=["lang", "phrase", "a"])
+        yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.nulls(1, pa.string()), pa.array([int((own * freq).sum())], pa.int64())],
+                                         names=["lang", "phrase", "a"])
         yield from counted(np.flatnonzero(weight > 0), 1)
         return
-    hashes = np.array([_word_hash(lang, w) for lang, w in zip(langs, names)], np.uint64)
-    inside = ids[1:] >= 0
-    inside &= ids[:-1] >= 0
+    hashes = np.array([_word_hash(lang, w) for w in words.to_pylist()], np.uint64)
+    pairs = (ids[1:] >= 0) & (ids[:-1] >= 0)
     if sizes == (2,):
         good = _passes(hashes, table)
-        pairs = inside & good[ids[:-1]] & good[ids[1:]]
+        pairs &= good[ids[:-1]] & good[ids[1:]]
     else:
-        pairs = inside
-        places = np.flatnonzero(inside)
-        pairs[places] = _passes(_mixed(hashes[ids[places]], hashes[ids[places + 1]]), table)
+        places = np.flatnonzero(pairs)
+        code, each = _coded(ids[places] * n + ids[places + 1])
+        pairs[places] = _passes(_mixed(hashes[each // n], hashes[each % n]), table)[code]
     for size in sizes:
         ok = weight[: len(pairs) - size + 2] > 0
         for k in range(size - 1):
@@ -233,6 +229,16 @@ def _batch_counts(rows: list, sizes: tuple, table: np.ndarray | None):
         yield from counted(np.flatnonzero(ok), size)
 
 
+def _batch_counts(held: list, sizes: tuple, table: np.ndarray | None):
+    """What `_language_counts` gives for each language of these dictionary rows."""
+    rows = pa.Table.from_batches(held).combine_chunks()
+    langs = rows.column(0).chunk(0).dictionary_encode()
+    code, texts, freq = langs.indices.to_numpy(), rows.column(1).chunk(0), rows.column(2).to_numpy()
+    order = np.argsort(code, kind="stable")
+    for number, part in enumerate(np.split(order, np.cumsum(np.bincount(code, minlength=len(langs.dictionary)))[:-1])):
+        yield from _language_counts(langs.dictionary[number].as_py(), texts.take(pa.array(part)), freq[part], sizes, table)
+
+
 def phrase_counts(chunk_table: DataFrame, sizes: tuple, frequent: bytes | None = None) -> DataFrame:
     """lang, phrase, a: exact occurrences of the phrases of these sizes that the filter lets through."""
     shared = chunk_table.sparkSession.sparkContext.broadcast(frequent)
@@ -241,12 +247,12 @@ def phrase_counts(chunk_table: DataFrame, sizes: tuple, frequent: bytes | None =
         table = None if shared.value is None else np.frombuffer(shared.value, np.uint8)
         held, size = [], 0
         for b in batches:
-            for row in zip(*[b.column(k).to_pylist() for k in range(3)]):
-                held.append(row)
-                size += row[1].count(" ") + 1
-                if size > HELD_WORDS:
-                    yield from _batch_counts(held, sizes, table)
-                    held, size = [], 0
+            if b.num_rows:
+                held.append(b)
+                size += b.column(1).nbytes
+            if size > HELD_BYTES:
+                yield from _batch_counts(held, sizes, table)
+                held, size = [], 0
         if held:
             yield from _batch_counts(held, sizes, table)
 

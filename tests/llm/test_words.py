@@ -143,7 +143,7 @@ def phrased(seed):
 def test_collocations(spark, seed, least, top, period, monkeypatch):
     monkeypatch.setattr(collocations, "LEAST", least)
     monkeypatch.setattr(collocations, "PERIOD", period)
-    monkeypatch.setattr(collocations, "HELD_WORDS", 500)
+    monkeypatch.setattr(collocations, "HELD_BYTES", 3000)
     rows = phrased(seed)
     docs = spark.createDataFrame([(lang, t, "p", 1, 2) for lang, t in rows], "lang string, text string, phrase string, a long, n long").repartition(3)
     found = collocations.collocations(docs, top)
