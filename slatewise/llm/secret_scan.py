@@ -5,7 +5,10 @@ The lexer reads source and configuration syntax (`name = "x"`, `"name": "x"`,
 target name and literals, joins literals put together with `+` or by adjacency,
 and follows names: a literal assigned to a plain name counts for every target the
 name is assigned to later. A literal is scored by how sensitive its target's name
-is and by its own length, variety and mix of characters.
+is and by its own length, variety and mix of characters. Literals put together are
+chains that share their parts and carry the counts their score needs, and a quote
+sign that nothing closes is looked up once a line, so the work is linear in the text
+(times the number of different characters in a followed literal).
 
 A span is (kind, start, end) in code points. Pattern kinds are `assign`, `access`
 and `hex`; literals that lie in none of their spans are added as `literal`.
@@ -19,7 +22,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,19 +45,21 @@ SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pas
              "apikey": 1.0, "credential": 0.8, "credentials": 0.8, "bearer": 0.7, "authorization": 0.6, "auth": 0.5}
 SENSITIVE_PAIRS = {("api", "key"): 1.0, ("access", "key"): 0.9, ("private", "key"): 1.0, ("secret", "key"): 1.0,
                    ("encryption", "key"): 0.9, ("signing", "key"): 0.9, ("account", "key"): 0.8, ("client", "secret"): 1.0}
-HARMLESS = re.compile(r"(?i)^(true|false|none|null|nil|undefined|example|changeme|password|secret|token|test|todo)$"
-                      r"|^(.)\2*$|^[<$%{].*|^your[_-]|.*(example|placeholder|redacted)|^(os\.|env\.|process\.)")
+HARMLESS_WHOLE = {"true", "false", "none", "null", "nil", "undefined", "example", "changeme", "password", "secret", "token", "test", "todo"}
+HARMLESS_STARTS = ("<", "$", "%", "{", "your_", "your-", "os.", "env.", "process.")
+HARMLESS_INSIDE = ("example", "placeholder", "redacted")
 THRESHOLD = 1.0
 
 _STEMS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+_INSIDE = {q: re.compile(rf"[^{q}\\\n]*+(?:\\.[^{q}\\\n]*+)*+") for q in "\"'`"}
 _LEX = re.compile(
-    r"""(?P<text>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`)"""
-    r"""|<(?P<tag>[A-Za-z_][\w.-]*)>(?P<inner>[^<>\n]*)</(?P=tag)>"""
+    r"""<(?P<tag>[A-Za-z_][\w.-]*+)>(?P<inner>[^<>\n]*+)</(?P=tag)>"""
     r"""|(?P<name>[^\W\d][\w.-]*)|(?P<set>:=|=>|==|!=|<=|>=|=|:)|(?P<plus>\+)|(?P<end>[\n;,(){}\[\]])|(?P<gap>[^\S\n]+)|(?P<odd>.)""")
 _BARE = re.compile(r"[^\S\n]*([A-Za-z0-9+/_.=@!#%^&*~-]++)(?P<last>[^\S\n]*+(?:\n|$|#|;))?")
 
 
+@lru_cache(4096)
 def sensitivity(name: str) -> float:
     """How likely a target of this name holds a secret, 0 to 1."""
     parts = [p.lower() for p in _PARTS.findall(name)]
@@ -59,63 +67,140 @@ def sensitivity(name: str) -> float:
     return max(single, max((SENSITIVE_PAIRS.get(p, 0.0) for p in zip(parts, parts[1:])), default=0.0))
 
 
-def strength(value: str) -> float:
-    """How much a literal looks like a secret: bits of variety, with a share for mixed kinds of characters."""
-    if len(value) < 8 or re.search(r"\s", value) or HARMLESS.search(value):
-        return 0.0
-    counts, n = Counter(value), len(value)
-    bits = -sum(c / n * math.log2(c / n) for c in counts.values())
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, bits / 4) * (0.4 + 0.2 * kinds)
+class Chain:
+    """A literal, or two chains put together.
+
+    Character counts, the two ends (enough of them for the longest harmless word), the
+    kinds of characters and whether a harmless word lies inside come from the parts, so a chain
+    costs as much as its different characters, however long it is. Counts of very long
+    chains are scaled; only their shares matter then.
+    """
+
+    __slots__ = ("parts", "span", "text", "n", "counts", "head", "tail", "kinds", "harmless", "taken")
+    ENDS = max(map(len, HARMLESS_INSIDE)) + 1
+
+    def __init__(self, parts=None, span=None, text=None):
+        self.parts, self.span, self.text, self.counts, self.taken = parts, span, text, None, False
+        if parts:
+            self._join(*[x.measured() for x in parts])
+
+    def measured(self):
+        if self.counts is None:
+            text = self.text
+            self.n, self.counts = len(text), dict(Counter(text))
+            low = text.lower()
+            self.head, self.tail = low[:self.ENDS], low[-self.ENDS:]
+            self.kinds = 0
+            for c in self.counts:
+                self.kinds |= _kind(c)
+            self.harmless = _harmless(low)
+        return self
+
+    def _join(self, left, right):
+        self.n, counts = left.n + right.n, dict(left.counts)
+        for c, k in right.counts.items():
+            counts[c] = counts.get(c, 0) + k
+        self.counts = counts
+        if self.n > 1e9:
+            self.counts = {c: k * (1e6 / self.n) for c, k in counts.items()}
+            self.n = 1e6
+        self.head = left.head if len(left.head) == self.ENDS else (left.head + right.head)[:self.ENDS]
+        self.tail = right.tail if len(right.tail) == self.ENDS else (left.tail + right.tail)[-self.ENDS:]
+        self.kinds = left.kinds | right.kinds
+        self.harmless = left.harmless or right.harmless or _harmless(left.tail + right.head)
+
+    def strength(self) -> float:
+        """How much the literal looks like a secret: bits of variety, with a share for mixed kinds of characters."""
+        self.measured()
+        n, head = self.n, self.head
+        if n < 8 or self.kinds & BLANK or self.harmless or head.startswith(HARMLESS_STARTS):
+            return 0.0
+        if (n == len(head) and head in HARMLESS_WHOLE) or (len(self.counts) < 4 and len({c.lower() for c in self.counts}) == 1):
+            return 0.0
+        bits = -sum([c / n * math.log2(c / n) for c in self.counts.values()])
+        return min(1.0, bits / 4) * (0.4 + 0.2 * self.kinds.bit_count())
+
+    def spans(self) -> list[tuple[int, int]]:
+        """Spans of the literals in it that no call has returned yet."""
+        out, todo = [], [self]
+        while todo:
+            x = todo.pop()
+            if not x.taken:
+                x.taken = True
+                todo += x.parts or ()
+                if x.span and x.span[0] < x.span[1]:
+                    out.append(x.span)
+        return out
+
+
+BLANK = 16
+
+
+def _kind(c: str) -> int:
+    """One bit for each kind of character."""
+    if c.isspace():
+        return BLANK
+    return 1 if "a" <= c <= "z" else 2 if "A" <= c <= "Z" else 4 if "0" <= c <= "9" else 8
+
+
+def _harmless(low: str) -> bool:
+    return any([w in low for w in HARMLESS_INSIDE])
 
 
 def pairs(text: str):
-    """(name, [(start, end)]) of every assignment in the text, names followed to their literals."""
-    held: dict[str, list[tuple[int, int]]] = {}
-    target, spans, mode, last, fresh = None, [], "", None, True
-
-    def closed():
-        if target is not None and spans:
-            held[target] = list(spans)
-            return [(target, list(spans))]
-        return []
-
+    """(name, chain) of every assignment in the text, names followed to their literals."""
+    held: dict[str, Chain] = {}
+    unclosed = dict.fromkeys(_INSIDE, 0)
+    target, chain, mode, last = None, None, "", None
     at, n, passed = 0, len(text), 0
     while at < n:
+        sign, body = text[at], None
+        if sign in _INSIDE and at >= unclosed[sign]:
+            stop = _INSIDE[sign].match(text, at + 1).end()
+            if stop < n and text[stop] == sign:
+                body, at = (at + 1, stop), stop + 1
+            else:
+                unclosed[sign] = stop  # a later one before that place runs into the same end
+        if body:
+            if target is not None and mode == "value":
+                more = Chain(span=body, text=text[body[0]:body[1]])
+                chain = more if chain is None else Chain((chain, more))
+            last = text[body[0]:body[1]]
+            continue
         m = _LEX.match(text, at)
         kind, at = m.lastgroup, m.end()
         if m["tag"] is not None:
-            yield m["tag"], [m.span("inner")]
+            yield m["tag"], Chain(span=m.span("inner"), text=m["inner"])
             continue
         if kind == "gap":
             continue
         if kind == "end":
-            yield from closed()
-            target, spans, mode, last, fresh = None, [], "", None, m[0] != ","
+            if target is not None and chain is not None:
+                held[target] = chain
+                yield target, chain
+            target, chain, mode, last = None, None, "", None
         elif kind == "set":
             if m[0] in ("=", ":=", ":", "=>") and last is not None:
-                yield from closed()
-                target, spans, mode = last, [], "value"
+                if target is not None and chain is not None:
+                    held[target] = chain
+                    yield target, chain
+                target, chain, mode = last, None, "value"
                 bare = _BARE.match(text, m.end()) if m.end() >= passed else None
                 if bare and bare["last"] is not None and bare[1] not in held:
-                    spans, mode, at = [bare.span(1)], "done", bare.end(1)
+                    chain, mode, at = Chain(span=bare.span(1), text=bare[1]), "done", bare.end(1)
                 elif bare:
                     passed = bare.end(1)  # the same run does not end its line from a later start either
             last = None
         elif kind == "plus":
             mode = "value" if target is not None else mode
-        elif kind == "text":
-            body = (m.start() + 1, m.end() - 1)
-            if target is not None and mode == "value":
-                spans.append(body)
-            last = text[body[0]:body[1]]
         elif kind == "name":
-            if target is not None and mode == "value":
-                spans += held.get(m[0], [])
+            if target is not None and mode == "value" and m[0] in held:
+                chain = held[m[0]] if chain is None else Chain((chain, held[m[0]]))
             last = m[0]
         else:
             last = None
-    yield from closed()
+    if target is not None and chain is not None:
+        yield target, chain
 
 
 def named_literals(text: str) -> list[tuple[int, int]]:
@@ -123,13 +208,13 @@ def named_literals(text: str) -> list[tuple[int, int]]:
     low = text.lower()
     if not any(s in low for s in _STEMS) or not any(c in text for c in "=:>"):
         return []
-    found = set()
-    for name, spans in pairs(text):
+    found = []
+    for name, chain in pairs(text):
         if weight := sensitivity(name):
-            value = "".join(text[a:b] for a, b in spans)
-            if weight + strength(value) >= THRESHOLD + 0.5 and strength(value) >= 0.5:
-                found.update(s for s in spans if s[0] < s[1])
-    return sorted(found)
+            strength = chain.strength()
+            if weight + strength >= THRESHOLD + 0.5 and strength >= 0.5:
+                found += chain.spans()
+    return sorted(set(found))
 
 
 def spans_of(text: str | None) -> list[tuple[str, int, int]]:
@@ -142,8 +227,9 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         out += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_LENGTH]
     out += [("hex", *m.span()) for m in _LONG_HEX.finditer(text)]
-    base = list(out)
-    out += [("literal", a, b) for a, b in named_literals(text) if not any(s <= a and b <= e for _, s, e in base)]
+    out.sort(key=lambda s: s[1])
+    starts, reach = [s for _, s, _ in out], [0, *accumulate((e for _, _, e in out), max)]
+    out += [("literal", a, b) for a, b in named_literals(text) if reach[bisect_right(starts, a)] < b]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
