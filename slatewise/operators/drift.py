@@ -1,6 +1,9 @@
 """Differences between two tables: column drift, KS, adversarial validation."""
 
-from pyspark.ml.classification import GBTClassifier
+from functools import reduce
+
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -8,6 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.exprs import bucket_of, flag, num, ratio
 from ..functions.groups import quantiles
 from ..functions.stats import auc, ks_two_sample
+from ..schema import ITEM, SEARCH
+from ..session import materialise
+from .importance import permutation_gains
 
 _TINY = 1e-12
 HIGH_DRIFT, HIGH_NULL_DRIFT = 0.20, 0.10
@@ -48,32 +54,42 @@ def ks_shift(train, test, columns, limit=0.1):
     return ks_two_sample(train, test, columns).withColumn("shifted", flag(F.col("ks") > limit))
 
 
-def adversarial(train, test, columns, holdout=0.2, trees=20, depth=4, seed=42, keys=("srch_id", "prop_id")):
-    """Classifier that tells train (0) from test (1) rows.
+#: The drift classifier: a forest of this many trees and levels, fitted on at most so many rows (by hash) of the other folds.
+TREES, DEPTH, FIT_ROWS = 40, 6, 100_000
+
+
+def cross_fitted(train, test, columns, folds=3, trees=TREES, depth=DEPTH, fit_rows=FIT_ROWS, seed=42, keys=(SEARCH, ITEM)):
+    """How likely each row is to be a test row, by a classifier that has not seen its search.
 
-    Returns (scored rows with side, p and held, importance table). Encoded
-    columns must be built the same way on both sides, else the classifier sees
-    the construction instead of the data.
+    Returns (scored rows: keys, side, fold, p; gains: model_id, feature, gain, loss). Searches of both tables fall into
+    folds; a forest fitted on the other folds gives p to a fold, and the gain of a feature is
+    measured there by exchanging its values. Encoded columns must leave the own fold out on
+    both sides (`encode_many(..., blind=True)`), else the classifier sees how the tables were made.
     """
-    rows = train.select(*keys, *columns, F.lit(0.0).alias("side")).unionByName(
-        test.select(*keys, *columns, F.lit(1.0).alias("side")))
-    held = bucket_of(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], "side"), 1000, "adversarial") < int(holdout * 1000)
-    rows = rows.withColumns({"held": flag(held), **{c: num(c) for c in columns}})
-    fill = Imputer(inputCols=list(columns), outputCols=list(columns), strategy="mean")
-    fit_rows = rows.where("held = 0")
-    filled = fill.fit(fit_rows)
-    pack = VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="keep")
-    model = GBTClassifier(labelCol="side", maxIter=trees, maxDepth=depth, seed=seed).fit(pack.transform(filled.transform(fit_rows)))
-    scored = model.transform(pack.transform(filled.transform(rows)))
-    scored = scored.select(*keys, "side", "held", vector_to_array("probability")[1].alias("p"))
-    importance = train.sparkSession.createDataFrame(
-        list(zip(columns, [float(x) for x in model.featureImportances.toArray()])), "feature string, gain double")
-    return scored, importance
+    columns = list(columns)
+
+    def side(df, value):
+        return df.select(*keys, *[num(c).alias(c) for c in columns], F.lit(value).alias("side"), bucket_of(keys[0], folds, "drift").alias("fold"))
+
+    rows = materialise(side(train, 0.0).unionByName(side(test, 1.0)), "drift-rows")
+    draw = F.pmod(F.xxhash64(F.lit(seed), *keys, "side"), F.lit(1 << 20))
+    share = min(1.0, fit_rows / max(1, rows.count() * (folds - 1) / folds))
+    models = []
+    for fold in range(folds):
+        seen = rows.where((F.col("fold") != fold) & (draw < int(share * (1 << 20))))
+        filled = [Imputer(inputCols=columns, outputCols=[f"{c}_f" for c in columns]),
+                  VectorAssembler(inputCols=[f"{c}_f" for c in columns], outputCol="features", handleInvalid="keep"),
+                  RandomForestClassifier(labelCol="side", numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.7)]
+        models.append((fold, Pipeline(stages=filled).fit(seen), rows.where(F.col("fold") == fold)))
+    scored = reduce(lambda a, b: a.unionByName(b), [
+        model.transform(own).select(*keys, "side", "fold", vector_to_array("probability")[1].alias("p")) for _, model, own in models])
+    gains = permutation_gains([(str(fold), model, own) for fold, model, own in models], columns, "side", (*keys, "side"))
+    return materialise(scored, "drift-scores"), gains
 
 
 def adversarial_auc(scored):
-    """Holdout AUC and its band: no drift up to 0.55, some up to 0.65, strong above."""
-    out = auc(scored.where("held = 1"), "p", "side")
+    """AUC of the cross-fitted p and its band: no drift up to 0.55, some up to 0.65, strong above."""
+    out = auc(scored, "p", "side")
     return out.withColumn("band", F.when(F.col("auc") <= 0.55, "none").when(F.col("auc") <= 0.65, "some").otherwise("strong"))
 
 

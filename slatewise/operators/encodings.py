@@ -213,23 +213,23 @@ class Encodings:
     overall: dict
     cells: dict
 
-    def cut(self, number):
-        """The views of one key set: its keys, `_at`, and the parts that its measures use."""
+    def cut(self, number, whole):
+        """The views of one key set, of all folds or of all but one: its keys, `_at`, and the parts that its measures use."""
         keys, measures = self.sets[number]
         used = sorted({self.cells[sql] for m in measures for sql in m.parts().values()})
         names = {c: f"_e{number}_{c}" for c in used}
-        return self.table.where(F.col("_set") == number).select(*keys, "_at", *[F.col(c).alias(n) for c, n in names.items()])
+        return self.table.where((F.col("_set") == number) & (F.col("_whole") == whole)).select(*keys, "_at", *[F.col(c).alias(n) for c, n in names.items()])
 
     def attach(self, df, at):
-        """Left join every set's view `at`; unseen keys get the overall values."""
-        at = F.lit(at) if isinstance(at, int) else at
+        """Left join every set's view `at` (a fold, or the number WHOLE); unseen keys get the overall values."""
+        whole, at = isinstance(at, int), F.lit(at) if isinstance(at, int) else at
         df = df.withColumn("_at", at.cast("int"))
         for number, (keys, measures) in enumerate(self.sets):
             if not measures:
                 continue
             names = [m.name for m in measures]
             keep = [f"`{c}`" for c in df.columns if c not in names]
-            joined = df.join(self.cut(number), [*keys, "_at"], "left")
+            joined = df.join(self.cut(number, whole), [*keys, "_at"], "left")
             values = []
             for m in measures:
                 place = {part: f"_e{number}_{self.cells[sql]}" for part, sql in m.parts().items()}
@@ -239,10 +239,11 @@ class Encodings:
         return df.drop("_at")
 
 
-def fit(source, groups, k=5, salt="", search=SEARCH):
+def fit(source, groups, k=5, salt="", search=SEARCH, every=False):
     """The encodings of several (keys, measures) groups, in one scan and one stored table.
 
-    With k = 0 there are no folds and only the view of all rows.
+    With k = 0 there are no folds and only the view of all rows. With `every` a key has a
+    view for each fold, not only for those that hold it, as other tables need that leave folds out.
     """
     merged = {}
     for keys, measures in groups:
@@ -274,18 +275,20 @@ def fit(source, groups, k=5, salt="", search=SEARCH):
         inside = [i for i, (keys, _) in enumerate(sets) if key in keys]
         per_fold = per_fold.where(F.col(key).isNotNull() | ~F.col("_set").isin(*inside))
     per_key = per_fold.groupBy("_set", *columns).agg(F.sort_array(F.collect_list(F.struct("_fold", *cells.values()))).alias("folds"))
-    at = f"explode(concat(transform(folds, x -> x._fold), array({WHOLE})))" if k else str(WHOLE)
+    seen = f"sequence(0, {k - 1})" if every else "transform(folds, x -> x._fold)"
+    at = f"explode(concat({seen}, array({WHOLE})))" if k else str(WHOLE)
     views = per_key.selectExpr("_set", *[f"`{c}`" for c in columns], f"{at} as _at", "folds")
-    views = views.withColumn("views", F.expr("filter(folds, x -> x._fold <> _at)") if k else F.col("folds"))
+    # a key of one fold has nothing to show to that fold: no row, and the overall values, as for an unseen key
+    views = views.withColumn("views", F.expr("filter(folds, x -> x._fold <> _at)") if k else F.col("folds")).where("size(views) > 0")
     merges = []
     for c in cells.values():
         sql = specials.get(c, f"aggregate(views, 0D, (a, x) -> a + coalesce(x.{c}, 0D))")
         merges.append(f"if(_set in ({', '.join(map(str, sorted(used[c])))}), {sql}, null) as {c}")
-    views = views.selectExpr("_set", *[f"`{c}`" for c in columns], "_at", *merges)
+    views = views.selectExpr("_set", *[f"`{c}`" for c in columns], "_at", f"_at = {WHOLE} as _whole", *merges)
     path = f"{shared_dir(source.sparkSession)}/encodings-{uuid.uuid4().hex}"
-    views.write.parquet(path, partitionBy=["_set"])
+    views.write.parquet(path, partitionBy=["_set", "_whole"])
     stored = source.sparkSession.read.schema(views.schema).parquet(path)
-    whole = stored.where((F.col("_set") == total) & (F.col("_at") == WHOLE)).agg(*[F.max(c).alias(c) for c in cells.values()])
+    whole = stored.where((F.col("_set") == total) & F.col("_whole")).agg(*[F.max(c).alias(c) for c in cells.values()])
     found = whole.selectExpr(*[f"{m.overall(lambda part, m=m: cells[m.parts()[part]])} as `{m.name}`" for m in every]).first()
     return Encodings(sets, path, stored, found.asDict(), cells)
 
@@ -293,7 +296,7 @@ def fit(source, groups, k=5, salt="", search=SEARCH):
 _kept = []
 
 
-def fitted(source, groups, k=5, salt="", search=SEARCH):
+def fitted(source, groups, k=5, salt="", search=SEARCH, every=False):
     """`fit`, or what an earlier call of this session stored for the same plan over the same files.
 
     Files that are replaced under their old names are taken for the old ones.
@@ -301,25 +304,29 @@ def fitted(source, groups, k=5, salt="", search=SEARCH):
     groups = tuple((tuple(keys), tuple(measures)) for keys, measures in groups)
     app, files = source.sparkSession.sparkContext.applicationId, sorted(source.inputFiles())
     for entry in _kept:
-        if entry[0] == (app, groups, k, salt, search) and entry[2] == files and entry[1].sameSemantics(source):
+        if entry[0] == (app, groups, k, salt, search, every) and entry[2] == files and entry[1].sameSemantics(source):
             if path_exists(source.sparkSession, entry[3].path):
                 return entry[3]
-    found = fit(source, groups, k, salt, search)
-    _kept.insert(0, ((app, groups, k, salt, search), source, files, found))
+    found = fit(source, groups, k, salt, search, every)
+    _kept.insert(0, ((app, groups, k, salt, search, every), source, files, found))
     del _kept[KEPT:]
     return found
 
 
-def encode_many(df, groups, source=None, k=5, salt="", search=SEARCH):
+def encode_many(df, groups, source=None, k=5, salt="", search=SEARCH, blind=False):
     """Encodings of several (keys, measures) groups, out of fold unless a source is given.
 
+    With `blind` the rows of a table with another source leave the fold of their own search
+    out too. Both tables are then made alike, and what tells them apart is not the way
+    they were made.
+
     The views are stored, so their true size is known: small ones are broadcast and
     large ones shuffled by the planner's own rule, and losing an executor does not
     repeat the aggregation.
     """
     base = df if source is None else source
-    if source is None:
-        return fitted(base, groups, k, salt, search).attach(df, fold_of(search, k, salt))
+    if source is None or blind:
+        return fitted(base, groups, k, salt, search, blind).attach(df, fold_of(search, k, salt))
     return fitted(base, groups, k if search in base.columns else 0, salt, search).attach(df, WHOLE)
 
 
@@ -393,9 +400,9 @@ def derive_destination_gaps(df):
                            "review_vs_dest_mean": num("prop_review_score") - F.col("dest_mean_review")})
 
 
-def entity_encodings(df, source=None, k=5, salt=""):
+def entity_encodings(df, source=None, k=5, salt="", blind=False):
     """Every standard encoding: out of fold without a source, from the source otherwise."""
-    df = encode_many(df, encoding_plan().items(), source, k, salt)
+    df = encode_many(df, encoding_plan().items(), source, k, salt, blind=blind)
     return derive_destination_gaps(derive_price_position(df))
 
 

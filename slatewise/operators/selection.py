@@ -2,7 +2,9 @@
 
 from dataclasses import dataclass
 
-from ..schema import FORBIDDEN, NON_FEATURES
+from pyspark.sql import functions as F
+
+from ..schema import FORBIDDEN, NON_FEATURES, impression_schema
 
 
 @dataclass(frozen=True)
@@ -12,6 +14,11 @@ class Audit:
     places: dict
     groups: dict
 
+    @classmethod
+    def from_table(cls, table):
+        """From a stored audit (feature, group, gain): one row for each column, best first."""
+        return cls.of((r.feature, r.group) for r in table.orderBy(F.desc("gain"), "feature").collect())
+
     @classmethod
     def of(cls, rows):
         """From (feature, group) pairs, best first."""
@@ -93,6 +100,24 @@ FILTERS = {
 }
 
 
+#: Parts of names that tell the groups of built features apart, first match first.
+_GROUP_PARTS = (("encoding", ("_rate", "prop_count", "prop_click_count", "given_click", "prop_avg_position", "dest_count", "prop_mean", "prop_std", "dest_mean")),
+                ("listwise_within_query", ("_rank", "_percentile", "z_score", "is_best", "is_cheapest", "is_most", "n_best", "query_hotel", "_gap", "_vs_mean")),
+                ("price", ("price", "discount", "deal", "cheap")), ("quality", ("star", "review", "location", "brand")), ("competitor", ("comp",)))
+
+
+def feature_group(column):
+    """The group a feature is audited in: raw columns, encodings, listwise columns, price, quality, competitors, or the rest."""
+    if column in impression_schema().fieldNames():
+        return "raw"
+    return next((group for group, parts in _GROUP_PARTS if any(p in column for p in parts)), "interaction")
+
+
+def numeric_features(df):
+    """The columns a model may use that hold numbers."""
+    return [c for c in feature_columns(df) if df.schema[c].dataType.typeName() in ("integer", "long", "double", "float", "short", "byte")]
+
+
 def feature_columns(df, required=()):
     """Columns a model may use. Raises if a forbidden one would be among them."""
     cols = [c for c in df.columns if c not in NON_FEATURES]
@@ -106,7 +131,7 @@ def feature_columns(df, required=()):
 
 
 def filter_features(columns, chosen=None, audit=()):
-    """Columns left by a filter, given itself or by its name; `audit` lists (feature, group), best first."""
+    """Columns left by a filter, given itself or by its name; `audit` is an Audit or lists (feature, group), best first."""
     rule = FILTERS[chosen] if isinstance(chosen, str) else chosen
-    known = Audit.of(audit)
+    known = audit if isinstance(audit, Audit) else Audit.of(audit)
     return [c for c in columns if rule is None or rule.keeps(c, known)]

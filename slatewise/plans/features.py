@@ -3,15 +3,16 @@
 from ..operators import encodings, listwise, row_features
 
 
-def build_features(df, source=None, k=5, salt=""):
+def build_features(df, source=None, k=5, salt="", blind=False):
     """All model features of a labelled table.
 
     Without a source the encodings are out of fold (training side); with one
     they come from it (validation or test side). Encodings join first, while
     rows are still narrow; after them one shuffle by search serves all windows,
-    and the wide columns are projections on top that are never shuffled.
+    and the wide columns are projections on top that are never shuffled. With `blind` both
+    sides leave the fold of their own search out, so that the two can be compared.
     """
-    df = encodings.entity_encodings(df, source, k, salt)
+    df = encodings.entity_encodings(df, source, k, salt, blind)
     df = row_features.apply(df, row_features.ROW_STEPS)
     df = listwise.add_listwise(df)
     return row_features.apply(df, row_features.INTERACTION_STEPS)
