@@ -6,6 +6,7 @@ window without a partition key and no single task ever sees a whole column.
 
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .exprs import col, num, ratio
 from .groups import quantiles, value_ranks
 
@@ -29,7 +30,8 @@ def spearman(df, features, targets, by=(), min_rows=2):
     keys = [*by, "feature", "target"]
     long = (df.select(*by, pairs.alias("p")).select(*by, "p.*")
             .where(F.col("x").isNotNull() & F.col("y").isNotNull()))
-    counted = long.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("c"))
+    # stored, since both orders and their join read it
+    counted = materialise(long.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("c")), "value-pairs")
 
     def ranks(side):
         mid = F.col("_before") + (F.col("_n") + 1) / 2 - (F.col("_total") + 1) / 2

@@ -108,8 +108,8 @@ def missing_drift(left, right, columns):
     return a.join(b, "feature").withColumn("drift", F.col("missing_right") - F.col("missing_left"))
 
 
-def missing_correlation(df, columns):
-    """Correlation of the missing flags of every pair of columns.
+def missing_correlation(df, columns, min_share=None):
+    """Correlation of the missing flags of every pair of columns (that lack more than `min_share` of their values).
 
     The table is first counted by pattern of missing flags; all pairs are then
     sums over the few patterns.
@@ -122,6 +122,8 @@ def missing_correlation(df, columns):
         F.sum("_c").alias("n"), F.sum(F.col("_c") * F.col("x")).alias("sx"), F.sum(F.col("_c") * F.col("y")).alias("sy"),
         F.sum(F.col("_c") * F.col("x") * F.col("y")).alias("sxy"))
     n, sx, sy = num("n"), num("sx"), num("sy")
+    if min_share is not None:
+        s = s.where(F.least("sx", "sy") / F.col("n") > min_share)
     top = n * F.col("sxy") - sx * sy
     return s.select("a", "b", F.try_divide(top, F.sqrt((n * sx - sx * sx) * (n * sy - sy * sy))).alias("corr"))
 

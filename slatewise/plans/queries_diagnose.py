@@ -10,7 +10,7 @@ from ..operators import fusion as FU
 from ..operators import listwise as L
 from ..operators import metrics as M
 from ..operators import row_features as R
-from ..schema import impression_schema
+from ..schema import NON_FEATURES, impression_schema
 from .queries_eda import long_sql, qbin, rho_sql
 from .queries_fusion import NAMES
 from .queries_metrics import METRIC_INTS, METRIC_NUMS, metrics_sql, slate_sql
@@ -53,12 +53,16 @@ SELECT *, coalesce((ks > 0.1)::INT, 0) AS shifted FROM k""", ints="shifted", num
 ADV = ["price_usd", "prop_starrating", "prop_review_score", "prop_location_score1", "srch_booking_window", "promotion_flag"]
 
 
+#: Every raw number of an impression that a model may use.
+RAW = [c for c in EVERY if c not in NON_FEATURES]
+
+
 def _adversarial(t):
-    return t.memo("adversarial", lambda: DR.adversarial(t.sides[0], t.sides[1], ADV, trees=5, depth=3))
+    return t.memo("adversarial", lambda: DR.cross_fitted(t.sides[0], t.sides[1], RAW))
 
 
 query("d5_adversarial_auc", lambda t: DR.adversarial_auc(_adversarial(t)[0]), None, ints="n_pos n_neg", nums="auc", texts="band")
-query("d5_adversarial_importance", lambda t: _adversarial(t)[1], None, nums="gain", texts="feature")
+query("d5_adversarial_importance", lambda t: _adversarial(t)[1].groupBy("feature").agg(F.avg("gain").alias("gain")), None, nums="gain", texts="feature")
 query("d6_probability_quantiles", lambda t: DR.probability_quantiles(t.impressions.withColumn("p", (1 + F.col("prop_id") % 97) / 99.0)),
       "SELECT " + ", ".join(f"quantile_cont((1 + prop_id % 97) / 99.0e0, 0.{q}) AS p{q}" for q in (10, 50, 90, 99)).replace("0.50", "0.5") + " FROM imp",
       nums="p10 p50 p90 p99")
@@ -117,13 +121,12 @@ query("d10_member_disagreement", lambda t: D.member_disagreement(FU.grouped_rank
 SELECT model_id, avg(abs(r.rank - w.f)) AS mean_abs_diff, max(abs(r.rank - w.f)) AS max_abs_diff, sum((abs(r.rank - w.f) > 0)::INT) AS n_differing
 FROM ranks r JOIN (SELECT srch_id, prop_id, (r0 + r1 + r2 + r3 + r4 + r5) / 6 AS f FROM wide) w USING (srch_id, prop_id) GROUP BY model_id""",
       ints="n_differing", nums="mean_abs_diff max_abs_diff", texts="model_id")
-FEATS = ["price_usd", "prop_starrating", "prop_review_score", "prop_location_score1", "prop_location_score2", "promotion_flag", "srch_booking_window", "orig_destination_distance"]
-query("d11_position_correlation", lambda t: D.position_correlation(t.impressions, FEATS, top=30),
-      f"SELECT *, abs(rho) AS abs_corr FROM ({rho_sql('imp', FEATS, ['position'])}) WHERE n >= 1000", ints="n", nums="rho abs_corr", texts="feature")
-query("d12_leaky_suspects", lambda t: D.leaky_suspects(D.position_correlation(t.impressions, FEATS).withColumn("abs_corr", F.round("abs_corr", 9)),
+query("d11_position_correlation", lambda t: D.position_correlation(t.impressions, RAW, top=30),
+      f"SELECT *, abs(rho) AS abs_corr FROM ({rho_sql('imp', RAW, ['position'])}) WHERE n >= 1000 ORDER BY abs_corr DESC, feature LIMIT 30", ints="n", nums="rho abs_corr", texts="feature")
+query("d12_leaky_suspects", lambda t: D.leaky_suspects(D.position_correlation(t.impressions, ADV).withColumn("abs_corr", F.round("abs_corr", 9)),
       *[_gain(t, n).withColumn("gain", F.round("gain", 9)) for n in ("adversarial", "ranker")], limits=(4, 5, 5)), f"""
 SELECT * FROM (SELECT feature, abs_corr, rank() OVER (ORDER BY abs_corr DESC) AS pos_rank, rank() OVER (ORDER BY coalesce(round(a, 9), 0) DESC) AS adv_rank,
-  rank() OVER (ORDER BY coalesce(round(r, 9), 0) DESC) AS ranker_rank FROM (SELECT feature, round(abs(rho), 9) AS abs_corr FROM ({rho_sql('imp', FEATS, ['position'])}) WHERE n >= 1000)
+  rank() OVER (ORDER BY coalesce(round(r, 9), 0) DESC) AS ranker_rank FROM (SELECT feature, round(abs(rho), 9) AS abs_corr FROM ({rho_sql('imp', ADV, ['position'])}) WHERE n >= 1000)
   LEFT JOIN gains USING (feature)) WHERE pos_rank <= 4 AND adv_rank <= 5 AND ranker_rank <= 5""", ints="pos_rank adv_rank ranker_rank", nums="abs_corr", texts="feature")
 query("d13_unseen_rates", lambda t: D.unseen_rates(t.sides[0], t.sides[1]), " UNION ALL ".join(
     f"""SELECT '{n}' AS key, avg((e.x IS NULL)::INT) AS unseen_rate FROM va v LEFT JOIN (SELECT DISTINCT {', '.join(ks)}, 1 AS x FROM tr) e ON """
@@ -148,23 +151,27 @@ query("d15_id_overlap", lambda t: D.id_overlap(t.sides[0], t.sides[1]).withColum
       " UNION ALL ".join(_overlap_sql(n, ks).replace('"both"', "common") for n, ks in D.COLD_KEYS.items()), ints="common left_only right_only", texts="key")
 
 # failures: searches on the value ranking, with the context columns of the failure analysis
-PAIR = ["price_usd", "prop_starrating", "prop_review_score", "prop_location_score1", "value_score", "price_rank_norm", "quality_rank_avg", "promotion_flag"]
+# The columns in which a booked item and the wrong first one are compared.
+PAIR = ["price_usd", "price_rank_norm", "price_vs_mean", "price_vs_median", "price_vs_prop_mean", "price_ratio_to_hist", "value_score", "value_score_rank_norm",
+        "quality_rank_avg", "prop_starrating", "prop_review_score", "prop_brand_bool", "promotion_flag", "prop_location_score1", "prop_location_score2",
+        "location1_rank_norm", "location2_rank_norm", "review_rank_norm", "star_percentile", "prop_count", "prop_click_rate", "prop_book_rate",
+        "prop_dest_book_rate", "prop_avg_position", "orig_destination_distance", "comp_rate_advantage", "comp_no_inv_count"]
+ENCODED = ["price_vs_prop_mean", "prop_count", "prop_click_rate", "prop_book_rate", "prop_dest_book_rate", "prop_avg_position"]
 
 
 def context(t):
-    """Listwise table with destination encodings and both rankings, written once per session."""
+    """Encodings, listwise columns and both rankings, written once per session."""
     def build():
-        df = L.add_listwise(R.apply(t.labelled, R.ROW_STEPS))
-        df = E.encode_many(df, [(["srch_destination_id"], [E.Rate("dest_click_rate", "click_bool", 30)])])
+        df = L.add_listwise(R.apply(E.entity_encodings(t.labelled), R.ROW_STEPS))
         df = L.candidate_spread(df.withColumn("dest_click_rate", F.round("dest_click_rate", 9)))
         df = M.ranked(df.withColumn("score", num("value_score")))
         return M.ranked(df.withColumn("score_b", -num("price_usd")), "score_b", name="rank_b")
     return t.stored("context", build)
 
 
-view("ctx", """SELECT h.*, round(e.dest_click_rate, 9) AS dest_click_rate, value_score AS score, count(*) OVER s AS candidate_count, max(price_usd) OVER s - min(price_usd) OVER s AS price_spread,
+view("ctx", f"""SELECT h.*, {', '.join('e.' + c for c in ENCODED)}, round(e.dest_click_rate, 9) AS dest_click_rate, value_score AS score, count(*) OVER s AS candidate_count, max(price_usd) OVER s - min(price_usd) OVER s AS price_spread,
   row_number() OVER (PARTITION BY srch_id ORDER BY value_score DESC NULLS LAST, prop_id) AS rank, row_number() OVER (PARTITION BY srch_id ORDER BY price_usd, prop_id) AS rank_b
-  FROM listh h JOIN (SELECT srch_id, prop_id, dest_click_rate FROM enc) e USING (srch_id, prop_id) WINDOW s AS (PARTITION BY srch_id)""")
+  FROM listh h JOIN (SELECT srch_id, prop_id, dest_click_rate, {', '.join(ENCODED)} FROM enc) e USING (srch_id, prop_id) WINDOW s AS (PARTITION BY srch_id)""")
 view("cuts3", """SELECT quantile_cont(d, 1/3.0e0) AS d1, quantile_cont(d, 2/3.0e0) AS d2, quantile_cont(q, 1/3.0e0) AS q1, quantile_cont(q, 2/3.0e0) AS q2
   FROM (SELECT srch_id, any_value(dest_click_rate) AS d, any_value(query_hotel_count)::DOUBLE AS q FROM ctx GROUP BY srch_id)""")
 view("seg", """SELECT c.*, CASE WHEN dest_click_rate < d1 THEN 'low_dest' WHEN dest_click_rate < d2 THEN 'mid_dest' ELSE 'high_dest' END AS seg_dest,

@@ -39,17 +39,17 @@ def long_sql(source, columns, ids=""):
     return "(" + " UNION ALL ".join(f"SELECT {ids}'{c}' AS feature, ({c})::DOUBLE AS value FROM {source}" for c in columns) + ")"
 
 
-INVENTORY = ["srch_id", "prop_id", "site_id", "prop_starrating", "prop_review_score", "price_usd", "comp1_rate",
-             "visitor_hist_adr_usd", "gross_bookings_usd", "position"]
-_TYPES = {"srch_id": "bigint", "prop_id": "bigint", "site_id": "int", "prop_starrating": "int", "prop_review_score": "double",
-          "price_usd": "double", "comp1_rate": "int", "visitor_hist_adr_usd": "double", "gross_bookings_usd": "double", "position": "int"}
+#: Every number of an impression.
+INVENTORY = [f.name for f in impression_schema().fields if f.dataType.typeName() in ("integer", "long", "double")]
+_TYPES = {f.name: f.dataType.simpleString() for f in impression_schema().fields}
 query("a1_column_inventory", lambda t: A.column_inventory(t.impressions, INVENTORY), " UNION ALL ".join(
     f"""SELECT '{c}' AS feature, '{_TYPES[c]}' AS dtype, '{column_group(c)}' AS column_group, count(DISTINCT {c}) AS n_unique,
     count(*) - count({c}) AS n_null, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, avg({c}) AS mean FROM imp""" for c in INVENTORY),
       ints="n_unique n_null", nums="min max mean", texts="feature dtype column_group")
-GAPS = ["prop_review_score", "prop_location_score2", "visitor_hist_starrating", "srch_query_affinity_score",
-        "orig_destination_distance", "comp1_rate", "comp5_inv", "comp8_rate_percent_diff"]
 EVERY = [f.name for f in impression_schema().fields]
+#: The columns that can lack a value; the SQL needs a list of pairs, the operator finds them itself.
+GAPS = ["prop_review_score", "prop_location_score2", "visitor_hist_starrating", "visitor_hist_adr_usd", "srch_query_affinity_score",
+        "orig_destination_distance", "gross_bookings_usd", *comp_columns("rate"), *comp_columns("inv"), *comp_columns("rate_percent_diff")]
 query("a2_missing_share", lambda t: A.missing_share(t.impressions, EVERY), " UNION ALL ".join(
     f"SELECT '{c}' AS feature, avg(({c} IS NULL)::INT) AS missing FROM imp" for c in EVERY), nums="missing", texts="feature")
 OTHERS = [c for c in EVERY if c != "random_bool"]
@@ -59,11 +59,12 @@ query("a2_missing_by_segment", lambda t: A.missing_share(t.impressions, OTHERS,
 query("a2_missing_drift", lambda t: A.missing_drift(t.sides[0], t.sides[1], EVERY), " UNION ALL ".join(
     f"""SELECT '{c}' AS feature, a AS missing_left, b AS missing_right, b - a AS drift FROM (SELECT avg(({c} IS NULL)::INT) AS a FROM tr),
     (SELECT avg(({c} IS NULL)::INT) AS b FROM va)""" for c in EVERY), nums="missing_left missing_right drift", texts="feature")
-query("a3_missing_correlation", lambda t: A.missing_correlation(t.impressions, GAPS), " UNION ALL ".join(
-    f"SELECT '{a}' AS a, '{b}' AS b, corr(({a} IS NULL)::INT, ({b} IS NULL)::INT) AS corr FROM imp" for a in GAPS for b in GAPS if a < b),
-      nums="corr", texts="a b")
-_CELL = " UNION ALL ".join(f"SELECT '{c}' AS feature, click_bool, booking_bool, ({c} IS NULL)::INT AS gone FROM imp" for c in GAPS)
-query("a4_informative_missingness", lambda t: A.informative_missingness(t.impressions, GAPS), f"""
+query("a3_missing_correlation", lambda t: A.missing_correlation(t.impressions, EVERY, 0.01), "WITH m AS MATERIALIZED (SELECT " + ", ".join(
+    f"({c} IS NULL)::INT AS {c}" for c in EVERY) + " FROM imp), s AS (SELECT " + ", ".join(f"avg({c}) AS {c}" for c in EVERY) + " FROM m), p AS (" + " UNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS corr, (SELECT least({a}, {b}) FROM s) AS gone FROM m" for a in GAPS for b in GAPS if a < b)
+    + ") SELECT a, b, corr FROM p WHERE gone > 0.01", nums="corr", texts="a b")
+_CELL = " UNION ALL ".join(f"SELECT '{c}' AS feature, click_bool, booking_bool, ({c} IS NULL)::INT AS gone FROM imp" for c in EVERY)
+query("a4_informative_missingness", lambda t: A.informative_missingness(t.impressions, EVERY), f"""
 SELECT feature, missing, click_present, click_missing, book_present, book_missing,
   (a + b + c + d) * pow(greatest(abs(a * d - b * c) - (a + b + c + d) / 2, 0), 2) / nullif((a + b) * (c + d) * (a + c) * (b + d), 0) AS chi2
 FROM (SELECT feature, avg(gone) AS missing, avg(click_bool) FILTER (gone = 0) AS click_present, avg(click_bool) FILTER (gone = 1) AS click_missing,
@@ -173,6 +174,12 @@ query("a17_random_totals", lambda t: A.rates(t.impressions, "random_bool", n_sea
 query("a17_random_by_position", lambda t: A.rates(t.impressions, "random_bool", "position"), rate_sql("imp", "random_bool", "position"),
       ints="random_bool position n", nums=R_NUMS)
 QUAL = ["prop_starrating", "prop_review_score", "prop_location_score1", "prop_location_score2", "price_usd", "prop_brand_bool"]
+# The sets of columns that are profiled together.
+PROPERTY = ["prop_starrating", "prop_review_score", "prop_brand_bool", "prop_location_score1", "prop_location_score2", "prop_log_historical_price"]
+PRICE = ["price_usd", "promotion_flag"]
+SEARCHED = ["srch_length_of_stay", "srch_booking_window", "srch_adults_count", "srch_children_count", "srch_room_count", "srch_saturday_night_bool"]
+PROFILED = [*PROPERTY, *PRICE, *SEARCHED, "visitor_hist_starrating", "visitor_hist_adr_usd", "orig_destination_distance", "srch_query_affinity_score"]
+MATRICES = {"core": PROPERTY + PRICE, "property": PROPERTY, "search": SEARCHED, "all": PROPERTY + PRICE + SEARCHED}
 
 
 def rho_sql(source, features, targets, by=""):
@@ -184,9 +191,9 @@ def rho_sql(source, features, targets, by=""):
       rank() OVER (PARTITION BY {p} ORDER BY y) + (count(*) OVER (PARTITION BY {p}, y) - 1) / 2.0e0 AS ry FROM ({parts})) GROUP BY {p}"""
 
 
-query("a18_spearman_position", lambda t: spearman(t.impressions, QUAL, ["position"], ["random_bool"]).groupBy("feature").pivot(
+query("a18_spearman_position", lambda t: spearman(t.impressions, PROFILED, ["position"], ["random_bool"]).groupBy("feature").pivot(
     "random_bool", [0, 1]).agg(F.first("rho")).toDF("feature", "rho_ranked", "rho_random"),
-      f"SELECT feature, max(rho) FILTER (random_bool = 0) AS rho_ranked, max(rho) FILTER (random_bool = 1) AS rho_random FROM ({rho_sql('imp', QUAL, ['position'], 'random_bool')}) GROUP BY feature",
+      f"SELECT feature, max(rho) FILTER (random_bool = 0) AS rho_ranked, max(rho) FILTER (random_bool = 1) AS rho_random FROM ({rho_sql('imp', PROFILED, ['position'], 'random_bool')}) GROUP BY feature",
       nums="rho_ranked rho_random", texts="feature")
 query("a19_quality_by_position", lambda t: A.long_form(t.impressions, QUAL, ["position", "random_bool"]).groupBy("position", "random_bool", "feature").agg(F.avg("value").alias("mean")),
       f"SELECT position, random_bool, feature, avg(value) AS mean FROM {long_sql('imp', QUAL, 'position, random_bool, ')} GROUP BY ALL",
@@ -219,13 +226,23 @@ query("a25_gross_agreement", lambda t: A.gross_agreement(t.impressions), """
 SELECT count(*) AS n, 1 - sum(pow(y - x, 2)) / nullif(var_pop(y) * count(*), 0) AS r2, avg(y / x) AS ratio_mean, avg((abs(y / x - 1) < 0.05)::INT) AS share_near_one
 FROM (SELECT gross_bookings_usd AS y, price_usd * greatest(srch_length_of_stay, 1) AS x FROM imp WHERE gross_bookings_usd IS NOT NULL)""",
       ints="n", nums="r2 ratio_mean share_near_one")
-query("a26_spearman_labels", lambda t: spearman(t.impressions, QUAL, ["click_bool", "booking_bool"]), rho_sql("imp", QUAL, ["click_bool", "booking_bool"]),
+query("a26_spearman_labels", lambda t: spearman(t.impressions, PROFILED, ["click_bool", "booking_bool"]), rho_sql("imp", PROFILED, ["click_bool", "booking_bool"]),
       ints="n", nums="rho", texts="feature target")
-DEC = ["price_usd", "prop_location_score1", "prop_location_score2", "orig_destination_distance", "srch_booking_window"]
+DEC = ["price_usd", "prop_starrating", "prop_review_score", "prop_location_score1", "prop_location_score2", "prop_log_historical_price",
+       "orig_destination_distance", "srch_booking_window", "srch_length_of_stay", "srch_query_affinity_score"]
 query("a27_decile_rates", lambda t: A.decile_rates(t.impressions, DEC), " UNION ALL ".join(rate_sql(qbin("imp", c, 10), f"'{c}' AS feature", "bin") for c in DEC),
       ints="bin n", nums=R_NUMS, texts="feature")
-query("a28_spearman_matrix", lambda t: spearman_matrix(t.impressions, QUAL), f"SELECT feature AS a, target AS b, rho, n FROM ({rho_sql('imp', QUAL, QUAL)})",
-      ints="n", nums="rho", texts="a b")
+
+
+def _matrices(t):
+    """The four matrices out of the one over all their columns."""
+    holds = F.explode(F.array_compact(F.array(*[F.when(F.col("a").isin(cols) & F.col("b").isin(cols), F.lit(name)) for name, cols in MATRICES.items()])))
+    return spearman_matrix(t.impressions, MATRICES["all"]).withColumn("matrix", holds)
+
+
+query("a28_spearman_matrix", _matrices, f"WITH r AS MATERIALIZED ({rho_sql('imp', MATRICES['all'], MATRICES['all'])}) " + " UNION ALL ".join(
+    f"SELECT '{name}' AS matrix, feature AS a, target AS b, rho, n FROM r WHERE feature IN {tuple(cols)} AND target IN {tuple(cols)}" for name, cols in MATRICES.items()),
+      ints="n", nums="rho", texts="matrix a b")
 
 
 def pivot_sql(source, row, column, values):
@@ -283,8 +300,8 @@ def window_segment():
 
 
 _WINDOW_SQL = "CASE WHEN srch_booking_window <= 1 THEN 'last_minute' WHEN srch_booking_window <= 7 THEN 'short' WHEN srch_booking_window <= 30 THEN 'medium' ELSE 'long' END"
-query("a36_segment_spearman", lambda t: spearman(t.labelled.withColumn("segment", window_segment()), QUAL, ["relevance"], ["segment"]),
-      rho_sql(f"(SELECT *, {_WINDOW_SQL} AS segment FROM lab)", QUAL, ["relevance"], "segment"), ints="n", nums="rho", texts="segment feature target")
+query("a36_segment_spearman", lambda t: spearman(t.labelled.withColumn("segment", window_segment()), PROFILED, ["relevance"], ["segment"]),
+      rho_sql(f"(SELECT *, {_WINDOW_SQL} AS segment FROM lab)", PROFILED, ["relevance"], "segment"), ints="n", nums="rho", texts="segment feature target")
 query("a37_family_means", lambda t: A.conditional_means(t.impressions.where("booking_bool = 1").withColumn("family", flag(F.col("srch_children_count") > 0)), "family", QUAL),
       f"SELECT feature, avg(value) FILTER (f > 0) AS mean_yes, avg(value) FILTER (f = 0) AS mean_no FROM {long_sql('(SELECT *, srch_children_count AS f FROM imp WHERE booking_bool = 1)', QUAL, 'f, ')} GROUP BY feature",
       nums="mean_yes mean_no", texts="feature")
