@@ -1,30 +1,34 @@
 """Rank fusion and search over fusions.
 
 Members enter as a long prediction table. `member_ranks` turns it into one row
-per item with an array of ranks, once; `positive_pairs` puts every positive next to
-its slate, once. A trial is then a weight vector and one counting column over those
-pairs, so any number of fusions is scored without a sort or a shuffle of slates.
-Scores of fused ranks are ascending (small is good) unless stated otherwise.
+per item with an array of ranks, once. A trial is then a weight vector: tasks hold whole
+slates as blocks of numbers and return sums over them, so any number of fusions is
+scored in one pass, without a row for a trial. Scores of fused ranks are ascending (small is good) unless stated otherwise.
 """
 
 import itertools
-import json
 import math
 import random
+import sys
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.exprs import flag, num, ratio, total, zero_as
+from ..functions.exprs import num, ratio, total
 from ..functions.groups import Rank, Stat, within
 from ..functions.small import small_table
 from ..schema import SEARCH
-from ..session import materialise
 from . import metrics
 
 ITEM = "prop_id"
 KEYS = [SEARCH, ITEM]
 
+# the block functions travel with the jobs, so executors need no copy of this module
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def grouped_rank(preds, method="average", name="rank"):
     """Descending rank of every prediction in its (model, slate): average or first ties."""
@@ -260,63 +264,114 @@ def random_trials(members, n, kind, seed=42, sizes=(3, 10)):
     return out
 
 
-def positive_pairs(values, column="r"):
-    """Each positive row next to every row of its slate, stored once for any number of trials.
-
-    Columns: srch_id, prop_id and `v` of the row; p_item, p_rel and p_v of the positive.
-    The metrics only ask for the places of positives, and a place is the number of
-    rows of the slate that go before.
-    """
-    rows = values.select(SEARCH, ITEM, "relevance", F.col(column).alias("v"))
-    positives = rows.where("relevance > 0").select(
-        SEARCH, F.col(ITEM).alias("p_item"), F.col("relevance").alias("p_rel"), F.col("v").alias("p_v"))
-    return materialise(rows.join(positives, SEARCH), "positive_pairs")
+#: Rows and pairs (a positive and a row of its slate) that a task scores at once, and trials at once.
+BLOCK_ROWS, BLOCK_PAIRS, BLOCK_TRIALS = 20_000, 50_000, 64
+
+
+def _block_sums(search, item, relevance, values, weights, ascending):
+    """Per trial, over some whole slates in rows next to each other: summed NDCG, booked slates, those booked first, in the first five, and summed booked ranks."""
+    starts = np.flatnonzero(np.r_[True, search[1:] != search[:-1]])
+    slate = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(search)]))
+    sizes = np.bincount(slate)
+    positives = np.flatnonzero(relevance > 0)
+    out = np.zeros((5, len(weights)))
+    if not len(positives):
+        return out
+    of, rel = slate[positives], relevance[positives].astype(float)
+    kinds = np.zeros((len(starts), 2), np.int64)
+    np.add.at(kinds, (of, 0), rel == 5)
+    np.add.at(kinds, (of, 1), rel == 1)
+    place = np.arange(1, 6)
+    gains = np.where(kinds[:, :1] >= place, 5.0, np.where(kinds.sum(axis=1, keepdims=True) >= place, 1.0, 0.0))
+    ideal = (gains / np.log2(place + 1.0)).sum(axis=1)
+    # consecutive positives whose pairs fit into one step
+    step = np.cumsum(sizes[of]) // BLOCK_PAIRS
+    groups = np.split(np.arange(len(positives)), np.flatnonzero(np.diff(step)) + 1)
+    for lo in range(0, len(weights), BLOCK_TRIALS):
+        w = weights[lo : lo + BLOCK_TRIALS]
+        fused = np.zeros((len(search), len(w)))
+        for m in range(w.shape[1]):
+            # zero-weight members must not turn a missing value into a missing sum
+            fused += np.where(w[:, m] != 0, values[:, m : m + 1] * w[:, m], 0.0)
+        places = np.empty((len(positives), len(w)), np.int64)
+        for group in groups:
+            count = sizes[of[group]]
+            first = np.cumsum(count) - count
+            mine = np.repeat(positives[group], count)
+            row = np.arange(count.sum()) - np.repeat(first, count) + np.repeat(starts[of[group]], count)
+            x, y = fused[row], fused[mine]
+            # better, or as good with a smaller item; rows without a score come last
+            none_x, none_y = np.isnan(x), np.isnan(y)
+            before = (x < y if ascending else x > y) | (none_y & ~none_x)
+            before |= ((x == y) | (none_x & none_y)) & (item[row] < item[mine])[:, None]
+            places[group] = np.add.reduceat(before, first, axis=0, dtype=np.int64) + 1
+        dcg = np.zeros((len(starts), len(w)))
+        np.add.at(dcg, of, np.where(places <= 5, rel[:, None] / np.log2(places + 1.0), 0.0))
+        part = out[:, lo : lo + len(w)]
+        part[0] = np.divide(dcg, ideal[:, None], out=np.zeros_like(dcg), where=ideal[:, None] > 0).sum(axis=0)
+        booked = rel == 5
+        if booked.any():
+            rank = np.full((len(starts), len(w)), np.iinfo(np.int64).max)
+            np.minimum.at(rank, of[booked], places[booked])
+            rank = rank[np.unique(of[booked])]
+            part[1], part[2], part[3], part[4] = len(rank), (rank <= 1).sum(axis=0), (rank <= 5).sum(axis=0), rank.sum(axis=0)
+    return out
 
 
-def score_trials(values, members, trials, column="r", ascending=True, pairs=None):
+def score_trials(values, members, trials, column="r", ascending=True):
     """Metrics of every trial {name: {member: weight}} in one job.
 
     `values` has srch_id, prop_id, relevance and the members' values as an array.
-    Weights are divided by their sum. Next to each pair of a positive and a row of
-    its slate the weight vectors are listed, and the rows that go before are counted
-    per trial and positive: nothing is sorted, and all steps keep the partitioning
-    by search. `pairs` takes the result of `positive_pairs` where calls share it.
+    Weights are divided by their sum. A task scores whole slates for all trials: the members'
+    values are one block, a positive's place is the number of rows of its slate that go
+    before, and only sums over the task's slates leave it, one row for each trial.
     """
     at = {m: i for i, m in enumerate(members)}
-    n_queries = values.agg(F.countDistinct(SEARCH)).scalar()
-    pairs = positive_pairs(values, column) if pairs is None else pairs
-    names, grid = list(trials), []
+    names, weights = list(trials), np.zeros((len(trials), len(members)))
     for i, name in enumerate(names):
         s = float(sum(trials[name].values()))
-        w = [0.0] * len(members)
         for m, x in trials[name].items():
-            w[at[m]] = x / s
-        grid.append({"t": i, "w": w})
-    listed = F.explode(F.from_json(F.lit(json.dumps(grid)), "array<struct<t int, w array<double>>>"))
-    columns = {f"v{i}": F.col("v")[i] for i in range(len(members))} | {f"p{i}": F.col("p_v")[i] for i in range(len(members))}
-    flat = pairs.select(SEARCH, ITEM, "p_item", "p_rel", *[e.alias(n) for n, e in columns.items()]).repartition(SEARCH)
-
-    def fused(side):
-        # zero-weight members must not turn a missing value into a missing sum
-        return total([F.when(F.col("g.w")[i] != 0, F.col(f"{side}{i}") * F.col("g.w")[i]).otherwise(F.lit(0.0)) for i in range(len(members))])
-
-    scored = flat.select("*", listed.alias("g")).select(
-        F.col("g.t").alias("t"), SEARCH, ITEM, "p_item", "p_rel", fused("v").alias("row"), fused("p").alias("positive"))
-    row, positive = F.col("row"), F.col("positive")
-    # better, or as good with a smaller item; rows without a score come last
-    better = row < positive if ascending else row > positive
-    before = (row.eqNullSafe(positive) & (F.col(ITEM) < F.col("p_item"))) | (row.isNotNull() & (positive.isNull() | better))
-    places = scored.groupBy("t", SEARCH, "p_item", "p_rel").agg((F.sum(flag(before)) + 1).alias("place"))
-    booked, place = F.col("p_rel") == 5, F.col("place")
-    slates = places.groupBy("t", SEARCH).agg(
-        F.sum(flag(booked)).alias("n_fives"), F.sum(flag(F.col("p_rel") == 1)).alias("n_ones"),
-        F.sum(F.when(place <= 5, F.col("p_rel") / metrics.discount(place)).otherwise(0.0)).alias("dcg"),
-        F.min(F.when(booked, place)).alias("booked_rank"))
-    slates = slates.withColumn("ndcg", F.coalesce(ratio("dcg", metrics.ideal_dcg(5)), F.lit(0.0)))
-    done = metrics.summarise(slates, ["t"]).withColumns(
-        {"ndcg5": F.col("ndcg5") * F.col("n_queries") / n_queries, "n_queries": n_queries})
-    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("t") + 1)
-    return done.select(name.alias("trial"), *[c for c in done.columns if c != "t"])
+            weights[i, at[m]] = x / s
+    width = len(members)
+
+    def run(batches):
+        sums, slates, held = np.zeros((5, len(weights))), 0, None
+        for b in _with_end(batches):
+            if b is not None:
+                lists = b.column(3)
+                # a missing array is one of missing values
+                cells = np.full((b.num_rows, width), np.nan)
+                cells[lists.is_valid().to_numpy(zero_copy_only=False)] = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                now = [b.column(k).to_numpy() for k in range(3)] + [cells]
+                held = now if held is None else [np.concatenate(p) for p in zip(held, now)]
+                if len(held[0]) < BLOCK_ROWS:
+                    continue
+            if held is None or not len(held[0]):
+                continue
+            # the last slate may go on in the next batch
+            end = len(held[0]) if b is None else int(np.searchsorted(held[0], held[0][-1]))
+            if end:
+                whole = [x[:end] for x in held]
+                slates += len(np.unique(whole[0]))
+                sums += _block_sums(*whole, weights, ascending)
+                held = [x[end:] for x in held]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(weights))), pa.array(np.full(len(weights), slates)), *[pa.array(x) for x in sums]],
+                                         names=["t", "slates", "ndcg", "booked", "one", "five", "ranks"])
+
+    rows = (values.where(F.col(SEARCH).isNotNull()).select(F.col(SEARCH).cast("long"), F.col(ITEM).cast("long"), F.coalesce("relevance", F.lit(0)).cast("long").alias("relevance"),
+                                                           F.col(column).cast("array<double>").alias("v")).repartition(SEARCH).sortWithinPartitions(SEARCH))
+    found = rows.mapInArrow(run, "t long, slates long, ndcg double, booked double, one double, five double, ranks double")
+    total_of = found.groupBy("t").agg(*[F.sum(c).alias(c) for c in found.columns[1:]])
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("t") + 1).cast("int"))
+    share = lambda c: F.coalesce(ratio(c, "booked"), F.lit(0.0))
+    return total_of.select(name.alias("trial"), ratio("ndcg", "slates").alias("ndcg5"), share("one").alias("recall1"), share("five").alias("recall5"),
+                           ratio("ranks", "booked").alias("mean_booked_rank"), F.col("slates").alias("n_queries"), F.col("booked").cast("long").alias("n_booked"))
+
+
+def _with_end(batches):
+    """The batches that hold rows, and None behind the last."""
+    yield from (b for b in batches if b.num_rows)
+    yield None
 
 
 def deltas(results, base, name="trial", metric="ndcg5"):
@@ -327,13 +382,13 @@ def deltas(results, base, name="trial", metric="ndcg5"):
 
 def greedy_forward(values, members, start):
     """Add the member that helps most until none does; each step scores all candidates in one job."""
-    chosen, pairs = [start], positive_pairs(values)
-    best = score_trials(values, members, {"0": {start: 1.0}}, pairs=pairs).first()["ndcg5"]
+    chosen = [start]
+    best = score_trials(values, members, {"0": {start: 1.0}}).first()["ndcg5"]
     path = [(1, start, best)]
     while len(chosen) < len(members):
         rest = [m for m in members if m not in chosen]
         trials = {m: dict.fromkeys([*chosen, m], 1.0) for m in rest}
-        top = (score_trials(values, members, trials, pairs=pairs)
+        top = (score_trials(values, members, trials)
                .orderBy(F.col("ndcg5").desc(), "trial").first())
         if not top["ndcg5"] > best + 1e-12:
             break
