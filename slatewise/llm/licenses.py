@@ -4,7 +4,7 @@ A text is cut into sentences; each is normalised to plain lower-case words and
 looked up among known licence sentences. A document is then the sequence of the
 identifiers it holds, in text order, and a licence is found where all sentences of
 one of its rules appear in the rule's order. A rule that says more takes the place
-of the rules it contains.
+of the rules it contains, and "all rights reserved" counts only where nothing else does.
 
 Everything is one projection over the documents: no join, no shuffle. Defined
 cases: NULL and empty texts hold no sentences; repeated rows are scanned each; a
@@ -14,6 +14,8 @@ own also counts as a sentence; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,9 +66,52 @@ SENTENCES = {
     "cc0": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
     "cc0-notice": "licensed under cc0 1 0",
     "unlicense": "this is free and unencumbered software released into the public domain",
+    "apache-title": "apache license version 2 0 january 2004",
+    "apache-title-address": "apache license version 2 0 january 2004 http www apache org licenses",
+    "gpl3-title": "gnu general public license version 3 29 june 2007",
+    "gpl2-title": "gnu general public license version 2 june 1991",
+    "lgpl3-title": "gnu lesser general public license version 3 29 june 2007",
+    "lgpl21-title": "gnu lesser general public license version 2 1 february 1999",
+    "agpl3-title": "gnu affero general public license version 3 19 november 2007",
+    "lgpl21-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "gpl-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "lgpl-terms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "version-2": "either version 2 of the license or at your option any later version",
+    "version-2-1": "either version 2 1 of the license or at your option any later version",
+    "version-3": "either version 3 of the license or at your option any later version",
+    "mpl-subject-open": "this source code form is subject to the terms of the mozilla public license v",
+    "mpl-title": "mozilla public license version 2 0",
+    "epl2-title": "eclipse public license v 2 0",
+    "epl1-title": "eclipse public license v 1 0",
+    "epl2-notice": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "zlib-title": "zlib license",
+    "bsl-title": "boost software license version 1 0 august 17th 2003",
+    "bsl-notice": "distributed under the boost software license version 1 0",
+    "artistic-title": "the artistic license 2 0",
+    "cddl-title": "common development and distribution license cddl version 1 0",
+    "cc-by-nc-sa": "licensed under cc by nc sa 4 0",
+    "cc-by-nc-sa-long": "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license",
     "reserved": "all rights reserved",
 }
 
+#: Licence names of the tag `SPDX-License-Identifier`, and what they are called here where that differs.
+TAGS = ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "AGPL-3.0", "LGPL-3.0", "LGPL-2.1", "GPL-3.0", "GPL-2.0", "MPL-2.0", "EPL-1.0", "EPL-2.0",
+        "Zlib", "BSL-1.0", "Artistic-2.0", "CDDL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0", "CC0-1.0", "Unlicense")
+
+
+def _tagged() -> dict[str, tuple[str, tuple[str, ...]]]:
+    """Sentences of the tag and the licences they name, by identifier: one licence, its `only` and `or later` forms, and a choice of two."""
+    forms = {tag: (tag,) for tag in TAGS}
+    forms |= {f"{tag}-{end}": (tag,) for tag in TAGS if "GPL" in tag for end in ("only", "or-later")}
+    forms |= {f"{tag} OR {other}": (tag, other) for tag in TAGS for other in TAGS[:5] if other != tag}
+    return {"spdx-" + words.lower().replace(" ", "-"): (re.sub("[^a-z0-9]+", " ", f"spdx license identifier {words}".lower()), which)
+            for words, which in forms.items()}
+
+
+SENTENCES |= {name: words for name, (words, _) in _tagged().items()}
+
 #: List signs that stand before or behind a condition where no empty line parts them, normalised.
 SIGNS = ("1", "2", "3", "4", "a", "b", "c", "d", "i", "ii", "iii", "iv", "o")
 
@@ -105,13 +150,25 @@ RULES = (
     ("CC-BY-ND-4.0", ("cc-by-nd",), ()),
     ("CC0-1.0", ("cc0",), ()), ("CC0-1.0", ("cc0-notice",), ()),
     ("Unlicense", ("unlicense",), ()),
+    ("Apache-2.0", ("apache-title",), ()), ("Apache-2.0", ("apache-title-address",), ()),
+    ("GPL-3.0", ("gpl3-title",), ()), ("GPL-2.0", ("gpl2-title",), ()), ("AGPL-3.0", ("agpl3-title",), ("GPL-3.0",)),
+    ("LGPL-3.0", ("lgpl3-title",), ("GPL-3.0",)), ("LGPL-2.1", ("lgpl21-title",), ()), ("LGPL-2.1", ("lgpl21-free",), ()),
+    ("GPL-2.0", ("gpl-terms", "version-2"), ()), ("GPL-3.0", ("gpl-terms", "version-3"), ()),
+    ("LGPL-2.1", ("lgpl-terms", "version-2-1"), ()), ("LGPL-3.0", ("lgpl-terms", "version-3"), ()),
+    ("MPL-2.0", ("mpl-subject-open",), ()), ("MPL-2.0", ("mpl-title",), ()), ("EPL-2.0", ("epl2-title",), ()), ("EPL-2.0", ("epl2-notice",), ()), ("EPL-1.0", ("epl1-title",), ()),
+    ("Zlib", ("zlib-as-is", "zlib-grant"), ()), ("Zlib", ("zlib-title",), ()), ("BSL-1.0", ("bsl-title",), ()), ("BSL-1.0", ("bsl-notice",), ()),
+    ("Artistic-2.0", ("artistic-title",), ()), ("CDDL-1.0", ("cddl-title",), ()),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa",), ()), ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-long",), ()),
+    *((licence, ("(" + "|".join(name for name, (_, which) in _tagged().items() if licence in which) + ")",), ()) for licence in TAGS),
     ("proprietary", ("reserved",), ()),
 )
+#: This licence counts only where no other rule matches: most licence texts carry its sentence too.
+LAST = "proprietary"
 #: What a licence asks of training data, most restrictive kind first.
 KINDS = {
-    "restricted": ("CC-BY-NC-4.0", "CC-BY-ND-4.0", "proprietary"),
-    "copyleft": ("AGPL-3.0", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "MPL-2.0", "CC-BY-SA-4.0"),
-    "permissive": ("MIT", "ISC", "BSD-3-Clause", "BSD-2-Clause", "Apache-2.0", "CC-BY-4.0", "CC0-1.0", "Unlicense"),
+    "restricted": ("CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0", "proprietary"),
+    "copyleft": ("AGPL-3.0", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1", "MPL-2.0", "EPL-2.0", "EPL-1.0", "CDDL-1.0", "CC-BY-SA-4.0"),
+    "permissive": ("MIT", "ISC", "BSD-3-Clause", "BSD-2-Clause", "Apache-2.0", "Zlib", "BSL-1.0", "Artistic-2.0", "CC-BY-4.0", "CC0-1.0", "Unlicense"),
 }
 #: A sentence ends with one of these marks before white space, with a copyright line, or with an empty line.
 ENDS = r"([.!?;]|Copyright[^\n.!?;]*[0-9]{4}[^\n.!?;]*)[ \t\r\n]+|\n[ \t\r]*\n"
@@ -142,6 +199,7 @@ def scan(docs: DataFrame) -> DataFrame:
     gone = F.flatten(F.array(*[F.when(h.isNotNull(), F.array(*[F.lit(x) for x in takes])).otherwise(F.array().cast("array<string>"))
                                for h, (_, _, takes) in zip(hits, RULES) if takes]))
     named = F.array_sort(F.array_distinct(F.array_except(F.filter(F.array(*hits), lambda x: x.isNotNull()), gone)))
+    named = F.when(F.size(named) > 1, F.array_remove(named, LAST)).otherwise(named)
     out = found.withColumn("_names", F.when(F.size("ids") > 0, named).otherwise(F.array().cast("array<string>")))
     kind = F.lit("none")
     for name in reversed(KINDS):
@@ -170,8 +228,9 @@ k AS (SELECT row, pos, min(part) AS part, name FROM (SELECT row, pos, part, name
 f AS (SELECT row, string_agg(name, ',' ORDER BY pos, part) AS sentences, '|' || string_agg(name, '||' ORDER BY pos, part) || '|' AS flow
       FROM k GROUP BY row),
 h AS (SELECT DISTINCT row, i, licence FROM f JOIN rules ON regexp_matches(flow, shape)),
-l AS (SELECT row, list_sort(list(DISTINCT licence)) AS names FROM h WHERE NOT EXISTS
-      (SELECT 1 FROM takes JOIN h g ON g.i = takes.i WHERE g.row = h.row AND takes.licence = h.licence) GROUP BY row)
+l AS (SELECT row, CASE WHEN len(names) > 1 THEN list_filter(names, lambda x: x <> '{LAST}') ELSE names END AS names FROM (
+      SELECT row, list_sort(list(DISTINCT licence)) AS names FROM h WHERE NOT EXISTS
+      (SELECT 1 FROM takes JOIN h g ON g.i = takes.i WHERE g.row = h.row AND takes.licence = h.licence) GROUP BY row))
 SELECT doc_id, coalesce(sentences, '') AS sentences, coalesce(array_to_string(names, ','), '') AS licences,
        CASE WHEN names IS NULL THEN 'none'{kinds} ELSE 'none' END AS kind
 FROM d LEFT JOIN f USING (row) LEFT JOIN l USING (row)
