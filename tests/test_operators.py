@@ -1,13 +1,17 @@
 """Edge cases and invariants of the operators."""
 
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from slatewise.functions.exprs import clip, finite, label, ratio
+from slatewise.operators import drift as DR
 from slatewise.operators import encodings as E
 from slatewise.operators import fusion as FU
+from slatewise.operators import importance as IM
 from slatewise.operators import listwise as L
 from slatewise.operators import metrics as M
 from slatewise.operators import propensity as P
@@ -192,3 +196,84 @@ def test_hot_search_gives_the_same_metrics(spark, lab, monkeypatch):
     monkeypatch.setattr(G, "WINDOW_LIMIT", 22)  # many slates are larger: they take the other way
     got = M.ranking_metrics(plain).first()
     assert got["ndcg5"] == pytest.approx(want["ndcg5"]) and got["mean_booked_rank"] == pytest.approx(want["mean_booked_rank"])
+
+
+def test_kept_encodings_are_not_fitted_again(lab):
+    groups = [(["prop_id"], [E.Rate("r", "click_bool", 30)])]
+    E.encode_many(lab, groups)
+    stored = E.fitted(lab, groups).path
+    assert E.fitted(lab, groups).path == stored and len([e for e in E._kept if e[3].path == stored]) == 1
+    assert E.fitted(lab.where("prop_id > 3"), groups).path != stored
+    assert E.fitted(lab, groups, salt="other").path != stored
+    val = E.encode_many(lab.limit(10), groups, lab)
+    assert val.count() == 10 and E.fitted(lab, groups).path == stored
+
+
+def test_blind_view_of_a_fold_without_the_key(spark):
+    rows = [(s, s % 3, float(s % 2)) for s in range(30)]
+    df = spark.createDataFrame(rows, "srch_id long, prop_id long, y double")
+    other = spark.createDataFrame([(1000 + s, s % 4) for s in range(40)], "srch_id long, prop_id long")
+    out = E.encode_many(other.withColumn("fold", E.fold_of()), [(["prop_id"], [E.Sum("n", "count(y)"), E.Sum("s", "sum(y)")])], df, blind=True).collect()
+    folds = {r.srch_id: r.fold for r in df.withColumn("fold", E.fold_of()).collect()}
+    for r in out:
+        seen = [y for s, p, y in rows if p == r.prop_id and folds[s] != r.fold]
+        assert (r.n, r.s) == (len(seen), sum(seen))
+
+
+def _no_drift(spark):
+    rng = random.Random(5)
+    rows = [(s, i, rng.randint(1, 2), rng.random(), rng.randint(0, 1)) for s in range(400) for i in range(5)]
+    df = spark.createDataFrame(rows, "srch_id long, prop_id long, kind long, x double, y long")
+    return df.where("srch_id < 200"), df.where("srch_id >= 200")
+
+
+def test_drift_is_not_seen_where_there_is_none(spark):
+    """A key of two values: encodings that are made alike tell nothing, those of all rows on one side give the side away."""
+    train, test = _no_drift(spark)
+    groups = [(["kind"], [E.Rate("r", "y", 1)])]
+    blind = [E.encode_many(train, groups, blind=True), E.encode_many(test, groups, train, blind=True)]
+    plain = [E.encode_many(train, groups), E.encode_many(test, groups, train)]
+    found = [DR.adversarial_auc(DR.cross_fitted(*pair, ["r", "x"], trees=8, depth=4)[0]).first() for pair in (blind, plain)]
+    assert found[0]["auc"] < 0.55 and found[0]["band"] == "none"
+    assert found[1]["auc"] > 0.9 and found[1]["band"] == "strong"
+    assert found[0]["n_pos"] + found[0]["n_neg"] == 2000  # every row has a p
+
+
+def test_a_useless_column_gains_nothing(spark):
+    train, test = _no_drift(spark)
+    moved = test.withColumn("x", F.col("x") + 0.5)
+    _, gains = DR.cross_fitted(train, moved, ["x", "kind", "y"], trees=8, depth=4)
+    gain = {r.feature: r.gain for r in gains.groupBy("feature").agg(F.avg("gain").alias("gain")).collect()}
+    assert gain["x"] > 0.1 and abs(gain["kind"]) < 0.02 and abs(gain["y"]) < 0.02
+    audit = IM.audit(gains, lambda c: "moved" if c == "x" else "still")
+    places = S.Audit.from_table(audit)
+    assert places.places["x"] == 0 and S.filter_features(["x", "kind", "y"], S.Top(1), places) == ["x"]
+    assert S.filter_features(["x", "kind", "y"], S.KeepGroups(("moved",)), places) == ["x"]
+
+
+def test_exchanged_values_are_those_of_other_rows(spark):
+    df = spark.range(5000).selectExpr("id as srch_id", "id as prop_id", "cast(id as double) as x", "0.0 as y")
+    pairs = IM.exchanged(df, ["x"], "y", ["srch_id", "prop_id"], rows=None).selectExpr("x[0] as x", "z[0] as z").collect()
+    assert sorted(r.x for r in pairs) == sorted(r.z for r in pairs) == list(range(5000))
+    assert all(r.x != r.z for r in pairs)
+
+
+@pytest.mark.parametrize("rows, pairs", [(20_000, 50_000), (7, 5)])
+def test_trials_score_as_single_rankings(spark, monkeypatch, rows, pairs):
+    """Ties, missing values, missing arrays and slates without a positive; also in steps of a few rows."""
+    monkeypatch.setattr(FU, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(FU, "BLOCK_PAIRS", pairs)
+    rng = random.Random(9)
+    cell = lambda: rng.choice([None, 1.0, 2.0, 3.0])
+    data = [(s, i, rng.choice([0, 0, 0, 1, 5]) if s % 5 else 0, [cell(), cell()] if rng.random() < 0.95 else None) for s in range(40) for i in range(rng.randint(1, 9))]
+    df = spark.createDataFrame(data, "srch_id long, prop_id long, relevance int, r array<double>")
+    trials = {"a": {"m": 1.0}, "b": {"n": 2.0}, "ab": {"m": 1.0, "n": 3.0}}
+    for ascending in (True, False):
+        found = {r.trial: r for r in FU.score_trials(df, ["m", "n"], trials, ascending=ascending).collect()}
+        for name, w in trials.items():
+            total = sum(w.values())
+            score = sum((F.col("r")[i] * (w[m] / total) for i, m in enumerate(["m", "n"]) if m in w), F.lit(0.0))
+            want = M.ranking_metrics(df.withColumn("score", score), ascending=ascending).first()
+            assert found[name]["ndcg5"] == pytest.approx(want["ndcg5"]) and found[name]["n_queries"] == want["n_queries"] == 40
+            assert found[name]["n_booked"] == want["n_booked"] and found[name]["mean_booked_rank"] == pytest.approx(want["mean_booked_rank"])
+            assert found[name]["recall5"] == pytest.approx(want["recall5"]) and found[name]["recall1"] == pytest.approx(want["recall1"])
