@@ -28,9 +28,26 @@ def sample_rows(df, frac, salt="row-sample", keys=("srch_id", "prop_id")):
 
 
 def sample_n_rows(df, n, salt="rows", keys=("srch_id", "prop_id")):
-    """Exactly n rows (all if fewer), the ones with the smallest hash of their key."""
+    """Exactly n rows (all if fewer), the ones with the smallest hash of their key.
+
+    Two counts of at most 4,096 hash prefixes each find the prefix at which n rows are
+    reached. All rows before it belong to the sample, and only those of that prefix are ordered.
+    """
     h = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(salt)))
-    return df.orderBy(h, *keys).limit(n)
+    prefix, left = "", n
+    for size in (3, 6):
+        cells = (df.where(h.startswith(prefix)).groupBy(F.substring(h, 1, size).alias("cell")).count().orderBy("cell").collect())
+        cut = None
+        for cell in cells:
+            if cell["count"] >= left:
+                cut = cell["cell"]
+                break
+            left -= cell["count"]
+        if cut is None:
+            return df  # fewer rows than asked for
+        prefix = cut
+    at = F.substring(h, 1, len(prefix))
+    return df.where(at < prefix).unionByName(df.where(at == prefix).orderBy(h, *keys).limit(left))
 
 
 def split_random(df, frac=0.1, salt="val", search=SEARCH):

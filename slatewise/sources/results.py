@@ -1,10 +1,86 @@
-"""Tracking tables: keyed appends and upserts on parquet, and run rows."""
+"""Tracking tables: keyed appends, upserts and replacement by a log of versions, and run rows.
 
+A table is a folder of data folders and a log. Log entry n names the data folders that make
+up version n, and is created only if no entry n is there. A writer that finds its number taken
+starts again from the version that was faster, so writers at the same time lose and
+double nothing. Readers see the last entry and keep its files; nothing is deleted but by `vacuum`.
+"""
+
+import json
 import uuid
 
 from pyspark.sql import functions as F
 
-from ..session import path_exists
+LOG = "_versions"
+
+
+class TableLog:
+    """The log of one table: its last version, and the creation of the next one."""
+
+    def __init__(self, spark, path):
+        self.spark, self.path = spark, path
+        self.hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.folder = self.hadoop.Path(f"{path}/{LOG}")
+        self.fs = self.folder.getFileSystem(self.conf)
+
+    def last(self):
+        """(number, data folders) of the last version; (0, None) before the first."""
+        if not self.fs.exists(self.folder):
+            return 0, None
+        numbers = [int(f.getPath().getName()) for f in self.fs.listStatus(self.folder) if f.getPath().getName().isdigit()]
+        return (max(numbers), self.folders(max(numbers))) if numbers else (0, None)
+
+    def folders(self, number):
+        return json.loads(self.spark.read.text(f"{self.path}/{LOG}/{number:010d}", wholetext=True).first()[0])
+
+    def create(self, number, folders):
+        """Whether this call made entry `number`: an entry that is there stays as it is."""
+        self.fs.mkdirs(self.folder)
+        staged, entry = (self.hadoop.Path(f"{self.path}/{LOG}/{name}") for name in (f".{uuid.uuid4().hex}", f"{number:010d}"))
+        out = self.fs.create(staged, False)
+        out.writeBytes(json.dumps(folders))
+        out.close()
+        try:
+            if self.fs.getScheme() == "file":  # a rename would replace the entry here, a link does not
+                nio = self.spark.sparkContext._jvm.java.nio.file
+                local = [nio.Paths.get(self.fs.makeQualified(x).toUri()) for x in (entry, staged)]
+                nio.Files.createLink(*local)
+            else:
+                none = self.spark.sparkContext._gateway.new_array(getattr(self.hadoop, "Options$Rename"), 0)
+                self.hadoop.FileContext.getFileContext(self.fs.getUri(), self.conf).rename(staged, entry, none)
+            return True
+        except Exception:
+            if not self.fs.exists(entry):
+                raise
+            return False
+        finally:
+            self.fs.delete(staged, False)
+
+    def read(self, folders):
+        return self.spark.read.parquet(*[f"{self.path}/{name}" for name in folders])
+
+    def write(self, df):
+        """The name of a new data folder with these rows."""
+        name = f"data-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{name}")
+        return name
+
+
+def _commit(spark, path, change):
+    """Make the next version from the last one by `change(log, folders)`, again and again until no other writer was faster."""
+    log = TableLog(spark, path)
+    while True:
+        number, folders = log.last()
+        wanted = change(log, folders)
+        if wanted == folders or log.create(number + 1, wanted):
+            return log.read(wanted)
+
+
+def read_table(spark, path):
+    """The last version of a table."""
+    log = TableLog(spark, path)
+    return log.read(log.last()[1])
 
 
 def new_rows(old, rows, key):
@@ -14,12 +90,14 @@ def new_rows(old, rows, key):
 
 def append_new(spark, path, rows, key):
     """Append only rows with new keys; running it twice leaves the table unchanged."""
-    if path_exists(spark, path):
-        rows = new_rows(spark.read.parquet(path), rows, key)
-    else:
-        rows = rows.dropDuplicates(list(key))
-    rows.write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    def change(log, folders):
+        if folders is None:
+            return [log.write(rows.dropDuplicates(list(key)))]
+        name = log.write(new_rows(log.read(folders), rows, key))
+        added = spark.read.schema(rows.schema).parquet(f"{path}/{name}")
+        return [*folders, name] if added.take(1) else folders
+
+    return _commit(spark, path, change)
 
 
 def upserted(old, rows, key):
@@ -28,46 +106,31 @@ def upserted(old, rows, key):
 
 
 def upsert(spark, path, rows, key):
-    """Replace rows by key. The new version is complete before readers are pointed to it."""
-    if not path_exists(spark, f"{path}/{POINTER}"):
-        return replace_table(spark, rows, path)
-    return replace_table(spark, upserted(read_table(spark, path), rows, key), path)
-
-
-# The file in a versioned table's folder that names the version to read.
-POINTER = "CURRENT"
-
-
-def read_table(spark, path):
-    """The current version of a table written by `replace_table`."""
-    return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/{POINTER}').first()[0]}")
+    """Replace rows by key, or add them."""
+    return _commit(spark, path, lambda log, folders: [log.write(rows if folders is None else upserted(log.read(folders), rows, key))])
 
 
 def replace_table(spark, df, path):
-    """Write a new version next to the old ones, then swap the pointer file in one step.
-
-    Readers find the old version or the new one at any moment, and a reader that
-    has begun keeps its files: only versions before the last one are deleted.
-    """
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    hadoop = jvm.org.apache.hadoop.fs
-    folder = hadoop.Path(path)
-    fs = folder.getFileSystem(conf)
-    last = spark.read.text(f"{path}/{POINTER}").first()[0] if path_exists(spark, f"{path}/{POINTER}") else None
-    version = f"version-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{version}")
-    staged, pointer = hadoop.Path(f"{path}/.{version}.pointer"), hadoop.Path(f"{path}/{POINTER}")
-    out = fs.create(staged, True)
-    out.writeBytes(version)
-    out.close()
-    options = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
-    options[0] = getattr(hadoop, "Options$Rename").OVERWRITE
-    hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(staged, pointer, options)
-    for found in fs.listStatus(folder):
-        name = found.getPath().getName()
-        if name.startswith("version-") and name not in (version, last):
-            fs.delete(found.getPath(), True)
-    return spark.read.parquet(f"{path}/{version}")
+    """Replace all rows. Readers find the old version or the new one at any moment."""
+    name = []
+
+    def change(log, folders):
+        if not name:  # the rows do not depend on the version before
+            name.append(log.write(df))
+        return [name[0]]
+
+    return _commit(spark, path, change)
+
+
+def vacuum(spark, path, keep=2):
+    """Delete the data folders that older versions name and the last `keep` ones do not. Folders that no version names yet stay."""
+    log = TableLog(spark, path)
+    last, _ = log.last()
+    live = {f for n in range(max(1, last - keep + 1), last + 1) for f in log.folders(n)}
+    gone = {f for n in range(1, last - keep + 1) for f in log.folders(n)} - live
+    for name in gone:
+        log.fs.delete(log.hadoop.Path(f"{path}/{name}"), True)
+    return len(gone)
 
 
 def validation_meta(df):

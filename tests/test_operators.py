@@ -277,3 +277,46 @@ def test_trials_score_as_single_rankings(spark, monkeypatch, rows, pairs):
             assert found[name]["ndcg5"] == pytest.approx(want["ndcg5"]) and found[name]["n_queries"] == want["n_queries"] == 40
             assert found[name]["n_booked"] == want["n_booked"] and found[name]["mean_booked_rank"] == pytest.approx(want["mean_booked_rank"])
             assert found[name]["recall5"] == pytest.approx(want["recall5"]) and found[name]["recall1"] == pytest.approx(want["recall1"])
+
+
+def test_writers_at_the_same_time_lose_and_double_nothing(spark, tmp_path, monkeypatch):
+    """A second writer commits between the read and the commit of the first, which has to start again."""
+    def rows(*pairs):
+        return spark.createDataFrame(list(pairs), "k string, v int")
+
+    def interleave(other):
+        real, calls = results.TableLog.create, []
+
+        def create(self, number, folders):
+            if not calls:
+                calls.append(number)
+                other()
+            return real(self, number, folders)
+
+        monkeypatch.setattr(results.TableLog, "create", create)
+        return real
+
+    path = str(tmp_path / "table")
+    real = interleave(lambda: results.append_new(spark, path, rows(("a", 1), ("b", 1)), ["k"]))
+    results.append_new(spark, path, rows(("b", 2), ("c", 2)), ["k"])
+    monkeypatch.setattr(results.TableLog, "create", real)
+    assert sorted(map(tuple, results.read_table(spark, path).collect())) == [("a", 1), ("b", 1), ("c", 2)]
+    reader = results.read_table(spark, path)
+    real = interleave(lambda: results.upsert(spark, path, rows(("a", 3)), ["k"]))
+    results.upsert(spark, path, rows(("b", 4)), ["k"])
+    monkeypatch.setattr(results.TableLog, "create", real)
+    assert sorted(map(tuple, results.read_table(spark, path).collect())) == [("a", 3), ("b", 4), ("c", 2)]
+    assert reader.count() == 3  # an older version stays readable
+    assert results.TableLog(spark, path).last()[0] == 4 and not results.TableLog(spark, path).create(4, ["x"])
+    results.append_new(spark, path, rows(("a", 9)), ["k"])
+    assert results.TableLog(spark, path).last()[0] == 4  # nothing new, no version
+    results.replace_table(spark, rows(("z", 1)), path)
+    assert results.vacuum(spark, path, keep=1) >= 2 and [tuple(r) for r in results.read_table(spark, path).collect()] == [("z", 1)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 37, 2000, 4999, 5000, 6000])
+def test_sample_of_n_rows_by_selection(spark, n):
+    df = spark.range(5000).selectExpr("id as srch_id", "id % 7 as prop_id")
+    h = F.md5(F.concat_ws("|", F.col("srch_id").cast("string"), F.col("prop_id").cast("string"), F.lit("rows")))
+    want = sorted(r.srch_id for r in df.orderBy(h).limit(n).collect())
+    assert sorted(r.srch_id for r in SP.sample_n_rows(df, n).collect()) == want
