@@ -117,9 +117,27 @@ def apply_policy(entries: DataFrame, version: str = CURRENT) -> DataFrame:
     return entries.withColumn("base_failed", fails(BASE)).withColumn("kept", ~fails((*BASE, *POLICIES[version])))
 
 
+def verdicts(entries: DataFrame, version: str = CURRENT) -> DataFrame:
+    """The ledger under every version of the policy, with what leaving a rule out would change.
+
+    `kept` is the verdict of `version`, `kept_<name>` that of each version. `sole_rule` is the
+    rule that alone rejects a document (NULL if none or several do), and
+    `sole_rule_documents` the number of documents that the ablation of this rule would keep.
+    """
+    out = apply_policy(entries, version)
+    for name in POLICIES:
+        out = out.withColumn(f"kept_{name}", ~fails((*BASE, *POLICIES[name])))
+    rules = (*BASE, *(r for r in POLICIES[version] if r not in BASE))
+    mask = F.col("failed").bitwiseAND(F.lit(bits(rules)))
+    sole = F.coalesce(*[F.when(mask == bits([r]), F.lit(r)) for r in rules])
+    won = ablations(entries, version).select(F.col("rule").alias("sole_rule"), F.col("failing_alone").alias("sole_rule_documents"))
+    # one row for each rule of the module
+    return out.withColumn("sole_rule", sole).join(F.broadcast(won), "sole_rule", "left")
+
+
 def ablations(entries: DataFrame, version: str = CURRENT) -> DataFrame:
     """Per rule of a policy: how many documents fail it, fail it alone, and are kept without it."""
-    rules = POLICIES[version]
+    rules = tuple(dict.fromkeys((*BASE, *POLICIES[version])))
     masks = (entries.groupBy(F.col("failed").bitwiseAND(F.lit(bits(rules))).alias("mask"))
              .agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words")))
     one = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(bits([r])).alias("bit")) for r in rules])).alias("r")

@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 
 from . import ann, collocations, language, licenses, mixing, packing, preference, quality_rules, secret_scan, simhash, suffix_dedup, toxicity, variants
-from .common import table
+from .common import stored, table
 
 
 def op2_mix_sources(spark, sf_dir):
@@ -32,9 +32,10 @@ def op8_toxicity(spark, sf_dir):
 
 
 def op9_quality_ledger(spark, sf_dir):
-    entries = quality_rules.ledger(table(spark, sf_dir, "documents"))
-    return quality_rules.apply_policy(entries).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+    entries = stored(quality_rules.ledger(table(spark, sf_dir, "documents")), "ledger")
+    return quality_rules.verdicts(entries).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed",
+        *[f"kept_{name}" for name in quality_rules.POLICIES], "sole_rule", "sole_rule_documents")
 
 
 def op10_simhash_classes(spark, sf_dir):
