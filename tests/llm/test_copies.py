@@ -61,6 +61,12 @@ def test_keep_one_row_per_class(docs, no_docs):
     assert simhash.keep_one(no_docs).count() == 0
 
 
+def test_keep_one_leaves_other_columns_alone(docs):
+    named = docs.withColumnRenamed("uid", "_name").withColumnRenamed("row", "_Name_")
+    kept = simhash.keep_one(named)
+    assert kept.columns == named.columns and kept.count() == simhash.keep_one(docs).count()
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_trie_join_finds_every_component(seed):
     rng = np.random.default_rng(seed)
@@ -168,3 +174,28 @@ def test_long_steps_keep_every_start():
     doc, start, count, _, _, _ = suffix_dedup.chunk_stretches([text, b"", text[:49], text[:50]], True)
     covered = sorted((d, s + k) for d, s, n in zip(doc.tolist(), start.tolist(), count.tolist()) for k in range(n))
     assert covered == [(0, s) for s in range(len(text) - 49)] + [(3, 0)]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_repeated_starts_of_parts_around_one_anchor(seed):
+    """Parts with more or less in common on both sides of their anchor, zero bytes and equal parts among them."""
+    rng = random.Random(seed)
+    anchor = bytes(rng.randrange(256) for _ in range(suffix_dedup.ANCHOR))
+    sides = [bytes(rng.choice(b"ab\0") for _ in range(40)) for _ in range(4)]
+    parts, owners, leads = [], [], []
+    for _ in range(rng.randint(2, 12)):
+        left, right = (bytearray(rng.choice(sides)) for _ in range(2))
+        for side in (left, right):
+            if rng.random() < 0.6:
+                side[rng.randrange(len(side))] ^= 1
+        lead, rest = rng.randint(0, 25), rng.randint(0, 25)
+        if lead + rest >= suffix_dedup.LENGTH - suffix_dedup.ANCHOR:
+            parts.append(bytes(left[len(left) - lead:]) + anchor + bytes(right[:rest]))
+            owners.append(rng.randint(1, 5))
+            leads.append(lead)
+    want = []
+    for k, part in enumerate(parts):
+        for at in range(max(0, leads[k] + suffix_dedup.ANCHOR - 50), min(leads[k], len(part) - 50) + 1):
+            if any(owners[o] < owners[k] and part[at:at + 50] in other for o, other in enumerate(parts)):
+                want.append((k, at))
+    assert sorted(suffix_dedup.repeated_starts(parts, owners, leads)) == sorted(want)
