@@ -15,7 +15,7 @@ from .registry import query
 
 FORM = {"ints": "n_queries n_booked", "nums": "ndcg5 recall5"}
 #: Variants are compared by forests: one pass over the rows for each level, in place of one for each level of each tree.
-FOREST = {"learner": "forest", "trees": 20, "depth": 6}
+FOREST = {"learner": "forest", "trees": 12, "depth": 5}
 
 
 def sides(t):
