@@ -208,9 +208,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = (found.groupBy(F.col("component_id").isNull(), group).agg(F.min(order).alias("k"))
              .select(F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_text")))
     # one number names a row in both tables, so one exchange serves the join and the drop of repeated rows
+    column = "_name"
+    while column.lower() in map(str.lower, docs.columns):
+        column += "_"
     name = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), F.col("doc_id").isNull(), F.xxhash64("text"))
-    kept = first.select(F.xxhash64(F.coalesce("_id", F.lit(0).cast("long")), F.col("_id").isNull(), F.col("_text")).alias("_name"))
-    return docs.withColumn("_name", name).join(kept, "_name", "left_semi").dropDuplicates(["_name", "doc_id"]).drop("_name")
+    kept = first.select(F.xxhash64(F.coalesce("_id", F.lit(0).cast("long")), F.col("_id").isNull(), F.col("_text")).alias(column))
+    return docs.withColumn(column, name).join(kept, column, "left_semi").dropDuplicates([column, "doc_id"]).drop(column)
 
 
 def hex_digits(fingerprint):
