@@ -3,9 +3,8 @@
 Folding maps look-alike letters (other scripts, full width, accents), digits and
 signs that stand for letters to plain letters, one code point for one. The
 lexicon is learned from labelled documents: a word's weight is its log ratio of
-toxic to clean documents, kept if it turns up in several different contexts. Exception
-phrases (given, or words seen only in clean documents around a lexicon word)
-cancel the matches inside them. The sum of weights, plain and normalised by the
+toxic to clean documents, kept if it turns up in several different contexts. Given
+exception phrases cancel the matches inside them. The sum of weights, plain and normalised by the
 length of the text, goes through a fitted logistic curve.
 
 Learning reads at most `SAMPLE` labelled documents of each class, chosen by hash;

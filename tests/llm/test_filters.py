@@ -1,7 +1,10 @@
 """Per-document operators against plain versions: secrets, quality rules, licences, toxicity."""
 
 import hashlib
+import math
+import random
 import re
+import time
 
 import duckdb
 import pytest
@@ -59,6 +62,82 @@ def test_long_runs_of_signs_stay_linear():
     assert secret_scan.named_literals("pwd " + "a=" * 100_000 + " x") == []
 
 
+def plain_literals(text):
+    """The named literals by lists of spans that are copied and joined at every step."""
+    token = re.compile(r"""(?P<text>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`)|<(?P<tag>[A-Za-z_][\w.-]*)>(?P<inner>[^<>\n]*)</(?P=tag)>"""
+                       r"""|(?P<name>[^\W\d][\w.-]*)|(?P<set>:=|=>|==|!=|<=|>=|=|:)|(?P<plus>\+)|(?P<end>[\n;,(){}\[\]])|(?P<gap>[^\S\n]+)|(?P<odd>.)""")
+    bare_value = re.compile(r"[^\S\n]*([A-Za-z0-9+/_.=@!#%^&*~-]+)[^\S\n]*(?:\n|$|#|;)")
+    found, held, target, spans, mode, last, at = [], {}, None, [], "", None, 0
+    while at < len(text):
+        m = token.match(text, at)
+        kind, at = m.lastgroup, m.end()
+        if m["tag"] is not None:
+            found.append((m["tag"], [m.span("inner")]))
+        elif kind == "end" or (kind == "set" and m[0] in ("=", ":=", ":", "=>") and last is not None):
+            if target is not None and spans:
+                held[target] = list(spans)
+                found.append((target, list(spans)))
+            target, spans, mode = (None, [], "") if kind == "end" else (last, [], "value")
+            bare = bare_value.match(text, at) if kind == "set" else None
+            whole = bare and re.match(r"[A-Za-z0-9+/_.=@!#%^&*~-]+", text[bare.start(1):])[0]
+            if bare and whole == bare[1] and bare[1] not in held:
+                spans, mode, at = [bare.span(1)], "done", bare.end(1)
+            last = None
+        elif kind == "plus":
+            mode = "value" if target is not None else mode
+        elif kind == "text":
+            if target is not None and mode == "value":
+                spans.append((m.start() + 1, m.end() - 1))
+            last = m[0][1:-1]
+        elif kind == "name":
+            spans += held.get(m[0], []) if target is not None and mode == "value" else []
+            last = m[0]
+        elif kind != "gap":
+            last = None
+    if target is not None and spans:
+        found.append((target, spans))
+    out = set()
+    for name, spans in found:
+        value = "".join(text[a:b] for a, b in spans)
+        weight, low = secret_scan.sensitivity(name), value.lower()
+        harmless = (low in secret_scan.HARMLESS_WHOLE or low.startswith(secret_scan.HARMLESS_STARTS) or len(set(low)) == 1
+                    or any(w in low for w in secret_scan.HARMLESS_INSIDE))
+        if weight and len(value) >= 8 and not re.search(r"\s", value) and not harmless:
+            bits = -sum(value.count(c) / len(value) * math.log2(value.count(c) / len(value)) for c in set(value))
+            strength = min(1.0, bits / 4) * (0.4 + 0.2 * sum(bool(re.search(k, value)) for k in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")))
+            if weight + strength >= 1.5 and strength >= 0.5:
+                out.update(s for s in spans if s[0] < s[1])
+    low = text.lower()
+    return sorted(out) if any(s in low for s in secret_scan._STEMS) and any(c in text for c in "=:>") else []
+
+
+def test_named_literals_by_a_plain_lexer():
+    rng = random.Random(3)
+    bits = ["token", "pwd", "a", "b", "apiKey", "=", " = ", ":", '"', "'", "`", "+", " + ", "\n", ",", "{", "}", "\\", '\\"', "Zk39fjQ0aLw8Tq2v", "example", "your_",
+            "<dbPwd>", "</dbPwd>", "xxxxxxxx", "aAaAaAaA", '"Qw8!zzT1"', "(", ";", "=>", "é", "password", "placeh", "older", "process.", "12345678", "\t", "#"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 40))) for _ in range(4000)]
+    found = [secret_scan.named_literals(t) for t in texts]
+    assert found == [plain_literals(t) for t in texts] and sum(map(bool, found)) > 100
+
+
+MB = 1_000_000
+
+
+@pytest.mark.parametrize("text, literals", [
+    ('private_key = "' + "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=MB)) + '"', 1),
+    ("{" + ",".join(rf'\"api_key\":\"v{i}\"' for i in range(MB // 20)) + "}", 0),
+    ('token = token + "abc"\n' * (MB // 22), 0),
+    ('a = "v"\n' + "a = a + a\n" * (MB // 10) + "token = a\n", 0),
+    ('a = "Zk39fjQ0aLw8"\n' + "a = a + a\n" * 200 + 'pwd = a + "Tq2v!"\n', 2),
+    ('"' * MB, 0),
+])
+def test_long_texts_stay_linear(text, literals):
+    """Milliseconds a kilobyte; a second a kilobyte before."""
+    start = time.process_time()
+    assert len([s for s in secret_scan.spans_of(text) if s[0] == "literal"]) == literals
+    assert time.process_time() - start < 8
+
+
 def test_redaction_keeps_rows_and_columns(docs, no_docs):
     found = secret_scan.redact(docs)
     assert found.columns == docs.columns and found.count() == docs.count()
@@ -98,6 +177,21 @@ def test_ablations_count_what_each_rule_costs(docs):
         assert r.failing_alone == sum(m & every == bit for m in masks)
 
 
+def test_verdicts_of_all_versions(docs, no_docs):
+    entries = quality_rules.ledger(docs).cache()
+    found = quality_rules.verdicts(entries).collect()
+    every = quality_rules.bits(quality_rules.RULES)
+    alone = {r.rule: r.failing_alone for r in quality_rules.ablations(entries).collect()}
+    assert len(found) == entries.count() and any(r.sole_rule for r in found)
+    for r in found:
+        for name, rules in quality_rules.POLICIES.items():
+            assert r[f"kept_{name}"] == (not r.failed & quality_rules.bits((*quality_rules.BASE, *rules)))
+        assert r.kept == r.kept_v2
+        assert r.sole_rule == next((x for x in quality_rules.RULES if r.failed & every == quality_rules.bits([x])), None)
+        assert r.sole_rule_documents == alone.get(r.sole_rule)
+    assert quality_rules.verdicts(quality_rules.ledger(no_docs)).count() == 0
+
+
 LICENCES = [
     (1, "Intro text.\nReleased under the MIT License.\nMore."), (2, "# Licensed under the Apache License, Version 2.0.\ncode"), (3, None), (4, ""),
     (5, "Permission is hereby granted"), (6, "no end of line\nLicensed under CC BY-NC 4.0.\nEnd"), (6, "no end of line\nLicensed under CC BY-NC 4.0.\nEnd"),
@@ -210,6 +304,43 @@ def test_padding_does_not_hide_licences(spark):
     assert licences_as_in_sql(spark, rows) == {1: "MIT", 2: "MIT", 3: "proprietary"}
 
 
+GPL_HEAD = """                    GNU {0}GENERAL PUBLIC LICENSE
+                       Version {1}
+
+ Copyright (C) {2} Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The {0}General Public License is a free, copyleft license for software.
+"""
+
+
+def test_heads_tags_and_reserved_rights(spark):
+    bsd = BSD3.format("1.", "2.", "3.").replace("A Name\n", "A Name\nAll rights reserved.\n")
+    rows = [("BSD-3-Clause", bsd), ("BSD-2-Clause", BSD2.format("*", "*", "*").replace("A Name\n", "A Name. All rights reserved.\n")),
+            ("proprietary", "Copyright 2020 A Name. All rights reserved."), ("GPL-3.0", GPL_HEAD.format("", "3, 29 June 2007", "2007")),
+            ("GPL-2.0", GPL_HEAD.format("", "2, June 1991", "1989, 1991")), ("AGPL-3.0", GPL_HEAD.format("AFFERO ", "3, 19 November 2007", "2007")),
+            ("LGPL-3.0", GPL_HEAD.format("LESSER ", "3, 29 June 2007", "2007")), ("LGPL-2.1", GPL_HEAD.format("LESSER ", "2.1, February 1999", "1991, 1999")),
+            ("LGPL-2.1", "This library is free software; you can redistribute it and/or\n modify it under the terms of the GNU Lesser General Public\n License as published "
+             "by the Free Software Foundation; either\n version 2.1 of the License, or (at your option) any later version.\n"),
+            ("GPL-2.0", "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\n"
+             "the Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.\n"),
+            ("MPL-2.0", "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n"),
+            ("MPL-2.0", "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed"),
+            ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n"
+             "                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n"),
+            ("EPL-2.0", "Eclipse Public License - v 2.0\n\nTHE ACCOMPANYING PROGRAM"), ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission"),
+            ("Zlib", "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable.\n\nPermission is granted to anyone "
+             "to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n\n1. The origin"),
+            ("Apache-2.0", "# SPDX-License-Identifier: Apache-2.0\nimport os\n"), ("GPL-2.0", "/* SPDX-License-Identifier: GPL-2.0-only */\n"),
+            ("LGPL-2.1", "x\n// SPDX-License-Identifier: LGPL-2.1-or-later\ny"), ("Apache-2.0,MIT", "// SPDX-License-Identifier: MIT OR Apache-2.0\n"),
+            ("", "SPDX-License-Identifier: Unknown-1.0"), ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0.\n")]
+    found = licences_as_in_sql(spark, [(i, text) for i, (_, text) in enumerate(rows)])
+    assert [(i, name, found[i]) for i, (name, _) in enumerate(rows) if found[i] != name] == []
+
+
 def test_folding_keeps_positions():
     text = "Ａ 1d10t mоrоn ÍDIÓT ﬀ 😀\ud83d"
     assert len(toxicity.fold(text)) == len(text)
