@@ -320,3 +320,23 @@ def test_sample_of_n_rows_by_selection(spark, n):
     h = F.md5(F.concat_ws("|", F.col("srch_id").cast("string"), F.col("prop_id").cast("string"), F.lit("rows")))
     want = sorted(r.srch_id for r in df.orderBy(h).limit(n).collect())
     assert sorted(r.srch_id for r in SP.sample_n_rows(df, n).collect()) == want
+
+
+def test_missing_correlation_plan_grows_with_columns(spark):
+    """The plan of all pairs took the driver's memory."""
+    from slatewise.operators.eda import missing_correlation
+
+    def plan(n):
+        df = spark.range(50).select(*[F.when(F.col("id") % (i + 2) != 0, F.col("id")).alias(f"c{i:02d}") for i in range(n)])
+        out = missing_correlation(df, df.columns)
+        spark.conf.set("spark.sql.debug.maxToStringFields", 100_000)
+        text = out._jdf.queryExecution().analyzed().toString()
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+        return out, len(text)
+
+    (_, few), (out, many) = plan(10), plan(40)
+    assert many < 6 * few
+    assert out.count() == 40 * 39 // 2
+    gone = {i: [float(x % (i + 2) == 0) for x in range(50)] for i in (0, 3)}
+    found = out.where("a = 'c00' AND b = 'c03'").first()["corr"]
+    assert abs(found - np.corrcoef(gone[0], gone[3])[0, 1]) < 1e-9
