@@ -340,3 +340,25 @@ def test_missing_correlation_plan_grows_with_columns(spark):
     gone = {i: [float(x % (i + 2) == 0) for x in range(50)] for i in (0, 3)}
     found = out.where("a = 'c00' AND b = 'c03'").first()["corr"]
     assert abs(found - np.corrcoef(gone[0], gone[3])[0, 1]) < 1e-9
+
+
+def test_large_views_are_not_broadcast(lab, monkeypatch):
+    """Small files of many rows were sent to the driver."""
+    groups = [(("prop_id",), (E.Rate("a", "click_bool", 30), E.Std("s", "price_usd"))), (("site_id",), (E.Rate("d", "booking_bool", 50),)),
+              (("prop_id", "site_id"), (E.Rate("c", "booking_bool", 15),))]
+    plain = E.encode_many(lab, groups, salt="w")
+    monkeypatch.setattr(E, "_broadcast_limit", lambda spark: 2000)
+    wide = E.encode_many(lab, groups, salt="w")
+    assert wide.columns == plain.columns
+    assert not wide.exceptAll(plain).count() and not plain.exceptAll(wide).count()
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and plan.count("BroadcastHashJoin") == 1
+
+
+def test_price_premium_reads_no_other_encoding(spark, sf):
+    """The premium joined every encoding, twice."""
+    from slatewise.plans.registry import QUERIES
+
+    run = next(q for q in QUERIES if q.name == "f12_price_premium_window").frame
+    plan = run(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
