@@ -362,3 +362,15 @@ def test_price_premium_reads_no_other_encoding(spark, sf):
     run = next(q for q in QUERIES if q.name == "f12_price_premium_window").frame
     plan = run(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_failure_queries_store_no_wide_table(spark, sf):
+    """Every failure query wrote the slates with all encodings and listwise columns first."""
+    from slatewise.plans.registry import QUERIES
+
+    run = {q.name: q.frame for q in QUERIES}
+    for name in ("d16_failure_pairs", "d17_segments", "d25_winner_shares", "d26_hard_negatives", "d27_easy_wins_missed", "d29_difficulty"):
+        files = run[name](spark, sf).inputFiles()
+        assert files and not [f for f in files if "/context_" in f]
+        if name not in ("d17_segments",):
+            assert not [f for f in files if "/encodings-" in f]
