@@ -108,3 +108,11 @@ def test_both_ways_agree_on_repeated_ties_and_null_keys(spark):
     ways = [sorted(map(tuple, G.within(df, ["srch_id"], ranks, stats, limit=n).collect()), key=repr) for n in (1000, 3)]
     assert ways[0] == ways[1] and len(ways[0]) == len(rows)
     assert G.hot_groups(df, ["srch_id"], 3).count() == 3
+
+
+def test_average_rank_needs_one_order(spark):
+    """Equal values were counted in an order of their own, held beside the first."""
+    df = spark.createDataFrame([(1, 10, 2.0), (1, 11, 2.0), (1, 12, 5.0), (1, 13, None), (2, 10, 1.0)], "g long, prop_id long, v double")
+    out = G.within(df, ["g"], ranks=[G.Rank("r", "v", method="average", desc=True)], limit=100)
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Window [") == 1
+    assert [r["r"] for r in out.orderBy("g", "prop_id").collect()] == [2.5, 2.5, 1.0, None, 1.0]
