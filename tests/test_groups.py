@@ -93,6 +93,26 @@ def test_spearman_auc_ks(spark):
     assert S.ks_two_sample(left, right, ["v"]).first()["ks"] == pytest.approx(want)
 
 
+def test_spearman_matrix_stores_values_not_pairs(spark, monkeypatch):
+    n = np.arange(600)
+    pdf = pd.DataFrame({"a": n % 20, "b": n * 7 % 31, "c": n * n % 37, "d": n % 3}).astype(float)
+    pdf.loc[n % 5 == 0, "c"] = np.nan
+    pdf.loc[n % 11 == 0, "d"] = np.nan
+    df = spark.createDataFrame([tuple(None if np.isnan(x) else float(x) for x in r) for r in pdf.itertuples(index=False)], "a double, b double, c double, d double")
+    stored = []
+    for module in (G, S):
+        if hasattr(module, "materialise"):
+            keep = module.materialise
+            monkeypatch.setattr(module, "materialise", lambda t, name, keep=keep: stored.append(keep(t, name)) or stored[-1])
+    got = S.spearman_matrix(df, list("abcd")).toPandas().set_index(["a", "b"])
+    want = pdf.corr("spearman")
+    for (x, y), row in got.iterrows():
+        assert row.rho == pytest.approx(want.loc[x, y]) and row.n == (pdf[x].notna() & pdf[y].notna()).sum()
+    assert len(got) == 12
+    # distinct values for each of three sets of rows, not the hundreds of pairs of values of each two columns
+    assert max(t.count() for t in stored) <= 3 * sum(pdf[c].nunique() for c in "abcd")
+
+
 def test_bins_are_right_closed_with_lowest(spark):
     df = spark.createDataFrame([(float(x),) for x in [0, 0, 0, 1, 2, 3, 4, 4, 4, 9]], "v double")
     got = S.quantile_bins(df, "v", 4).toPandas()
