@@ -35,18 +35,18 @@ def grouped_rank(preds, method="average", name="rank"):
     return within(preds, ["model_id", SEARCH], ranks=[Rank(name, "score", desc=True, method=method)])
 
 
-def member_ranks(preds, members, method="average"):
-    """One row per item: `r`, the members' ranks in the given order."""
-    wide = pivot_scores(preds, members)
+def member_ranks(preds, members, method="average", keep=()):
+    """One row per item: `r`, the members' ranks in the given order, and the item's own columns `keep`."""
+    wide = pivot_scores(preds, members, keep)
     out = within(wide, [SEARCH], ranks=[
         Rank(f"_r{i}", F.col("s")[i], desc=True, method=method) for i in range(len(members))])
-    return out.select(*KEYS, F.array(*[num(f"_r{i}") for i in range(len(members))]).alias("r"))
+    return out.select(*KEYS, *keep, F.array(*[num(f"_r{i}") for i in range(len(members))]).alias("r"))
 
 
-def pivot_scores(preds, members):
-    """One row per item with the members' scores as an array."""
+def pivot_scores(preds, members, keep=()):
+    """One row per item with the members' scores as an array; `keep` are columns with one value per item."""
     cells = [F.max(F.when(F.col("model_id") == m, F.col("score"))) for m in members]
-    return preds.where(F.col("model_id").isin(list(members))).groupBy(*KEYS).agg(F.array(*cells).alias("s"))
+    return preds.where(F.col("model_id").isin(list(members))).groupBy(*KEYS).agg(*[F.max(c).alias(c) for c in keep], F.array(*cells).alias("s"))
 
 
 def weighted_sum(values, weights, column="v"):
@@ -137,6 +137,40 @@ def normalise(preds):
     return df.select("model_id", *KEYS, *NORMALISERS)
 
 
+def normalised_slates(preds, members, keep=(), only=NORMALISERS):
+    """One row per item: for each normaliser an array of the members' values, as `normalise` gives them.
+
+    Searches stay where they are and no row is stored: what holds for a whole member is a few
+    numbers, which the driver gets from aggregates.
+    """
+    n, s = range(len(members)), [F.col("s")[i] for i in range(len(members))]
+    wide = pivot_scores(preds, members, keep)
+    df = within(wide, [SEARCH], ranks=[Rank(f"_r{i}", s[i], desc=True, method="average") for i in n],
+                stats=[x for i in n for x in (Stat(f"_m{i}", F.avg(s[i])), Stat(f"_d{i}", F.stddev_samp(s[i])))])
+    spread = [F.when(F.col(f"_d{i}") > 0, F.col(f"_d{i}")).otherwise(F.lit(1.0)) for i in n]
+    df = df.select(*KEYS, *keep, "s", F.array(*[-num(f"_r{i}") for i in n]).alias("rank_avg"),
+                   F.array(*[(s[i] - F.col(f"_m{i}")) / spread[i] for i in n]).alias("query_z"))
+
+    def z_scores(table, column):
+        """The z-scores of an array column's entries over all rows of the table."""
+        cells = [c for i in n for c in (F.avg(F.col(column)[i]).alias(f"m{i}"), F.stddev_pop(F.col(column)[i]).alias(f"s{i}"))]
+        found = table.agg(*cells).first()
+        return F.array(*[(F.col(column)[i] - F.lit(found[f"m{i}"]).cast("double")) / (F.lit(found[f"s{i}"]).cast("double") + _TINY) for i in n])
+
+    def blend(a, b):
+        return F.zip_with(a, b, lambda x, y: 0.5 * x + 0.5 * y)
+
+    if {"global_z", "blend_rank_global_z"} & set(only):
+        scores = z_scores(wide, "s")
+        df = df.withColumn("global_z", scores)
+    ranks = z_scores(df, "rank_avg") if {"blend_rank_query_z", "blend_rank_global_z"} & set(only) else None
+    if "blend_rank_query_z" in only:
+        df = df.withColumn("blend_rank_query_z", blend(ranks, z_scores(df, "query_z")))
+    if "blend_rank_global_z" in only:
+        df = df.withColumn("blend_rank_global_z", blend(ranks, z_scores(wide.withColumn("global_z", scores), "global_z")))
+    return df.select(*KEYS, *keep, *only)
+
+
 # Weights and memberships: small driver-side lists that become one literal.
 
 def weighting_methods(members):
@@ -321,11 +355,14 @@ def _block_sums(search, item, relevance, values, weights, ascending):
 def score_trials(values, members, trials, column="r", ascending=True):
     """Metrics of every trial {name: {member: weight}} in one job.
 
-    `values` has srch_id, prop_id, relevance and the members' values as an array.
+    `values` has srch_id, prop_id, relevance and the members' values as an array; with several
+    array columns all are scored in the same job, and `column` of the result names each.
     Weights are divided by their sum. A task scores whole slates for all trials: the members'
     values are one block, a positive's place is the number of rows of its slate that go
-    before, and only sums over the task's slates leave it, one row for each trial.
+    before, and only sums over the task's slates leave it, one row for each trial. A table that
+    is kept by search is not shuffled.
     """
+    columns = [column] if isinstance(column, str) else list(column)
     at = {m: i for i, m in enumerate(members)}
     names, weights = list(trials), np.zeros((len(trials), len(members)))
     for i, name in enumerate(names):
@@ -335,14 +372,10 @@ def score_trials(values, members, trials, column="r", ascending=True):
     width = len(members)
 
     def run(batches):
-        sums, slates, held = np.zeros((5, len(weights))), 0, None
+        sums, slates, held = np.zeros((len(columns), 5, len(weights))), 0, None
         for b in _with_end(batches):
             if b is not None:
-                lists = b.column(3)
-                # a missing array is one of missing values
-                cells = np.full((b.num_rows, width), np.nan)
-                cells[lists.is_valid().to_numpy(zero_copy_only=False)] = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-                now = [b.column(k).to_numpy() for k in range(3)] + [cells]
+                now = [b.column(k).to_numpy() for k in range(3)] + [_cells(b.column(3 + k), width) for k in range(len(columns))]
                 held = now if held is None else [np.concatenate(p) for p in zip(held, now)]
                 if len(held[0]) < BLOCK_ROWS:
                     continue
@@ -353,21 +386,37 @@ def score_trials(values, members, trials, column="r", ascending=True):
             if end:
                 whole = [x[:end] for x in held]
                 slates += len(np.unique(whole[0]))
-                sums += _block_sums(*whole, weights, ascending)
+                for k in range(len(columns)):
+                    sums[k] += _block_sums(*whole[:3], whole[3 + k], weights, ascending)
                 held = [x[end:] for x in held]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(weights))), pa.array(np.full(len(weights), slates)), *[pa.array(x) for x in sums]],
-                                         names=["t", "slates", "ndcg", "booked", "one", "five", "ranks"])
-
-    rows = (values.where(F.col(SEARCH).isNotNull()).select(F.col(SEARCH).cast("long"), F.col(ITEM).cast("long"), F.coalesce("relevance", F.lit(0)).cast("long").alias("relevance"),
-                                                           F.col(column).cast("array<double>").alias("v")).repartition(SEARCH).sortWithinPartitions(SEARCH))
-    found = rows.mapInArrow(run, "t long, slates long, ndcg double, booked double, one double, five double, ranks double")
-    total_of = found.groupBy("t").agg(*[F.sum(c).alias(c) for c in found.columns[1:]])
-    name = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("t") + 1).cast("int"))
+        for k, mine in enumerate(sums):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(weights), k)), pa.array(np.arange(len(weights))), pa.array(np.full(len(weights), slates)),
+                                              *[pa.array(x) for x in mine]], names=["c", "t", "slates", "ndcg", "booked", "one", "five", "ranks"])
+
+    rows = values.where(F.col(SEARCH).isNotNull()).select(
+        F.col(SEARCH).cast("long"), F.col(ITEM).cast("long"), F.coalesce("relevance", F.lit(0)).cast("long").alias("relevance"),
+        *[F.col(c).cast("array<double>").alias(f"v{k}") for k, c in enumerate(columns)])
+    # the window brings the rows of a search together, next to each other; buckets by search are used as they are
+    rows = rows.withColumn("size", F.count(F.lit(1)).over(W.partitionBy(SEARCH)))
+    found = rows.mapInArrow(run, "c long, t long, slates long, ndcg double, booked double, one double, five double, ranks double")
+    total_of = found.groupBy("c", "t").agg(*[F.sum(c).alias(c) for c in found.columns[2:]])
+
+    def named(words, at):
+        return F.element_at(F.array(*[F.lit(w) for w in words]), (F.col(at) + 1).cast("int"))
+
     share = lambda c: F.coalesce(ratio(c, "booked"), F.lit(0.0))
-    return total_of.select(name.alias("trial"), ratio("ndcg", "slates").alias("ndcg5"), share("one").alias("recall1"), share("five").alias("recall5"),
+    several = [] if isinstance(column, str) else [named(columns, "c").alias("column")]
+    return total_of.select(*several, named(names, "t").alias("trial"), ratio("ndcg", "slates").alias("ndcg5"), share("one").alias("recall1"), share("five").alias("recall5"),
                            ratio("ranks", "booked").alias("mean_booked_rank"), F.col("slates").alias("n_queries"), F.col("booked").cast("long").alias("n_booked"))
 
 
+def _cells(lists, width):
+    """Arrays as the rows of a block; a missing array is one of missing values."""
+    out = np.full((len(lists), width), np.nan)
+    out[lists.is_valid().to_numpy(zero_copy_only=False)] = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return out
+
+
 def _with_end(batches):
     """The batches that hold rows, and None behind the last."""
     yield from (b for b in batches if b.num_rows)
