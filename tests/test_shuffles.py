@@ -4,7 +4,9 @@ import re
 
 import pytest
 
+from slatewise.operators import encodings as E
 from slatewise.operators import fusion as FU
+from slatewise.plans.features import build_features
 from slatewise.plans.queries_diagnose import two_rankings
 from slatewise.plans.queries_fusion import GRIDS, NAMES, labelled_predictions, slates
 from slatewise.plans.queries_tables import member_metrics
@@ -55,3 +57,26 @@ def test_stored_ranks_keep_their_buckets(spark, sf):
     assert slates(t).count() == t.impressions.count()
     plan = two_rankings(t)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_wide_rows_are_not_dealt_out_for_large_encodings(spark, sf):
+    t = tables(spark, sf)
+    want = build_features(t.labelled).toPandas().set_index(["srch_id", "prop_id"]).sort_index()
+    now = {"spark.sql.autoBroadcastJoinThreshold": "1k", "spark.sql.debug.maxToStringFields": "1000"}  # every view is a large one
+    before = {k: spark.conf.get(k) for k in now}
+    for k, v in now.items():
+        spark.conf.set(k, v)
+    try:
+        df = build_features(t.labelled)
+        plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        got = df.toPandas().set_index(["srch_id", "prop_id"]).sort_index()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    moved = [below for above, below in zip(plan, plan[1:]) if "Exchange" in above]
+    assert moved and not [line for line in moved if "price_usd#" in line or "comp1_rate#" in line]
+    assert list(got.columns) == list(want.columns) and len(got) == len(want)
+    for c in want.columns:
+        if want[c].dtype.kind in "fi":
+            assert got[c].to_numpy() == pytest.approx(want[c].to_numpy(), rel=1e-9, abs=1e-9, nan_ok=True), c
+
