@@ -6,6 +6,7 @@ from ..functions.exprs import finite, num
 from ..operators import listwise as L
 from ..operators import row_features as R
 from ..schema import comp_columns
+from .features import row_and_listwise
 from .registry import query, view
 
 KEY = "srch_id prop_id"
@@ -160,7 +161,7 @@ FROM listh
 
 def listwise_frame(t):
     """Row and listwise columns of the labelled table."""
-    return L.add_listwise(R.apply(t.labelled, R.ROW_STEPS))
+    return row_and_listwise(t.labelled)
 
 
 def list_query(name, ints="", nums="", source="listh"):

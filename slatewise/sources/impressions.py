@@ -36,7 +36,7 @@ def downcast(df, flags=None, counts=None):
 def write_features(df, path, split):
     """Store a feature table under its split, with its row and search counts beside it."""
     target = f"{path}/split={split}"
-    df.write.mode("overwrite").parquet(target)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(target)  # wide rows of many decimals
     stored = df.sparkSession.read.parquet(target)
     table_counts(stored).write.mode("overwrite").parquet(f"{path}_meta/split={split}")
     return stored
